@@ -1,0 +1,4 @@
+"""Every registered query of the engine, with its SQL where SQL can express it."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
