@@ -29,6 +29,12 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op9_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup_passages
+
+    return dedup_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -38,5 +44,6 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pack": op6_pack,
     "op8_shard": op8_shard,
+    "op9_dedup_passages": op9_dedup_passages,
     "op10_near_duplicates": op10_near_duplicates,
 }
