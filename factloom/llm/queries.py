@@ -18,6 +18,31 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify_language
+
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    found = identify_language(docs, docs.where((fold != 2) & F.col("lang").isNotNull()))
+    return found.select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, read_back
+
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(given.unionByName(added)))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 
@@ -52,7 +77,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op2_chat": op2_chat,
     "op4_toxicity": op4_toxicity,
+    "op5_nearest": op5_nearest,
     "op6_pack": op6_pack,
     "op8_shard": op8_shard,
     "op9_dedup_passages": op9_dedup_passages,
