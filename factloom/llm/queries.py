@@ -43,6 +43,12 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20)
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"), most_repeats=2.0).select("doc_id", "source", "epoch", "block", "place", "tokens")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 
@@ -79,6 +85,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_chat": op2_chat,
+    "op3_mix": op3_mix,
     "op4_toxicity": op4_toxicity,
     "op5_nearest": op5_nearest,
     "op6_pack": op6_pack,
