@@ -64,6 +64,13 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio, so each text's bytes stand for a mono 8-bit recording."""
+    from .media import align_recordings
+
+    return align_recordings(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -89,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_nearest": op5_nearest,
     "op6_pack": op6_pack,
+    "op7_chroma": op7_chroma,
     "op8_shard": op8_shard,
     "op9_dedup_passages": op9_dedup_passages,
     "op10_near_duplicates": op10_near_duplicates,
