@@ -355,3 +355,40 @@ def dedup_passages(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         lost_all.cast("long").alias("n_spans"), F.when(lost_all, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
     )
     return kept.unionByName(cut)
+
+
+def _stripper(place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a table and, last, spans of the text in column number place: the rows without the spans' bytes."""
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if spans:
+                    raw, kept, at = text.encode(), [], 0
+                    for start, end in _merged((x["start"], min(x["end"], len(raw))) for x in spans):
+                        kept.append(raw[at:start])
+                        at = end
+                    # A span may end inside a character, whose rest goes too.
+                    text = b"".join([*kept, raw[at:]]).decode("utf-8", errors="ignore")
+                texts.append(text)
+            columns = list(batch.columns[:-1])
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return run
+
+
+def strip_passages(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs with their repeated passages removed from the text; a column of text lengths follows the text."""
+    spans, copies = repeated_spans(docs, length, id_col, text_col)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    names = [F.col(c) for c in docs.columns]
+    rows = docs.select(*names, F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit("second"), text).alias("_h2"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(1 << 40).cast("long").alias("end")))
+    marks = spans.join(copies.select("h1", "h2", F.lit(True).alias("copied")), ["h1", "h2"], "full")
+    marks = marks.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.when(F.coalesce("copied", F.lit(False)), whole).otherwise(F.col("spans")).alias("_spans"), F.coalesce("copied", F.lit(False)).alias("_copied"))
+    marked = rows.join(marks, ["_h1", "_h2"], "left")
+    lost = F.when(~F.col("_copied") | (F.octet_length(text) >= length), F.col("_spans"))
+    place = docs.columns.index(text_col)
+    out = marked.select(*names, lost.alias("_spans")).mapInArrow(_stripper(place), docs.schema)
+    return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
