@@ -1,6 +1,85 @@
-STAGES = []
+"""From raw documents to packed training windows: five stages, each one operator of factloom.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+and read again as the next one's docs; all but the last return the columns of
+documents. Null and empty texts, repeated rows, empty tables and further columns
+behave as the operators define; further columns are passed on.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.llm.minhash import near_duplicates
+from factloom.llm.mixing import mix_sources
+from factloom.llm.packing import pack
+from factloom.llm.queries import tokenizer_path
+from factloom.llm.suffix_dedup import strip_passages
+from factloom.llm.toxicity import score_toxicity
+from factloom.llm.workspace import Workspace
+
+#: Ids that may be broadcast; more are joined by a shuffle.
+FEW = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for those whose doc_id is among ids, a written table."""
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5; labels teach as they do in the operator's query."""
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold != 0)
+    scored = score_toxicity(docs, labels)
+    rejected = scored.where("score >= 0.5").select("doc_id").distinct()
+    return _without(docs, Workspace(spark, "pipeline").write(rejected, "rejected"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least document of each group of near duplicates (five-word shingles, similarity 0.8), once."""
+    space = Workspace(spark, "pipeline")
+    found = space.write(near_duplicates(docs).select("doc_id", "kept"), "found")
+    dropped = space.write(found.where("not kept").select("doc_id").distinct(), "dropped")
+    repeated = space.write(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    kept = _without(docs, dropped)
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return _without(kept, repeated).unionByName(once)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated passages of 400 bytes and more."""
+    return strip_passages(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of their sources takes them."""
+    return mix_sources(docs, most_repeats=2.0).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids and their places in windows of 1,024."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("minhash near-dedup", near_dedup),
+    ("suffix-array dedup", passages),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+#: SQL can express neither the models nor the windows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    space = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = space.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
