@@ -41,10 +41,9 @@ def components(space: Workspace, edges: DataFrame, most_rounds: int = 60) -> Dat
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        large = space.write(_star(now, small=False), "large")
-        after = space.write(_star(large, small=True), "small")
+        after = space.write(_star(_star(now, small=False), small=True), "stars")
         found = tuple(after.agg(*check).first())
-        space.drop(now, large)
+        space.drop(now)
         now = after
         if found == seen:
             break

@@ -10,12 +10,13 @@ coordinates make the candidates: at similarity 0.8 a pair shares none of the 40
 bands with a probability of 5e-6, and less above.
 
 Documents with equal shingle sets are one class and only its least document goes
-on. Candidates of a band are compared with one centre each, not with all of one
-another: first the least member, then the member with most confirmed links.
-Members that are then linked, through whatever path, need no comparison. The
-bands in which unconnected members stay are compared pair by pair on sketches,
-in blocks of bounded size, and every likely pair is confirmed on full sets; so
-no partner is capped and no link is lost to the centres.
+on. Within a band, a walk finds which members hang together by pairs whose
+sketches agree often enough, and gives one edge per member, not all pairs. The
+components of these edges hold every link, so the full sets of their members
+meet there, in blocks of bounded size where a component is large, and a walk over
+exact comparisons gives the confirmed links, again at most one per member.
+No partner is capped: every pair of a component is either compared exactly or
+already connected.
 
 Defined results: a null or wordless text has an empty set and is linked with
 nothing; a single word is one shingle; repeated rows are one class; a null
@@ -44,7 +45,9 @@ BANDS = SIZE // ROWS
 #: Agreeing coordinates below which no pair of the wanted similarity falls: at 0.8, fewer than 62 % have a probability below 1e-10.
 LIKELY = 0.62
 CHUNK = 1 << 20  # bytes of text worked on at a time
-BLOCK = 1024  # members of a band compared at a time
+CROWD = 8192  # members of a band walked at a time
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000  # members and shingles of a component compared at a time
+FEW = 1_000_000  # ids that may be broadcast
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -168,68 +171,110 @@ def _setter(words: int):
     return run
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, sketch of a, sketch of b) that agree in enough coordinates."""
+def walk(n: int, near) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest over 0..n-1, where near(x, others) tells which others are adjacent to x."""
+    rest = np.arange(n)
+    while len(rest) > 1:
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            hit = near(x, rest)
+            if hit.any():
+                for y in rest[hit]:
+                    yield x, int(y)
+                queue += rest[hit].tolist()
+                rest = rest[~hit]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of each run of equal leading columns."""
+    now, rows = None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SIZE) for k in (2, 3))
-        keep = np.count_nonzero(left == right, axis=1) >= LIKELY * SIZE
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if r[:keys] != now:
+                if rows:
+                    yield rows
+                now, rows = r[:keys], []
+            rows.append(r)
+    if rows:
+        yield rows
 
 
-def _confirmer(percent: int):
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = (np.array(x, np.int64) for x in zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+
+def _band_walk(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (a, b, set of a, set of b) whose sets' intersection reaches percent of their union."""
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.sort(np.concatenate((p, q)))
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep[i] = 100 * common >= percent * (len(both) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
+        """Rows (key, part, rep, n, sketch, centre), sorted by key and part, give edges between likely partners."""
+        out = []
+        for rows in _groups(batches, 2):
+            ids, n = [r[2] for r in rows], np.array([r[3] for r in rows])
+            table = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, SIZE)
+
+            def near(x, others, n=n, table=table):
+                sized = 100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x])
+                return sized & (np.count_nonzero(table[others] == table[x], axis=1) >= LIKELY * SIZE)
+
+            if len(rows) > 1:
+                out += [(ids[x], ids[y]) for x, y in walk(len(rows), near)]
+            if rows[0][5] is not None:  # a part of a crowded band: all parts hang together
+                out += [(i, rows[0][5]) for i in ids if i != rows[0][5]]
+            if len(out) > 10_000:
+                yield _edges(out)
+                out = []
+        if out:
+            yield _edges(out)
 
     return run
 
 
-def _blocks(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Likely pairs of unconnected members of one block (pair) of one band; rows come sorted by (key, i, j)."""
+def exact_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose intersection reaches percent of their union."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    if len(ids) == 2:
+        both = np.sort(np.concatenate(sets))
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return [(ids[0], ids[1])] if 100 * common >= percent * (len(both) - common) else []
+    words, number = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate(([0], np.cumsum(sizes)))
+    flag = np.zeros(len(words), np.int32)
+
+    def near(x, others):
+        hit = 100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])
+        mine = number[start[x] : start[x + 1]]
+        flag[mine] = 1
+        some = others[hit]
+        if len(some) * 4 > len(sizes):
+            common = np.add.reduceat(flag[number], start[:-1])[some]
+        else:
+            common = np.array([flag[number[start[y] : start[y + 1]]].sum() for y in some], np.int64)
+        flag[mine] = 0
+        hit[hit] = 100 * common >= percent * (sizes[some] + sizes[x] - common)
+        return hit
 
-        def pairs(rows: list) -> pa.RecordBatch | None:
-            ids, parts, sizes = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
-            side = np.array([r[3] for r in rows])
-            table = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, SIZE)
-            other = side.max() > 0
-            found_a, found_b = [], []
-            for x in np.flatnonzero(side == 0) if other else range(len(ids)):
-                y = np.flatnonzero(side == 1) if other else np.arange(x + 1, len(ids))
-                y = y[(parts[y] != parts[x]) & (100 * np.minimum(sizes[y], sizes[x]) >= percent * np.maximum(sizes[y], sizes[x]))]
-                y = y[np.count_nonzero(table[y] == table[x], axis=1) >= LIKELY * SIZE]
-                found_a += [ids[x]] * len(y)
-                found_b += ids[y].tolist()
-            if not found_a:
-                return None
-            a, b = np.array(found_a, np.int64), np.array(found_b, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        now, rows = None, []
-        for batch in batches:
-            for key, i, j, side, rep, part, n, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != now:
-                    if len(rows) > 1 and (out := pairs(rows)):
-                        yield out
-                    now, rows = (key, i, j), []
-                rows.append((rep, part, n, side, own))
-        if len(rows) > 1 and (out := pairs(rows)):
-            yield out
+    return [(ids[x], ids[y]) for x, y in walk(len(ids), near)]
+
+
+def _exact(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (component, i, j, id, set), sorted by the first three, give confirmed links."""
+        out = []
+        for rows in _groups(batches, 3):
+            if len(rows) > 1:
+                out += exact_links([r[3] for r in rows], [np.frombuffer(r[4], np.uint64) for r in rows], percent)
+            if len(out) > 10_000:
+                yield _edges(out)
+                out = []
+        if out:
+            yield _edges(out)
 
     return run
 
 
 class NearDuplicates:
-    """One run of the operator; ``rows`` has doc_id, n_shingles, component_id, kept; ``links`` the confirmed pairs between classes."""
+    """One run of the operator; ``rows`` has doc_id, n_shingles, component_id, kept; ``links`` confirmed pairs (u, v) that span the components."""
 
     def __init__(self, docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"):
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
@@ -240,71 +285,40 @@ class NearDuplicates:
         self.sketched = self.space.write(self.texts.mapInArrow(_sketcher(words), schema), "sketches")
         # Documents with one set are one class; its least document stands for it.
         named = self.sketched.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-        classes = named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-        self.classes = self.space.write(classes, "classes")
-        least = self.classes.select("rep", "n", "s1", "s2")
-        reps = named.join(least, (named.doc_id == least.rep) & (named.n == least.n) & (named.s1 == least.s1) & (named.s2 == least.s2), "left_semi").dropDuplicates(["doc_id"])
-        self.reps = self.space.write(reps.select(F.col("doc_id").alias("rep"), "n", "keys", "sketch"), "reps")
-        self.sketches = self.reps.select("rep", "n", "sketch")
-        self.links, parts = self._connect()
-        self.rows = self._rows(parts)
-
-    def _confirm(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b): those whose sizes and sketches leave it possible, confirmed on their full sets."""
-        left = self.sketches.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("of_a"))
-        right = self.sketches.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("of_b"))
-        sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        likely = self.space.write(sized.select("a", "b", "of_a", "of_b").mapInArrow(_likely, "a long, b long"), "likely")
-        needed = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-        texts = self.texts.select(F.col("doc_id").alias("id"), "text").join(needed, "id", "left_semi")
-        sets = self.space.write(texts.mapInArrow(_setter(self.words), "id long, set binary").dropDuplicates(["id"]), "sets")
-        both = likely.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-        links = self.space.write(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmer(self.percent), "u long, v long"), "links")
-        self.space.drop(sets, likely)
-        return links
-
-    def _connect(self) -> tuple[DataFrame, DataFrame]:
-        space = self.space
-        banded = self.reps.select("rep", F.explode("keys").alias("key"))
+        classes = named.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("m"))
+        self.classes = self.space.write(classes.select("n", "s1", "s2", F.col("m.doc_id").alias("rep"), "m.keys", "m.sketch"), "classes")
+        self.links = self._confirm(self._candidates())
+        self.rows = self._rows(components(self.space, self.links))
+
+    def _candidates(self) -> DataFrame:
+        """(node, component) of the documents that may have a link; both ends of any link share a component."""
+        banded = self.classes.select("rep", F.explode("keys").alias("key"))
         crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("centre")).where("size > 1")
-        members = space.write(banded.join(crowded, "key").select("key", "rep", "centre"), "members")
-        first = space.write(members.where("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "first")
-        links = self._confirm(first)
-        parts = space.write(components(space, links), "parts")
-
-        # A band is open while it holds members of several components; its next centre is the one with most links.
-        degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-        known = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-        open_keys = known.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("size")).where("p < q and size > 2")
-        known = known.join(open_keys.select("key", "size"), "key").join(degree, "rep", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        known = space.write(known.select("key", "rep", "part", "degree", "size"), "open")
-        centres = known.groupBy("key").agg(F.max(F.struct("degree", F.negative("rep").alias("minus"), "part")).alias("c"))
-        centred = known.join(centres, "key").select(F.col("rep"), F.negative("c.minus").alias("centre"), "part", F.col("c.part").alias("centre_part"))
-        second = centred.where("part != centre_part").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        second = second.join(first.select("a", "b"), ["a", "b"], "left_anti")
-        more = self._confirm(second)
-        links = links.unionByName(more)
-        parts = space.write(components(space, links), "parts")
-
-        # What is still open is compared on sketches, block by block.
-        known = known.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep"))
-        open_keys = known.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("size")).where("p < q")
-        left = known.join(open_keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").join(self.sketches, "rep")
-        mine = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(0).cast("int")
-        left = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = left.select(
-            "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-            (F.col("mine") > F.col("other")).cast("int").alias("side"), "rep", "part", "n", "sketch",
-        )
-        dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        rest = dealt.mapInArrow(_blocks(self.percent), "a long, b long").distinct()
-        rest = rest.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
-        last = self._confirm(space.write(rest, "rest"))
-        links = links.unionByName(last)
-        return links, components(space, links)
+        members = banded.join(crowded, "key")
+        parts = F.ceil(F.col("size") / CROWD)
+        members = members.select("key", F.when(parts > 1, F.pmod(F.xxhash64("rep"), parts)).otherwise(0).cast("int").alias("part"), "rep", F.when(parts > 1, F.col("centre")).alias("centre"))
+        own = members.join(self.classes.select("rep", "n", "sketch"), "rep").select("key", "part", "rep", "n", "sketch", "centre")
+        placed = own.repartition("key", "part").sortWithinPartitions("key", "part")
+        return components(self.space, placed.mapInArrow(_band_walk(self.percent), "u long, v long"))
+
+    def _confirm(self, candidates: DataFrame) -> DataFrame:
+        sized = candidates.join(self.classes.select(F.col("rep").alias("node"), "n"), "node")
+        sized = self.space.write(sized.select(F.col("node").alias("id"), "component", "n"), "candidates")
+        wanted = sized.select("id")
+        if sized.count() <= FEW:
+            wanted = F.broadcast(wanted)
+        texts = self.texts.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+        sets = texts.mapInArrow(_setter(self.words), "id long, set binary")
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+        split = sized.join(sized.groupBy("component").agg(blocks.alias("blocks")), "component")
+        mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        split = split.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        split = split.select("id", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        dealt = sets.join(split, "id").select("component", "i", "j", "id", "set").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+        return self.space.write(dealt.mapInArrow(_exact(self.percent), "u long, v long").distinct(), "links")
 
     def _rows(self, parts: DataFrame) -> DataFrame:
-        named = self.classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+        named = self.classes.select("rep", "n", "s1", "s2").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
         rows = self.sketched.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
         named_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
         return rows.select("doc_id", F.col("n").alias("n_shingles"), named_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
