@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Month names, million marks, critical fields and tolerances.
 MONTHS = {
     "ינואר": 1, "פברואר": 2, "מרץ": 3, "מרס": 3, "אפריל": 4, "מאי": 5, "יוני": 6, "יולי": 7,
@@ -23,14 +25,14 @@ NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
 
 def parse_decimal(raw: Column, kind: str = "decimal(18,4)") -> Column:
     """The first number; commas only as separators of thousands."""
-    token = F.regexp_extract(F.regexp_replace(raw, "[‎‏]", ""), f"({NUMBER})", 1)
-    good = ~token.contains(",") | token.rlike(r"^-?\d{1,3}(,\d{3})+(\.\d+)?$")
-    return F.when((token != "") & good, F.regexp_replace(token, ",", "").try_cast(kind))
+    grouped = r"^-?\d{1,3}(,\d{3})+(\.\d+)?$"
+    number = lambda t: F.when((t != "") & (~t.contains(",") | t.rlike(grouped)), F.regexp_replace(t, ",", "").try_cast(kind))
+    return let(F.regexp_extract(F.regexp_replace(raw, "[‎‏]", ""), f"({NUMBER})", 1), number)
 
 
 def parse_money(raw: Column) -> Column:
-    value = parse_decimal(raw, "decimal(16,4)")
-    return F.when(raw.rlike(MILLION) & (value < 1000), value * 1_000_000).otherwise(value).cast("decimal(18,2)")
+    grown = lambda v: F.when(raw.rlike(MILLION) & (v < 1000), (v * 1_000_000).cast("decimal(18,2)")).otherwise(v.cast("decimal(18,2)"))
+    return let(parse_decimal(raw, "decimal(16,4)"), grown)
 
 
 def parse_date(raw: Column) -> Column:

@@ -43,6 +43,11 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def contains_any(text: Column, words) -> Column:
     """Whether any of the words occurs in the text."""
     return F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(text, w))
@@ -99,14 +104,12 @@ def normalize_place(raw: Column, compose: bool = True) -> Column:
 
 def property_type_code(raw: Column) -> Column:
     """A stable code, or the normalized text of an unknown type."""
-    place = normalize_place(raw)
-    return F.coalesce(first_code(place, PROPERTY_TYPES), place)
+    return let(normalize_place(raw), lambda p: F.coalesce(first_code(p, PROPERTY_TYPES), p))
 
 
 def vat_basis_code(raw: Column) -> Column:
     """Excluded is looked for first, because its phrase holds the other."""
-    place = normalize_place(raw)
-    return F.coalesce(first_code(place, (("לא כולל", "excluded"), ("כולל", "included"))), place)
+    return let(normalize_place(raw), lambda p: F.coalesce(first_code(p, (("לא כולל", "excluded"), ("כולל", "included"))), p))
 
 
 def area_type_code(raw: Column) -> Column:
