@@ -88,8 +88,8 @@ def mix_sources(docs: DataFrame, most_repeats: float | None = 2.0, entropy: floa
     """The rows of docs, as often as the mixture takes them, with epoch, block, place (order of the mixture, 0 to 1) and tokens."""
     space = Workspace(docs.sparkSession, "mixing")
     names = [c for c in docs.columns if c.lower() not in ("epoch", "block", "place", "tokens")]
-    rows = docs.select(*names).withColumn("tokens", _tokens(text_col)).withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit("\0")))
-    measured = space.write(rows.select(F.col(id_col).alias("id"), F.col("_source").alias("source"), "tokens"), "tokens")
+    rows = docs.select(*names).withColumn("tokens", _tokens(text_col)).withColumn("_mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("\0")))
+    measured = space.write(rows.select(F.col(id_col).alias("id"), F.col("_mix_source").alias("source"), "tokens"), "tokens")
     sources = space.write(measured.groupBy("source").agg(F.sum("tokens").alias("tokens")), "sources")
     plan = space.write(plan_sources(sources, find_exponent(sources, most_repeats, entropy)), "plan")
 
@@ -106,8 +106,10 @@ def mix_sources(docs: DataFrame, most_repeats: float | None = 2.0, entropy: floa
     cuts = reach.where("reach > rest").groupBy("source").agg(F.min("turn").alias("cut"))
     plan = space.write(plan.join(cuts, "source", "left").withColumn("cut", F.when(F.col("rest") > 0, F.coalesce("cut", F.lit((1 << 63) - 1))).otherwise(F.lit(-1))), "planned")
 
-    few = plan.select(F.col("source").alias("_source"), "repeats", "whole", "blocks", "cut")
-    taken = rows.join(few, "_source").withColumn("block", block(id_col)).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole"))))
-    taken = taken.withColumn("_turn", turn(F.col("_source"), F.col("block"), F.col("epoch"))).where((F.col("epoch") < F.col("whole")) | (F.col("_turn") < F.col("cut")))
-    place = (F.col("epoch") + F.col("_turn") / float(1 << 63)) / F.col("repeats")
+    names_of = ("repeats", "whole", "blocks", "cut")
+    few = plan.select(F.col("source").alias("_mix_source"), *(F.col(n).alias(f"_mix_{n}") for n in names_of))
+    taken = rows.join(few, "_mix_source").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col(id_col)), F.col("_mix_blocks")))
+    taken = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_whole")))).withColumn("_mix_turn", turn(F.col("_mix_source"), F.col("block"), F.col("epoch")))
+    taken = taken.where((F.col("epoch") < F.col("_mix_whole")) | (F.col("_mix_turn") < F.col("_mix_cut")))
+    place = (F.col("epoch") + F.col("_mix_turn") / float(1 << 63)) / F.col("_mix_repeats")
     return taken.select(*names, "epoch", "block", F.least(place, F.lit(1.0)).alias("place"), "tokens")

@@ -383,12 +383,12 @@ def strip_passages(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     spans, copies = repeated_spans(docs, length, id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     names = [F.col(c) for c in docs.columns]
-    rows = docs.select(*names, F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit("second"), text).alias("_h2"))
+    rows = docs.select(*names, F.xxhash64(text).alias("_strip_h1"), F.xxhash64(F.lit("second"), text).alias("_strip_h2"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(1 << 40).cast("long").alias("end")))
     marks = spans.join(copies.select("h1", "h2", F.lit(True).alias("copied")), ["h1", "h2"], "full")
-    marks = marks.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.when(F.coalesce("copied", F.lit(False)), whole).otherwise(F.col("spans")).alias("_spans"), F.coalesce("copied", F.lit(False)).alias("_copied"))
-    marked = rows.join(marks, ["_h1", "_h2"], "left")
-    lost = F.when(~F.col("_copied") | (F.octet_length(text) >= length), F.col("_spans"))
+    marks = marks.select(F.col("h1").alias("_strip_h1"), F.col("h2").alias("_strip_h2"), F.when(F.coalesce("copied", F.lit(False)), whole).otherwise(F.col("spans")).alias("_strip_spans"), F.coalesce("copied", F.lit(False)).alias("_strip_copied"))
+    marked = rows.join(marks, ["_strip_h1", "_strip_h2"], "left")
+    lost = F.when(~F.col("_strip_copied") | (F.octet_length(text) >= length), F.col("_strip_spans"))
     place = docs.columns.index(text_col)
-    out = marked.select(*names, lost.alias("_spans")).mapInArrow(_stripper(place), docs.schema)
+    out = marked.select(*names, lost.alias("_strip_spans")).mapInArrow(_stripper(place), docs.schema)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out

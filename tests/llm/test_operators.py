@@ -1,0 +1,471 @@
+"""Operators of factloom.llm on small fixtures: brute force, round trips, and the cases that data throw up."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.llm import chat, language, media, minhash, mixing, neighbours, packing, sharding, suffix_dedup, toxicity
+from factloom.llm.queries import QUERIES, tokenizer_path
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n int, `key` string, part string, rank int, h1 string, tokens string, vector string"
+LONG = " ".join(f"w{i * 7919 % 10007}" for i in range(60_000))
+
+
+def documents(spark, texts, first=0):
+    rows = [(first + i if i != 5 else None, t, None if i % 3 else "en", None if i % 4 == 0 else f"s{i % 2}", 0, i, "k", "p", i, "h", "t", "v") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, blank, wordless, one-word, repeated, accented, very long texts; a null id; extra columns."""
+    base = " ".join(f"tok{i}" for i in range(200))
+    return documents(spark, [None, "", "  \n", "!!!", "word", base, base, base + " more", "Éa ñu 日本語 " * 50, LONG, LONG, "word"]).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark, odd):
+    return odd.where("false")
+
+
+def collect(df):
+    return [r.asDict() for r in df.collect()]
+
+
+# near duplicates
+
+def shingle_sets(rows, words):
+    fold = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
+    out = {}
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(fold))
+        out[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+    return out
+
+
+def brute_components(sets):
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    names, where = sorted(sets), defaultdict(list)
+    for i in names:
+        shared = Counter(j for s in sets[i] for j in where[s])
+        for s in sets[i]:
+            where[s].append(i)
+        for j, n in shared.items():
+            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in names}
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_near_duplicates_equal_brute_force(spark, words):
+    rng = random.Random(words)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(3, 150))]
+        for _ in range(rng.randrange(1, 9)):
+            copy = list(base)
+            for _ in range(rng.randrange(0, max(2, len(base) // 12))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(copy).upper() if rng.random() < 0.3 else "\t".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in collect(minhash.near_duplicates(df, words))}
+    sets = shingle_sets(enumerate(texts), words)
+    want = brute_components(sets)
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert all(got[i]["n_shingles"] == len(s) and got[i]["kept"] == (want[i] == i) for i, s in sets.items())
+
+
+def test_near_duplicates_crowded_bands_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CROWD", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*base[:k], "zz", *base[k + 1 :]]) for k in range(0, 60, 3)] + ["alone in the world of words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in collect(minhash.near_duplicates(df, 2))}
+    assert got == brute_components(shingle_sets(enumerate(texts), 2))
+
+
+def test_near_duplicates_odd_rows(odd, empty):
+    got = sorted(collect(minhash.near_duplicates(odd, 2)), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == 12 and by[0]["n_shingles"] == by[1]["n_shingles"] == 0 and by[0]["kept"] and by[3]["n_shingles"] == 1
+    assert by[4]["component_id"] == by[11]["component_id"] == 4 and by[10]["component_id"] == 9 and by[None]["component_id"] is None and by[None]["kept"]
+    assert by[7]["component_id"] == 6
+    assert collect(minhash.near_duplicates(empty)) == []
+
+
+def test_sketch_fills_and_estimates():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
+    b = np.concatenate((a[:900], rng.integers(0, 1 << 63, 100, dtype=np.uint64)))
+    small = a[:2]
+    table = minhash.sketch(np.concatenate((a, b, small)), np.array([0, 1000, 2000, 2002]))
+    assert (table != 0xFFFFFFFF).all()
+    assert abs((table[0] == table[1]).mean() - 900 / 1100) < 0.12
+
+
+# passages
+
+def brute_passages(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(x[i : i + length] for x in raw for i in range(len(x) - length + 1))
+    out = []
+    for x in raw:
+        gone = bytearray(len(x))
+        for i in range(len(x) - length + 1):
+            if seen[x[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(c for c, g in zip(x, gone, strict=True) if not g)
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        out.append((len(x), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [20_000, 2])
+def test_passages_equal_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdeéñ ") for _ in range(rng.randrange(1, 9)))
+    passages = [" ".join(word() for _ in range(n)) for n in (90, 100, 150, 300)]
+    texts = [" ".join([*(word() for _ in range(rng.randrange(60))), rng.choice(passages)[rng.randrange(30) :], *(word() for _ in range(rng.randrange(80)))]) for _ in range(24)]
+    texts += ["a" * 900, "ab" * 450, "x" * 399, passages[0], passages[0], None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in collect(suffix_dedup.dedup_passages(df))}
+    assert [got[i] for i in range(len(texts))] == brute_passages(texts, 400)
+    stripped = {r["doc_id"]: r["text"] for r in collect(suffix_dedup.strip_passages(df))}
+    kept = {r["doc_id"]: r["kept"] for r in collect(suffix_dedup.dedup_passages(df, with_text=True))}
+    assert all((stripped[i] or "") == bytes(kept[i]).decode(errors="ignore") for i in kept)
+
+
+def test_passages_odd_rows(odd, empty):
+    got = collect(suffix_dedup.dedup_passages(odd))
+    assert len(got) == 12 and sum(r["n_removed"] == len(LONG) for r in got) == 2
+    assert collect(suffix_dedup.dedup_passages(empty)) == []
+    assert suffix_dedup.strip_passages(odd).columns == odd.columns
+
+
+def test_long_texts_are_cut_with_overlap(monkeypatch):
+    data = np.frombuffer(LONG.encode(), np.uint8)
+    whole = suffix_dedup.anchors_of(data, np.array([0, len(data)]), 400)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 50_000)
+    pieces = list(suffix_dedup._parts(np.array([0, len(data)]), 400))
+    assert len(pieces) > 3
+    windows = sum(int((last - first + 1).sum()) for a, b, low, high in pieces for *_, first, last in [suffix_dedup.anchors_of(data[low:high], np.array([0, high - low]), 400)])
+    assert windows == int((whole[4] - whole[3] + 1).sum()) == len(data) - 399
+
+
+# packing
+
+def test_packing_round_trip(spark, odd, empty):
+    got = collect(packing.pack(odd, tokenizer_path(), with_ids=True))
+    windows = defaultdict(list)
+    for r in got:
+        windows[r["sequence_id"]].append(r)
+        assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+    for rows in windows.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokenizer_path())
+    text = {r.doc_id: r.text for r in odd.collect()}
+    pieces = defaultdict(list)
+    for r in got:
+        pieces[r["doc_id"]].append((r["start"], bytes(r["ids"]), r["doc_tokens"]))
+    for i in (0, 1, 2, 3, 4, 8, 9):
+        ids = np.frombuffer(b"".join(p for _, p, _ in sorted(pieces[i])), np.uint32).tolist()
+        assert ids == [*own.encode(text[i] or "", add_special_tokens=False).ids, 0] and pieces[i][0][2] == len(ids)
+    assert collect(packing.pack(empty, tokenizer_path())) == []
+
+
+def test_packing_plan_is_exact_and_tight():
+    rng = random.Random(3)
+    counts = Counter(rng.randrange(1, 1025) for _ in range(20_000))
+    made = packing.plan(dict(counts), 1024)
+    used, total, windows = Counter(), 0, 0
+    for uses, repeats in made:
+        assert repeats > 0 and sum(n * k for n, k in uses) <= 1024
+        windows += repeats
+        for length, n in uses:
+            used[length] += n * repeats
+            total += length * n * repeats
+    assert used == counts and total / (1024 * windows) > 0.98
+
+
+def test_encoders_agree():
+    from tokenizers import Tokenizer
+
+    own, fast = Tokenizer.from_file(tokenizer_path()), packing.load_encoder(tokenizer_path())
+    own.encode_special_tokens = True
+    rng = random.Random(5)
+    for _ in range(500):
+        text = "".join(rng.choice(["a", "The", " ", "  ", "\n", "é", "日本", "😀", "1", "23", "'s", "'LL", "!", "\t", " ", " ", "İ", "<|endoftext|>"]) for _ in range(rng.randrange(0, 30)))
+        assert own.encode(text, add_special_tokens=False).ids == fast(text)
+
+
+# sharding
+
+def test_sharding_is_minimax(spark):
+    rng = random.Random(2)
+    texts = [f"t{rng.randrange(60)} " * rng.randrange(1, 40) for _ in range(300)] + ["hot " * 100] * 120
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = collect(sharding.shard(df, shards=7))
+    order = [r.s for r in df.select(F.xxhash64("text").alias("k"), (F.octet_length("text") + 16).alias("s")).groupBy("k").agg(F.sum("s").alias("s")).orderBy(F.conv(F.hex("k"), 16, 10).cast("decimal(20,0)")).collect()]
+
+    def need(capacity):
+        n, at = 1, 0
+        for s in order:
+            if at + s > capacity:
+                n, at = n + 1, 0
+            at += s
+        return n
+
+    best = min(c for c in {sum(order[i:j]) for i in range(len(order)) for j in range(i + 1, len(order) + 1)} if c >= max(order) and need(c) <= 7)
+    sizes, slots, homes = Counter(), defaultdict(list), defaultdict(set)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        homes[texts[r["doc_id"]]].add(r["shard"])
+        assert r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) and r["size"] == len(texts[r["doc_id"]].encode()) + 16
+    assert max(sizes.values()) == best and all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(h) == 1 for h in homes.values())
+
+
+def test_sharding_refines_its_summary(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FIRST_BITS", 2)
+    monkeypatch.setattr(sharding, "STEP_BITS", 3)
+    monkeypatch.setattr(sharding, "WHOLE", 4)
+    df = spark.createDataFrame([(i, f"text {i} " * (i % 13 + 1)) for i in range(400)], "doc_id long, text string")
+    coarse = Counter()
+    for r in collect(sharding.shard(df, shards=9)):
+        coarse[r["shard"]] += r["size"]
+    monkeypatch.undo()
+    fine = Counter()
+    for r in collect(sharding.shard(df, shards=9)):
+        fine[r["shard"]] += r["size"]
+    assert coarse == fine
+
+
+def test_sharding_odd_rows(odd, empty):
+    got = collect(sharding.shard(odd))
+    assert len(got) == 12 and {r["size"] for r in got if r["doc_id"] in (0, 1)} == {16} and {r["text_crc32"] for r in got if r["doc_id"] in (0, 1)} == {0}
+    assert collect(sharding.shard(empty)) == []
+
+
+# neighbours
+
+def test_neighbours_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(neighbours, "CANDIDATE_BLOCK", 90)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16)).round(3)
+    x[50:120] = x[7]  # many equal vectors: ties go to the smaller id
+    rows = [(i, v.tolist(), 0, "x") for i, v in enumerate(x)]
+    rows += [(400, None, 0, "x"), (401, [0.0] * 16, 0, "x"), (402, [float("nan")] * 16, 0, "x"), (403, [float("inf")] + [1.0] * 15, 0, "x"), (404, [None] + [1.0] * 15, 0, "x"), (405, [1.0] * 4, 0, "x"), (None, [1.0] * 16, 0, "x"), (406, [], 0, "x"), (3, x[3].tolist(), 0, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int, query_id string")
+    got = defaultdict(list)
+    for r in collect(neighbours.nearest(df.where("vec_id % 5 = 0"), df, 9)):
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 400, 5))
+    for q, found in got.items():
+        score = np.array([sum(float(a) * float(b) for a, b in zip(x[q], v, strict=True)) for v in x])
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(400), -score.round(12)))[:9]
+        assert [v for _, v, _ in sorted(found)] == best.tolist() and np.allclose([s for *_, s in sorted(found)], score[best], atol=1e-12)
+    assert collect(neighbours.nearest(df.where("false"), df, 3)) == [] and collect(neighbours.nearest(df, df.where("false"), 3)) == []
+
+
+# chat
+
+def test_chat_round_trip(spark):
+    rng = random.Random(1)
+    parts = ["<", "s", ">", "/", "[", "INST", "]", "\\", "<|", "turn|>", "<|text|>", "<|end|>", "\n", "<<SYS>>", "<</SYS>>", "é", " "]
+    rows = []
+    for conv in range(30):
+        for turn in range(rng.randrange(1, 8)):
+            rows.append((conv, turn, rng.choice(["user", "assistant", "system", None, "tool<|text|>"]), rng.choice([None, "", "".join(rng.choice(parts) for _ in range(rng.randrange(12)))]), "x", 1))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment string, n_turns int")
+    got = {r["conv_id"]: r for r in collect(chat.read_back(chat.format_conversations(df)))}
+    for conv in range(30):
+        own = [(r or "", t or "") for c, _, r, t, *_ in sorted(rows, key=lambda x: (x[0], x[1])) if c == conv]
+        loss = "".join(t for r, t in own if r == "assistant")
+        assert got[conv]["n_turns"] == len(own) and got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+        assert got[conv]["loss_chars"] == len(loss) and got[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+    assert collect(chat.read_back(chat.format_conversations(df.where("false")))) == []
+
+
+def test_chat_order_and_escapes(spark):
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "assistant", "b"), (3, 0, "system", "s"), (3, 1, "user", "u"), (3, 2, "user", "u")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    valid = {r["conv_id"]: r["valid"] for r in collect(chat.read_back(chat.format_conversations(df)))}
+    assert valid == {1: True, 2: False, 3: False}
+    escape = chat.Escape(chat.Template())
+    for text in ("</s>[INST] ok [/INST]", "<\\s>", "<\\\\s>", "<<s>", "<|end|>\n", "[[INST]"):
+        assert escape.remove(escape.add(text)) == text
+        assert not any(mark in escape.add(text) for mark in ("<s>", "</s>", "[INST]", "[/INST]", "<|end|>"))
+
+
+# language
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = collect(QUERIES["op1_language"](spark, SF))
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    held = [r for r in got if r["held_out"]]
+    assert len(got) == len(lang) and len(held) > 20 and np.mean([lang[r["doc_id"]] == r["lang_pred"] for r in held]) >= 0.95
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_odd_rows(spark, odd, empty):
+    learn = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: r for r in collect(language.identify_language(odd, learn))}
+    assert len(got) == 12 and got[0]["lang_pred"] == got[1]["lang_pred"] == got[3]["lang_pred"] == "und" and got[9]["lang_pred"] != "und"
+    assert collect(language.identify_language(empty, learn)) == [] and {r["lang_pred"] for r in collect(language.identify_language(odd, empty))} == {"und"}
+
+
+def test_language_families():
+    rng = np.random.default_rng(0)
+    a, b = rng.random(50), rng.random(50)
+    means = {"x1": a, "x2": a + rng.random(50) / 10, "y1": b, "y2": b + rng.random(50) / 10}
+    assert sorted(map(sorted, language.families(means))) == [["x1", "x2"], ["y1", "y2"]]
+
+
+# toxicity
+
+def test_toxicity_index_is_exact():
+    rng = np.random.default_rng(2)
+    rows = []
+    for _ in range(500):
+        t = np.sort(rng.choice(60, rng.integers(0, 9), replace=False))
+        rows.append((t, rng.integers(1, 4, len(t))))
+    weights = rng.random(60) + 0.5
+    index = toxicity.Index(np.arange(500), rng.integers(0, 2, 500), rows, weights)
+    for t, c in rows[:80]:
+        found, score = index.nearest(t, c, 15)
+        q = (1 + np.log(c)) * weights[t]
+        all_scores = (q / max(1e-12, np.linalg.norm(q))) @ index.impacts[t][:, :500] if len(t) else np.zeros(500)
+        best = np.lexsort((index.ids, -all_scores.round(12)))[:15]
+        best = best[all_scores[best] > 0]
+        assert found.tolist() == best.tolist() and np.allclose(score, all_scores[best])
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in collect(QUERIES["op4_toxicity"](spark, sf))}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = [(got[i]["score"], y) for i, y in labels.items() if got[i]["held_out"]]
+    good, bad = [s for s, y in held if not y], [s for s, y in held if y]
+    auc = np.mean([[(b > g) + 0.5 * (b == g) for g in good] for b in bad])
+    assert auc > 0.85 and np.mean([s >= 0.5 for s in good]) < 0.05
+
+
+def test_toxicity_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(i, i % 2, 5) for i in range(12)] + [(3, None, 1), (None, 1, 1)], "doc_id long, toxic int, id int")
+    got = collect(toxicity.score_toxicity(odd, labels))
+    assert len(got) == 12 and all(0 <= r["score"] <= 1 for r in got)
+    assert collect(toxicity.score_toxicity(empty, labels)) == [] and {r["score"] for r in collect(toxicity.score_toxicity(odd, labels.where("false")))} == {0.0}
+
+
+# mixing
+
+def test_mixing_meets_its_limit(spark):
+    rows = [(i, "w " * (i % 50), "big" if i % 10 else f"s{i % 3}", 1, 2) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repeats int, cut int")
+    got = collect(mixing.mix_sources(df, most_repeats=2.0))
+    seen = Counter(r["doc_id"] for r in got)
+    assert len(seen) == 6000 and max(seen.values()) <= 2
+    tokens, mixed = Counter(), Counter()
+    for i, text, source, *_ in rows:
+        tokens[source] += len(text.split()) + 1
+    for r in got:
+        mixed[r["source"]] += r["tokens"]
+    ratio = {s: mixed[s] / tokens[s] for s in tokens}
+    assert ratio["big"] == 1 and 1 <= min(ratio.values()) and max(ratio.values()) <= 2.0 and all(0 <= r["place"] <= 1 for r in got)
+
+
+def test_mixing_exponent(spark):
+    sources = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10)], "source string, tokens long")
+    a = mixing.find_exponent(sources, 2.0, None)
+    assert abs((1000 / 10) ** (1 - a) - 2.0) < 1e-6
+    e = mixing.find_exponent(sources, None, 0.9)
+    p = np.array([1000.0, 100, 10]) ** e
+    p /= p.sum()
+    assert abs(-(p * np.log(p)).sum() - 0.9) < 1e-6
+
+
+def test_mixing_odd_rows(odd, empty):
+    got = collect(mixing.mix_sources(odd))
+    assert {r["n"] for r in got} == set(range(12)) and collect(mixing.mix_sources(empty)) == []
+
+
+# media
+
+def test_media_alignment(spark):
+    rng = np.random.default_rng(3)
+    t = np.arange(24_000)
+    tune = sum(np.sin(2 * np.pi * f * t / media.RATE) * ((t // 3000) % 4 == k) for k, f in enumerate((110, 220, 330, 494)))
+    noise = rng.normal(size=24_000)
+    wave = lambda x: bytes(np.clip(128 + 50 * x, 0, 255).astype(np.uint8))
+    base = wave(tune + 0.3 * noise)
+    shift = 5 * media.HOP
+    other = wave(rng.normal(size=24_000))
+    rows = [(1, base, 0), (2, base, 0), (3, base[shift:], 0), (4, other, 0), (5, None, 0), (6, b"", 0), (7, b"short", 0), (2, base, 0)]
+    df = spark.createDataFrame(rows, "id long, audio binary, mark int")
+    got = {r["id"]: r for r in collect(media.align_recordings(df, "id", "audio"))}
+    assert got[2]["reference"] == 1 and got[2]["offset"] == 0 and got[2]["wrong_bits"] == 0
+    assert got[3]["reference"] == 1 and got[3]["offset"] == -5 and got[3]["wrong_bits"] == 0
+    assert got[4]["reference"] is None and got[5]["n_codes"] == got[6]["n_codes"] == got[7]["n_codes"] == 0 and len(got) == 7
+    assert collect(media.align_recordings(df.where("false"), "id", "audio")) == []
+
+
+def test_media_filters_equal_plain_sums():
+    rng = np.random.default_rng(5)
+    samples = rng.integers(0, 256, 6000, dtype=np.uint8)
+    image, code = media.chroma(samples).astype(float), media.codes(samples)
+    kind, c, classes, t = media.FILTERS[1]
+    for at in (0, 7, len(code) - 1):
+        a, b = image[at : at + t, c : c + classes // 2].sum(), image[at : at + t, c + classes // 2 : c + classes].sum()
+        v = math.log1p(a) - math.log1p(b)
+        level = (v > -0.25) + (v > 0) + (v > 0.25)
+        assert kind == 1 and (int(code[at]) >> 28 & 3) == level ^ level >> 1
+
+
+# pipeline
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want, sizes = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        docs = docs.sparkSession.createDataFrame(docs.collect(), docs.schema)
+        assert docs.columns == want, name
+        sizes.append(docs.count())
+    assert sizes[1] == docs.select("doc_id").distinct().count() and sizes[0] > sizes[1]
+    packed = collect(corpus_pipeline.run(spark, SF))
+    assert len({r["doc_id"] for r in packed}) == sizes[1]
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark, odd):
+    import corpus_pipeline
+
+    got = corpus_pipeline.near_dedup(spark, odd.unionByName(odd).where("doc_id IS NOT NULL"), SF).groupBy("doc_id").count().collect()
+    assert all(r["count"] == 1 for r in got)
