@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Hebrew prefixes, stop words, dictionaries and patterns of the domain.
 PREFIXES = "והבלמשכ"
@@ -37,7 +38,7 @@ PAGE_NUMBER_ONLY = r"^[\s\-–—]*\d{1,4}[\s\-–—]*$"
 PLACE_TRIM = " .,:;"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Compatibility composition; plain ASCII passes through."""
     return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
