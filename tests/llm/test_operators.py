@@ -360,7 +360,7 @@ def test_toxicity_index_is_exact():
     for t, c in rows[:80]:
         found, score = index.nearest(t, c, 15)
         q = (1 + np.log(c)) * weights[t]
-        all_scores = (q / max(1e-12, np.linalg.norm(q))) @ index.impacts[t][:, :500] if len(t) else np.zeros(500)
+        all_scores = (q / max(1e-12, np.linalg.norm(q))) @ index.impacts.reshape(60, -1)[t][:, :500] if len(t) else np.zeros(500)
         best = np.lexsort((index.ids, -all_scores.round(12)))[:15]
         best = best[all_scores[best] > 0]
         assert found.tolist() == best.tolist() and np.allclose(score, all_scores[best])
