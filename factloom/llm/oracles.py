@@ -1,3 +1,49 @@
 """DuckDB SQL of the queries of this package that SQL can express."""
 
 ORACLES: dict[str, str] = {}
+
+#: The default template: marks of 8, 8 and 8 characters; every control string in a text costs one more.
+ORACLES["op2_chat"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+    len(regexp_extract_all(text, '<\\*(s>|/s>|<\\*/?SYS>>|\|(turn|text|end|im_start|im_end|endoftext)\|>)|\[\\*/?INST\]')) AS escapes
+  FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(8 + length(role) + 8 + length(text) + escapes + 8) AS BIGINT) AS formatted_chars,
+  bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' ELSE false END) AS valid
+FROM o GROUP BY conv_id"""
+
+ORACLES["op5_nearest"] = """
+WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+ORACLES["op9_dedup_passages"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS raw, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT r, i, md5(raw[i + 1 : i + 400]) AS h FROM (SELECT r, raw, unnest(range(n - 399)) AS i FROM d WHERE n >= 400)),
+hit AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+edge AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS opens FROM hit),
+run AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS g FROM edge) GROUP BY r, g),
+cut AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY r ORDER BY a) IS NULL AS last FROM run),
+kept AS (SELECT r, count(*) AS spans, sum(b - a) AS gone, string_agg(hex(raw[before + 1 : a]) || CASE WHEN last THEN hex(raw[b + 1 : n]) ELSE '' END, '' ORDER BY a) AS bytes FROM cut JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(CASE WHEN spans IS NULL THEN raw ELSE unhex(bytes) END) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+ORACLES["op10_near_duplicates"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, a || ' ' || b AS g FROM (SELECT doc_id, unnest(w[1 : len(w) - 1]) AS a, unnest(w[2:]) AS b FROM d WHERE len(w) > 1) UNION SELECT doc_id, w[1] FROM d WHERE len(w) = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 80 * (a.n + b.n - k)),
+two AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+reach AS (SELECT DISTINCT doc_id, doc_id AS c FROM documents UNION SELECT two.v, reach.c FROM reach JOIN two ON two.u = reach.doc_id),
+c AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id, documents.doc_id = component_id AS kept FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""

@@ -469,3 +469,23 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, odd):
 
     got = corpus_pipeline.near_dedup(spark, odd.unionByName(odd).where("doc_id IS NOT NULL"), SF).groupBy("doc_id").count().collect()
     assert all(r["count"] == 1 for r in got)
+
+
+# SQL
+
+@pytest.mark.parametrize("name", ["op2_chat", "op5_nearest", "op9_dedup_passages", "op10_near_duplicates"])
+def test_query_equals_sql(spark, name):
+    import glob
+    import os
+
+    import duckdb
+
+    from factloom.llm.oracles import ORACLES
+
+    c = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        c.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    want = c.sql(ORACLES[name])
+    columns = sorted(want.columns)
+    got = sorted(tuple(r) for r in QUERIES[name](spark, SF).select(columns).collect())
+    assert got == sorted(tuple(r) for r in want.select(*(f'"{x}"' for x in columns)).fetchall())
