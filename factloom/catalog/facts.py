@@ -140,17 +140,24 @@ def parse_values(t):
     return d.select("x", N.parse_money(F.col("x")).cast("double").alias("money"), N.parse_date(F.col("x")).alias("day"))
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(text, '[\\s\\x{00A0}]+', ' ', 'g'), '^ +| +$', '', 'g'))) AS plain FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(text, '\\d,\\d\\d\\d')")
+GROUPED = "text"
+for _ in range(4):  # a comma goes if exactly three digits follow; what a pass consumes, the next one sees
+    GROUPED = f"regexp_replace({GROUPED}, '(\\d),(\\d\\d\\d)([^0-9]|$)', '\\1\\2\\3', 'g')"
+
+
+@query(f"SELECT doc_id, lower(trim(regexp_replace({GROUPED}, '[\\s\\x{{00A0}}]+', ' ', 'g'))) AS plain FROM documents")
 def normalize_text(t):
-    """The comparison form, on texts where SQL can say it too: plain ASCII without grouped numbers."""
-    plain = t.documents.where(~F.col("text").rlike(r"[^\x00-\x7F]") & ~F.col("text").rlike(r"\d,\d\d\d"))
-    return plain.select("doc_id", T.base_normalize(F.col("text")).alias("plain"))
+    """The comparison form of every text."""
+    return t.documents.select("doc_id", T.base_normalize(F.col("text")).alias("plain"))
 
 
-@query("SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '(^|[^A-Za-z0-9_\\x{0080}-\\x{10FFFF}])(\\d+)', 2), lambda n: CAST(CAST(n AS HUGEINT) AS VARCHAR))))[1:5] AS numbers FROM documents WHERE doc_id < 0")
-def numbers_shape(t):
-    """The shape of extracted numbers (an empty selection; values are tested against literals)."""
-    return t.documents.where("doc_id < 0").select("doc_id", F.slice(F.array_sort(T.numbers_in(F.col("text"))), 1, 5).alias("numbers"))
+@query(r"""WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\[E\d+\]', ' ', 'g'), '(?m)^\s*\d{1,2}[.)]\s', ' ', 'g') AS x FROM documents),
+  n AS (SELECT doc_id, regexp_replace(replace(unnest(regexp_extract_all(x, '(^|[^\p{L}\p{N}_])(\d[\d,]*(\.\d+)?)', 2)), ',', ''), '^0+(\d)', '\1') AS v FROM p)
+  SELECT doc_id, string_agg(DISTINCT CASE WHEN contains(v, '.') THEN regexp_replace(v, '\.?0+$', '') ELSE v END, ' ' ORDER BY CASE WHEN contains(v, '.') THEN regexp_replace(v, '\.?0+$', '') ELSE v END) AS numbers FROM n GROUP BY doc_id""")
+def numbers_in_texts(t):
+    """Distinct numbers of every text in canonical form."""
+    found = t.documents.select("doc_id", T.numbers_in(F.col("text")).alias("n")).where(F.size("n") > 0)
+    return found.select("doc_id", F.array_join(F.array_sort("n"), " ").alias("numbers"))
 
 
 @query("""SELECT o_orderkey AS k, CAST(least(300, 5 * pow(2, greatest(0, o_orderkey % 9 - 1))) AS INTEGER) AS backoff, round(ln((1000 + 1) / (o_orderkey % 50 + 0.5)), 9) AS idf FROM orders""")

@@ -172,12 +172,12 @@ def latency_percentiles(t):
     return out.select("event_type", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"), "most")
 
 
-@query("""WITH a AS (SELECT doc_id, i, string_split(text, ' ')[i] AS w FROM documents, range(1, 9) r(i) WHERE len(string_split(text, ' ')) >= i),
-  b AS (SELECT item_id, i, string_split(text, ' ')[i] AS w FROM benchmark, range(1, 9) r(i) WHERE len(string_split(text, ' ')) >= i)
+@query("""WITH a AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents),
+  b AS (SELECT item_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM benchmark)
   SELECT item_id, count(*) AS cells, count(*) FILTER (WHERE a.w IS NOT DISTINCT FROM b.w) AS correct FROM b LEFT JOIN a ON a.doc_id = b.item_id AND a.i = b.i GROUP BY item_id""")
 def table_accuracy(t):
     """Cell accuracy against an answer key: both sides exploded by position, null-safe comparison."""
-    cells = lambda df, key: df.select(F.col(key).alias("k"), F.posexplode(F.slice(F.split("text", " "), 1, 8)).alias("i", "w"))
+    cells = lambda df, key: df.select(F.col(key).alias("k"), F.posexplode(F.split("text", " ")).alias("i", "w"))
     truth, got = cells(t.benchmark, "item_id"), cells(t.documents, "doc_id").withColumnRenamed("w", "g")
     joined = truth.join(got, ["k", "i"], "left")
     return joined.groupBy(F.col("k").alias("item_id")).agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("w").eqNullSafe(F.col("g"))).alias("correct"))

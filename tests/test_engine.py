@@ -104,7 +104,9 @@ def test_history(spark, engine):
     assert got == {"q1": (True, False), "q2": (False, True), "q3": (False, False)}
 
 
-def test_small_rules():
+def test_small_rules(engine):
+    row = saved(engine.ask(ADMIN, QUESTION), "q", "c", 1)
+    assert row["outcome"] == "numeric" and row["conditions"]["city"] == CITY
     assert [shown(x) for x in (None, 1234567, 1234.5, Decimal("0.005"))] == ["—", "1,234,567", "1,234.50", "0.01"]
     assert merge_filters(Conditions(city="a"), {"city": "b", "area_type": "net"}) == (Conditions(city="a", area_type="net"), ["city"])
     assert [choose_provider(*x) for x in ((True, "k", False), (True, None, False), (False, None, True), (False, None, False))] == ["cloud", "enabled_no_key", "demo", "extractive"]
