@@ -45,6 +45,13 @@ def doc_frequency_one_pass(t):
     return R.frequencies(_chunks(t), TERMS)
 
 
+@query(f"WITH {TOK}, {LEX} SELECT chunk_id, score FROM lex")
+def lexical_by_postings(t):
+    """The same list from an inverted index."""
+    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
+    return R.lexical_by_postings(R.postings(chunks), chunks.count(), TERMS)
+
+
 @query(f"WITH {TOK}, {TRI} SELECT chunk_id, score FROM tri")
 def trigram_top40(t):
     return R.trigram(_chunks(t), QUERY)

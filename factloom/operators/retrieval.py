@@ -107,6 +107,19 @@ def semantic(chunks: DataFrame, vector: list[float], model: str | None = None, m
     return rows.select("chunk_id", F.round(cosine(F.col("embedding"), asked), 9).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(most)
 
 
+def postings(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, n): an inverted index to be written by term, for corpora too large to scan for each question."""
+    return chunks.select("chunk_id", F.explode(words(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lexical_by_postings(index: DataFrame, total: int, terms: list[str], most: int = CANDIDATES) -> DataFrame:
+    """The lexical list from the index: only the asked terms' postings are read."""
+    own = index.where(F.col("term").isin(*terms)).select("term", "chunk_id")
+    weights = own.groupBy("term").agg(F.count(F.lit(1)).alias("d")).select("term", F.log((F.lit(max(total, 1)) + 1) / (F.col("d") + 0.5)).alias("w"))
+    found = own.join(F.broadcast(weights), "term").groupBy("chunk_id").agg(F.round(F.sum("w"), 9).alias("score"), F.count(F.lit(1)).alias("hits"))
+    return found.orderBy(F.desc("score"), F.desc("hits"), "chunk_id").limit(most).select("chunk_id", "score")
+
+
 def ranked(found: DataFrame, name: str) -> DataFrame:
     """Ranks from 1 of a list that is already cut to its candidates, so one task holds at most that many rows."""
     order = Window.orderBy(F.desc("score"), "chunk_id")

@@ -64,6 +64,28 @@ def carry_forward(turns: DataFrame, columns: list[str]) -> DataFrame:
     return turns.select("conv_id", "turn", *(F.last(c, ignorenulls=True).over(so_far).alias(c) for c in columns))
 
 
+def stream_conversations(turns: DataFrame, columns: list[str]) -> DataFrame:
+    """The streaming form: each conversation's last stated conditions (strings) are keyed state, turns come in order of their number
+    within a batch; a turn that arrives after a later one finds that one's state."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    fields = ", ".join(f"{c} string" for c in columns)
+
+    def fold(key, batches, state):
+        known = list(state.get) if state.exists else [None] * len(columns)
+        for batch in batches:
+            out = []
+            for row in batch.sort_values("turn").to_dict("records"):
+                known = [row[c] if isinstance(row[c], str) else k for c, k in zip(columns, known, strict=True)]
+                out.append((key[0], row["turn"], *known))
+            yield pd.DataFrame(out, columns=["conv_id", "turn", *columns])
+        state.update(tuple(known))
+
+    own = turns.select("conv_id", "turn", *columns)
+    return own.groupBy("conv_id").applyInPandasWithState(fold, f"conv_id long, turn long, {fields}", fields, "append", GroupStateTimeout.NoTimeout)
+
+
 def publish_batch(path: str):
     """A foreachBatch sink that replaces whole versions, so a batch that is run again changes nothing."""
     from ..sources.files import write_version

@@ -195,6 +195,42 @@ def test_ocr_layout(spark):
         ocr.recognise(words, None)
 
 
+def test_image_layout(spark):
+    import numpy as np
+
+    page = np.full((120, 200), 255, np.uint8)
+    page[[10, 50, 90], 10:190] = 0
+    page[10:91, [10, 100, 189]] = 0
+    assert ocr.rules(ocr.ink(page)) == [(10, 11), (50, 51), (90, 91)] and len(ocr.grid_boxes(ocr.ink(page))) == 4
+    turned = np.full((160, 200), 255, np.uint8)
+    for y in (30, 70, 110):
+        for x in range(200):
+            turned[y + round(np.tan(np.radians(1.5)) * x), x] = 0
+    assert ocr.skew(ocr.ink(turned)) == 1.5 and len(ocr.rules(ocr.straighten(ocr.ink(turned), 1.5), 0.9)) == 3 and ocr.skew(ocr.ink(np.full((9, 9), 255))) == 0
+    df = spark.createDataFrame([(1, 200, 120, page.tobytes())], "page_id long, width int, height int, pixels binary")
+    got = ocr.find_grids(df).collect()
+    assert [(r.row_no, r.col_no, r.x0, r.y0) for r in got] == [(0, 0, 11, 11), (0, 1, 101, 11), (1, 0, 11, 51), (1, 1, 101, 51)]
+    cells = spark.createDataFrame([(1, 0, 0, "a", 0.5), (1, 0, 0, "b", 0.9)], "page_id int, row_no int, col_no int, text string, score double")
+    assert ocr.better_reading(cells).first()["text"] == "b"
+
+
+def test_chunk_numbers(spark):
+    pages = spark.createDataFrame([("v", 1, "one\n1. פרק\ntwo")], "version_id string, page_no int, text string")
+    tables = spark.createDataFrame([("v", 0, ["h"], [(1, ["x"]), (1, [""])], None)], "version_id string, table_index int, headers array<string>, rows array<struct<page:int,cells:array<string>>>, section string")
+    got = D.all_chunks(D.pack_lines(D.with_sections(D.lines_of(pages))), D.table_chunks(tables)).orderBy("chunk_index").collect()
+    assert [(r.chunk_index, r.kind, r.text) for r in got] == [(0, "text", "one"), (1, "text", "1. פרק\ntwo"), (2, "table_row", "h: x")]
+
+
+def test_conversation_stream(spark, tmp_path):
+    src = str(tmp_path / "turns")
+    shape = "conv_id long, turn long, city string, kind string"
+    spark.createDataFrame([(1, 0, "a", None), (1, 1, None, "k"), (2, 0, None, None), (1, 2, "b", None)], shape).write.parquet(src)
+    q = jobs.stream_conversations(spark.readStream.schema(shape).parquet(src), ["city", "kind"]).writeStream.format("memory").queryName("turns").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.conv_id, r.turn): (r.city, r.kind) for r in spark.table("turns").collect()}
+    assert got == {(1, 0): ("a", None), (1, 1): ("a", "k"), (1, 2): ("b", "k"), (2, 0): (None, None)}
+
+
 def test_streams(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:30"), (1, "2024-01-01 00:05:00"), (2, "2024-01-01 00:05:00")]
     src = str(tmp_path / "in")
