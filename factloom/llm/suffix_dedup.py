@@ -51,7 +51,7 @@ CHUNK = 1 << 20
 CROWD = 20_000
 EIGHTHS = 8
 #: Symbols of a collection that are held at a time.
-HELD = 24 << 20
+HELD = 8 << 20
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -123,11 +123,13 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarra
     sizes = np.array([len(c) for c in contexts], np.int64)
     far = int((sizes - before).max())  # columns to the right of the anchor
     deep = int(before.max())
-    symbols = np.zeros((deep + far, n), np.uint16)  # column by column; 0: the document isn't there
-    flat = np.frombuffer(b"".join(contexts), np.uint8)
-    row = np.repeat(np.arange(n), sizes)
-    column = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) - np.repeat(before, sizes) + deep
-    symbols[column, row] = flat.astype(np.uint16) + 1
+    rows = np.zeros((n, deep + far), np.uint16)  # 0: the document isn't there
+    for i, (context, left) in enumerate(zip(contexts, before.tolist(), strict=True)):
+        at = deep - left
+        rows[i, at : at + len(context)] = np.frombuffer(context, np.uint8)
+        rows[i, at : at + len(context)] += 1
+    symbols = np.ascontiguousarray(rows.T)  # column by column
+    del rows
     order, common = np.arange(n), np.zeros(n, np.int32)  # common[r]: prefix shared with the document at rank r - 1
     ranks_by_group = group.astype(np.int64) * 257
     for c in range(deep + far - 1, -1, -1):
