@@ -13,8 +13,8 @@ Documents with equal shingle sets are one class and only its least document goes
 on. Within a band, a walk finds which members hang together by pairs whose
 sketches agree often enough, and gives one edge per member, not all pairs. The
 components of these edges hold every link, so the full sets of their members
-meet there, in blocks of bounded size where a component is large, and a walk over
-exact comparisons gives the confirmed links, again at most one per member.
+meet there, in blocks of bounded size where a component is large, and walks over
+exact comparisons give the confirmed links, again a forest and not all pairs.
 No partner is capped: every pair of a component is either compared exactly or
 already connected.
 
@@ -230,19 +230,24 @@ def _band_walk(percent: int):
     return run
 
 
-def exact_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose intersection reaches percent of their union."""
-    sizes = np.array([len(x) for x in sets], np.int64)
+def exact_parts(ids: list[int], parts: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """(part, least part that it hangs together with) of the parts that do so by pairs whose intersection reaches percent of their union.
+
+    Members of one part are connected already and aren't compared.
+    """
+    sizes, part = np.array([len(x) for x in sets], np.int64), np.array(parts, np.int64)
     if len(ids) == 2:
         both = np.sort(np.concatenate(sets))
         common = int(np.count_nonzero(both[1:] == both[:-1]))
-        return [(ids[0], ids[1])] if 100 * common >= percent * (len(both) - common) else []
+        linked = parts[0] != parts[1] and 100 * common >= percent * (len(both) - common)
+        return [(max(parts), min(parts))] if linked else []
     words, number = np.unique(np.concatenate(sets), return_inverse=True)
     start = np.concatenate(([0], np.cumsum(sizes)))
     flag = np.zeros(len(words), np.int32)
 
     def near(x, others):
-        hit = 100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])
+        same = part[others] == part[x]
+        hit = ~same & (100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x]))
         mine = number[start[x] : start[x + 1]]
         flag[mine] = 1
         some = others[hit]
@@ -252,18 +257,24 @@ def exact_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
             common = np.array([flag[number[start[y] : start[y + 1]]].sum() for y in some], np.int64)
         flag[mine] = 0
         hit[hit] = 100 * common >= percent * (sizes[some] + sizes[x] - common)
-        return hit
+        return hit | same
 
-    return [(ids[x], ids[y]) for x, y in walk(len(ids), near)]
+    root = list(range(len(ids)))  # of each member's tree; edges come parents first
+    for x, y in walk(len(ids), near):
+        root[y] = root[x]
+    least: dict[int, int] = {}
+    for x, r in enumerate(root):
+        least[r] = min(least.get(r, parts[x]), parts[x])
+    return sorted({(parts[x], least[r]) for x, r in enumerate(root) if parts[x] != least[r]})
 
 
 def _exact(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (component, i, j, id, set), sorted by the first three, give confirmed links."""
+        """Rows (component, i, j, id, part, set), sorted by the first three, give (part, least part of its group that it hangs together with)."""
         out = []
         for rows in _groups(batches, 3):
             if len(rows) > 1:
-                out += exact_links([r[3] for r in rows], [np.frombuffer(r[4], np.uint64) for r in rows], percent)
+                out += exact_parts([r[3] for r in rows], [r[4] for r in rows], [np.frombuffer(r[5], np.uint64) for r in rows], percent)
             if len(out) > 10_000:
                 yield _edges(out)
                 out = []
@@ -274,7 +285,7 @@ def _exact(percent: int):
 
 
 class NearDuplicates:
-    """One run of the operator; ``rows`` has doc_id, n_shingles, component_id, kept; ``links`` confirmed pairs (u, v) that span the components."""
+    """One run of the operator; ``rows`` has doc_id, n_shingles, component_id, kept; ``parts`` the least document of each linked class's component."""
 
     def __init__(self, docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"):
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
@@ -287,8 +298,8 @@ class NearDuplicates:
         named = self.sketched.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
         classes = named.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("m"))
         self.classes = self.space.write(classes.select("n", "s1", "s2", F.col("m.doc_id").alias("rep"), "m.keys", "m.sketch"), "classes")
-        self.links = self._confirm(self._candidates())
-        self.rows = self._rows(components(self.space, self.links))
+        self.parts = self._confirm(self._candidates())
+        self.rows = self._rows(self.parts)
 
     def _candidates(self) -> DataFrame:
         """(node, component) of the documents that may have a link; both ends of any link share a component."""
@@ -301,21 +312,52 @@ class NearDuplicates:
         placed = own.repartition("key", "part").sortWithinPartitions("key", "part")
         return components(self.space, placed.mapInArrow(_band_walk(self.percent), "u long, v long"))
 
-    def _confirm(self, candidates: DataFrame) -> DataFrame:
-        sized = candidates.join(self.classes.select(F.col("rep").alias("node"), "n"), "node")
-        sized = self.space.write(sized.select(F.col("node").alias("id"), "component", "n"), "candidates")
-        wanted = sized.select("id")
-        if sized.count() <= FEW:
+    def _compare(self, dealt: DataFrame) -> DataFrame:
+        """(u, v): within the groups (component, i, j) of dealt rows (id, component, i, j, part), part u hangs together with the least part v."""
+        wanted = dealt.select("id").distinct()
+        if dealt.count() <= FEW:
             wanted = F.broadcast(wanted)
         texts = self.texts.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"])
         sets = texts.mapInArrow(_setter(self.words), "id long, set binary")
+        placed = sets.join(dealt, "id").select("component", "i", "j", "id", "part", "set").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+        return self.space.write(placed.mapInArrow(_exact(self.percent), "u long, v long"), "joined")
+
+    def _confirm(self, candidates: DataFrame) -> DataFrame:
+        """(node, component): the exact parts of the candidates' components.
+
+        A component of up to BLOCK members is one group, whose walk decides its
+        parts. A larger one is dealt into blocks, each walked by itself; then one
+        member for each block's part meets the others' ones, which joins the
+        blocks of a group of near copies; and only components that are still in
+        several parts have their blocks compared two by two, between members of
+        different parts.
+        """
+        sized = candidates.join(self.classes.select(F.col("rep").alias("node"), "n"), "node").select(F.col("node").alias("id"), "component", "n")
+        sized = self.space.write(sized, "candidates")
         blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
         split = sized.join(sized.groupBy("component").agg(blocks.alias("blocks")), "component")
-        mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        split = split.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        split = split.select("id", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-        dealt = sets.join(split, "id").select("component", "i", "j", "id", "set").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-        return self.space.write(dealt.mapInArrow(_exact(self.percent), "u long, v long").distinct(), "links")
+        split = self.space.write(split.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "blocks")
+        joined = self._compare(split.select("id", "component", F.col("mine").alias("i"), F.col("mine").alias("j"), F.col("id").alias("part")))
+        # Each member is in one block, so a part has one row here at most.
+        split = split.join(joined.select(F.col("u").alias("id"), "v"), "id", "left").withColumn("part", F.coalesce("v", "id")).drop("v")
+        large = split.where("blocks > 1")
+        settled = split.where("blocks = 1").select(F.col("id").alias("node"), F.col("part").alias("component"))
+        if large.isEmpty():
+            return settled
+        heads = large.select("component", F.col("part").alias("id")).distinct()
+        several = heads.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("groups"))
+        place = F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")
+        heads = self.space.write(heads.join(several, "component").select("id", "component", place.alias("i"), place.alias("j"), F.col("id").alias("part")), "heads")
+        joined = self._compare(heads)
+        large = large.join(joined.select(F.col("u").alias("part"), "v"), "part", "left").withColumn("part", F.coalesce("v", "part")).drop("v")
+        large = self.space.write(large, "large")
+        open_ones = large.groupBy("component").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("component")
+        rest = large.join(open_ones, "component", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("mine != other")
+        rest = self.space.write(rest.select("id", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "part"), "rest")
+        if not rest.isEmpty():
+            last = components(self.space, self._compare(rest)).select(F.col("node").alias("part"), F.col("component").alias("v"))
+            large = large.join(last, "part", "left").withColumn("part", F.coalesce("v", "part")).drop("v")
+        return settled.unionByName(large.select(F.col("id").alias("node"), F.col("part").alias("component")))
 
     def _rows(self, parts: DataFrame) -> DataFrame:
         named = self.classes.select("rep", "n", "s1", "s2").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
