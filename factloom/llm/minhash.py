@@ -46,7 +46,7 @@ BANDS = SIZE // ROWS
 LIKELY = 0.62
 CHUNK = 1 << 20  # bytes of text worked on at a time
 CROWD = 8192  # members of a band walked at a time
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000  # members and shingles of a component compared at a time
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000  # members and shingles of a component compared at a time
 FEW = 1_000_000  # ids that may be broadcast
 
 _FOLD = np.arange(256, dtype=np.uint8)
