@@ -383,6 +383,25 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert collect(toxicity.score_toxicity(empty, labels)) == [] and {r["score"] for r in collect(toxicity.score_toxicity(odd, labels.where("false")))} == {0.0}
 
 
+@pytest.mark.parametrize("frequent", [500_000, 3])
+def test_toxicity_is_cosine_of_whole_words(spark, monkeypatch, frequent):
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("worth", "path", "clow", "mill", "clock") for b in ("", "less", "etic", "n", "s", "ing")]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 12)) + [f"only{chr(97 + i)}"]) for i in range(26)] + ["worth worth path", "worth worth path", "", None]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in collect(toxicity.score_toxicity(df, labels))}
+    counts = [Counter((t or "").split()) for t in texts]
+    often = Counter(w for c in counts for w in c)
+    vectors = [{w: (1 + math.log(n)) * (math.log((len(texts) + 1) / (often[w] + 1)) + 1) for w, n in c.items()} for c in counts]
+    norm = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    for i, v in enumerate(vectors):
+        near = sorted(((sum(x * vectors[j].get(w, 0) for w, x in v.items()) / max(1e-9, norm[i] * norm[j]), -j) for j in range(12)), reverse=True)[:5]
+        near = [x for x in near if x[0] > 0]
+        assert np.allclose([e["similarity"] for e in got[i]["evidence"]], [s for s, _ in near]), i
+
+
 # mixing
 
 def test_mixing_meets_its_limit(spark):
