@@ -15,7 +15,7 @@ from factloom.llm.minhash import near_duplicates
 from factloom.llm.mixing import mix_sources
 from factloom.llm.packing import pack
 from factloom.llm.queries import tokenizer_path
-from factloom.llm.suffix_dedup import strip_passages
+from factloom.llm.suffix_dedup import strip_word_passages
 from factloom.llm.toxicity import score_toxicity
 from factloom.llm.workspace import Workspace
 
@@ -51,8 +51,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated passages of 400 bytes and more."""
-    return strip_passages(docs)
+    """Documents without their repeated passages of over 50 words, whatever their bytes."""
+    return strip_word_passages(docs, 51)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

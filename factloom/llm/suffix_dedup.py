@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ship_by_value
-from .bytes_np import chunks, mix, powers, prefix_hash, text_bytes
+from .bytes_np import chunks, mix, powers, prefix_hash, range_hash, text_bytes
 from .workspace import Workspace, small_batches
 
 ship_by_value(__name__)
@@ -394,3 +394,79 @@ def strip_passages(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     place = docs.columns.index(text_col)
     out = marked.select(*names, lost.alias("_strip_spans")).mapInArrow(_stripper(place), docs.schema)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: Bytes that stand for a word in a coded text, and the characters they are made of.
+CODE = 8
+_CODES = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words, runs without white space, begin and end."""
+    word, edge = ~_SPACE[data], np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    start = word & (np.concatenate(([True], ~word[:-1])) | edge[:-1])
+    end = word & (np.concatenate((~word[1:], [True])) | edge[1:])
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def _coder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (t1, t2, text) give (t1, t2, the text with each word as CODE characters of its hash and nothing between)."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(2))
+        for a, b in chunks(offsets, CHUNK):
+            own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            start, end = _words(own, at) if len(own) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            hashed = range_hash(prefix_hash(own), start, end)
+            coded = _CODES[((hashed[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(6))) & np.uint64(63)).astype(np.uint8)]
+            ends = CODE * np.searchsorted(start, at)
+            text = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(coded)))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], text.cast(pa.string())], ["t1", "t2", "text"])
+
+
+def _word_stripper(place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a table and, last, spans of the coded text in column number place: the rows without the spans' words."""
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if spans:
+                    raw, kept, at = text.encode(), [], 0
+                    start, end = _words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                    for low, high in _merged((x["start"], min(x["end"], CODE * len(start))) for x in spans):
+                        first, last = -(-low // CODE), high // CODE  # whole words only
+                        if first < last:
+                            kept.append(raw[at : start[first]])
+                            at = int(end[last - 1])
+                    text = b"".join([*kept, raw[at:]]).decode()
+                texts.append(text)
+            columns = list(batch.columns[:-1])
+            columns[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return run
+
+
+def strip_word_passages(docs: DataFrame, words: int = 51, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs without the runs of so many words and more that occur more than once, whatever the words' lengths.
+
+    Each word becomes CODE characters of its hash, so such runs are repeated strings of words * CODE bytes of the coded text.
+    """
+    small_batches(docs.sparkSession)
+    space, length = Workspace(docs.sparkSession, "words"), words * CODE
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    t1, t2 = F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+    given = docs.select(t1.alias("t1"), t2.alias("t2"), text.alias("text"))
+    coded = space.write(given.mapInArrow(_coder, "t1 long, t2 long, text string"), "coded").withColumn("doc_id", F.lit(0))
+    spans, copies = repeated_spans(coded, length)
+    own = coded.where(F.octet_length("text") >= length).select("t1", "t2", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")).distinct()
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(1 << 40).cast("long").alias("end")))
+    marks = spans.join(copies.select("h1", "h2", F.lit(True).alias("copied")), ["h1", "h2"], "full")
+    marks = own.join(marks.select("h1", "h2", F.when(F.col("copied"), whole).otherwise(F.col("spans")).alias("spans")), ["h1", "h2"])
+    marks = marks.select(F.col("t1").alias("_strip_t1"), F.col("t2").alias("_strip_t2"), F.col("spans").alias("_strip_spans"))
+    names = [F.col(c) for c in docs.columns]
+    marked = docs.select(*names, t1.alias("_strip_t1"), t2.alias("_strip_t2")).join(marks, ["_strip_t1", "_strip_t2"], "left")
+    out = marked.select(*names, "_strip_spans").mapInArrow(_word_stripper(docs.columns.index(text_col)), docs.schema)
+    return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out

@@ -490,6 +490,20 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, odd):
     assert all(r["count"] == 1 for r in got)
 
 
+def test_pipeline_strips_passages_of_51_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(51)
+    word = lambda most: "".join(rng.choice("abcdefghijklmñé") for _ in range(rng.randrange(1, most)))
+    some = lambda n, most: [word(most) for _ in range(n)]
+    short, usual, under, long_words = some(51, 3), some(51, 8), some(50, 8), some(60, 40)
+    parts = [(some(70, 8) + [f"<{i}"], part, [f">{i}"] + some(70, 8)) for i, part in enumerate(2 * (short, usual, under, long_words))]
+    texts = [" \n".join(before + part + after) for before, part, after in parts]
+    got = {r["n"]: r for r in corpus_pipeline.passages(spark, documents(spark, texts), SF).collect()}
+    for i, (before, part, after) in enumerate(parts):
+        assert got[i]["text"].split() == before + (part if i % 4 == 2 else []) + after and got[i]["n_chars"] == len(got[i]["text"]), i
+
+
 # SQL
 
 @pytest.mark.parametrize("name", ["op2_chat", "op5_nearest", "op9_dedup_passages", "op10_near_duplicates"])
