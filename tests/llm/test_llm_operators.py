@@ -454,6 +454,17 @@ def test_media_alignment(spark):
     assert collect(media.align_recordings(df.where("false"), "id", "audio")) == []
 
 
+def test_media_aligns_short_recordings(spark):
+    rng = np.random.default_rng(8)
+    noise = lambda n: rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+    tiny, brief, longer = noise(40), noise(2600), noise(3600)
+    rows = [tiny, tiny, brief, brief, longer, longer, longer[2 * media.HOP :], brief + noise(900), noise(2600), b"", b"", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, audio binary")
+    got = {r["id"]: r for r in collect(media.align_recordings(df, "id", "audio"))}
+    want = {1: (0, 0), 3: (2, 0), 5: (4, 0), 6: (4, -2), 7: (2, 0)}
+    assert {i: (r["reference"], r["offset"]) for i, r in got.items() if r["reference"] is not None} == want and len(got) == 12
+
+
 def test_media_filters_equal_plain_sums():
     rng = np.random.default_rng(5)
     samples = rng.integers(0, 256, 6000, dtype=np.uint8)
