@@ -357,13 +357,16 @@ def test_toxicity_index_is_exact():
         rows.append((t, rng.integers(1, 4, len(t))))
     weights = rng.random(60) + 0.5
     index = toxicity.Index(np.arange(500), rng.integers(0, 2, 500), rows, weights)
-    for t, c in rows[:80]:
-        found, score = index.nearest(t, c, 15)
-        q = (1 + np.log(c)) * weights[t]
-        all_scores = (q / max(1e-12, np.linalg.norm(q))) @ index.impacts.reshape(60, -1)[t][:, :500] if len(t) else np.zeros(500)
-        best = np.lexsort((index.ids, -all_scores.round(12)))[:15]
+    full = np.zeros((500, 60))
+    for i, (t, c) in enumerate(rows):
+        full[i, t] = (1 + np.log(c)) * weights[t]
+    full /= np.maximum(np.linalg.norm(full, axis=1), 1e-12)[:, None]
+    for i in range(80):
+        all_scores = full @ full[i]
+        best = np.lexsort((np.arange(500), -all_scores.round(12)))[:15]
         best = best[all_scores[best] > 0]
-        assert found.tolist() == best.tolist() and np.allclose(score, all_scores[best])
+        found, score = index.nearest(*rows[i], 15)
+        assert index.ids[found].tolist() == best.tolist() and np.allclose(score, all_scores[best])
 
 
 def test_toxicity_held_out(spark):
@@ -383,23 +386,65 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert collect(toxicity.score_toxicity(empty, labels)) == [] and {r["score"] for r in collect(toxicity.score_toxicity(odd, labels.where("false")))} == {0.0}
 
 
-@pytest.mark.parametrize("frequent", [500_000, 3])
-def test_toxicity_is_cosine_of_whole_words(spark, monkeypatch, frequent):
-    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+@pytest.mark.parametrize("rare", [8192, 3])
+def test_toxicity_is_cosine_of_terms(spark, monkeypatch, rare):
+    """Against TF-IDF over the raw texts, each short enough to be one passage; ties go to the smaller id."""
+    monkeypatch.setattr(toxicity, "RARE", rare)
+    monkeypatch.setattr(toxicity, "PASSAGE", 40)
     rng = random.Random(4)
     words = [f"{a}{b}" for a in ("worth", "path", "clow", "mill", "clock") for b in ("", "less", "etic", "n", "s", "ing")]
     texts = [" ".join(rng.choices(words, k=rng.randrange(1, 12)) + [f"only{chr(97 + i)}"]) for i in range(26)] + ["worth worth path", "worth worth path", "", None]
+    texts[3] = texts[2]
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in collect(toxicity.score_toxicity(df, labels))}
-    counts = [Counter((t or "").split()) for t in texts]
+    whole = [(t or "").split() for t in texts]
+    family = defaultdict(set)
+    for w in {w for t in whole[:12] for w in t}:
+        for n in (4, 5):
+            if len(w) > n:
+                family[n, w[:n]].add(w)
+    terms = lambda w: [w, *((n, w[:n]) for n in (4, 5) if len(w) > n and len(family[n, w[:n]]) >= 5)]
+    counts = [Counter(x for w in t for x in terms(w)) for t in whole]
     often = Counter(w for c in counts for w in c)
-    vectors = [{w: (1 + math.log(n)) * (math.log((len(texts) + 1) / (often[w] + 1)) + 1) for w, n in c.items()} for c in counts]
+    floor = max(1, len(texts) / rare)
+    vectors = [{w: (1 + math.log(n)) * (math.log((len(texts) + 1) / (max(floor, often[w]) + 1)) + 1) for w, n in c.items()} for c in counts]
     norm = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
     for i, v in enumerate(vectors):
-        near = sorted(((sum(x * vectors[j].get(w, 0) for w, x in v.items()) / max(1e-9, norm[i] * norm[j]), -j) for j in range(12)), reverse=True)[:5]
-        near = [x for x in near if x[0] > 0]
-        assert np.allclose([e["similarity"] for e in got[i]["evidence"]], [s for s, _ in near]), i
+        near = sorted(((-round(sum(x * vectors[j].get(w, 0) for w, x in v.items()) / max(1e-9, norm[i] * norm[j]), 12), j) for j in range(12)))[:5]
+        near = [x for x in near if x[0] < 0]
+        assert np.allclose([e["similarity"] for e in got[i]["evidence"]], [-s for s, _ in near]), i
+        assert [e["doc_id"] for e in got[i]["evidence"]] == [j for _, j in near], i
+    assert got[28]["score"] == got[29]["score"] == 0.5 and got[2]["score"] == got[3]["score"]
+
+
+def test_toxicity_passages_equal_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        sizes = rng.integers(0, 15, 5)
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        hashed = np.zeros((at[-1], 3), np.uint64)
+        hashed[:, 0] = rng.integers(1, 6, at[-1]) << 50
+        evidence = toxicity.Terms(np.array([1 << 50, 2 << 50], np.uint64), np.array([5, 3]))
+        worth = {1: 5, 2: 3}
+        first, last = toxicity.passages(at, hashed, evidence)
+        for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            value = lambda i, b=b: sum(worth.get(int(w) >> 50, 0) for w in hashed[i : min(b, i + toxicity.PASSAGE), 0])
+            best = max(range(a, max(a, b - toxicity.PASSAGE) + 1), key=lambda i: (value(i), -i))
+            assert (first[k], last[k]) == (best, min(b, best + toxicity.PASSAGE))
+
+
+def test_toxicity_of_a_long_text_and_of_words_alike(spark):
+    """One insult in a long text counts; a word that only begins like one doesn't."""
+    rng = random.Random(9)
+    plain = [f"{a}{b}{c}" for a in ("ma", "no", "te", "ri") for b in ("lu", "ka", "so") for c in ("", "n", "re", "st")]
+    some = lambda n: rng.choices(plain, k=n)
+    bad = ("worthless", "pathetic", "clown")
+    rows = [(i, " ".join([*some(20), rng.choice(bad), *some(20)] if i % 2 else some(41))) for i in range(400)]
+    asked = [" ".join([*some(9000), "clown", *some(9000)]), " ".join([*some(30), "clock", "worth", "path", *some(30)]), " ".join(some(9000))]
+    df = spark.createDataFrame([*rows, *((1000 + i, t) for i, t in enumerate(asked))], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in collect(toxicity.score_toxicity(df, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")))}
+    assert got[1000] > 0.9 and got[1001] < 0.1 and got[1002] < 0.1
 
 
 # mixing
