@@ -25,7 +25,7 @@ from ..functions.numbers import price_conflict, price_per_area
 from ..functions.text import normalize_for_search, substring_filter
 from ..operators import identity, retrieval, stats
 from .conditions import AWAITING, VERIFIED, Conditions, predicate
-from .question import Places, Reading, read_question
+from .question import Reading, read_questions, reading_of
 
 # Labels of answers, and the order in which mixed attributes are asked about.
 KIND_LABELS = {"transaction_price": "מחירי עסקאות", "appraised_value": "שווי שנקבע בשומות", "asking_price": "מחירים מבוקשים", "adjusted_comparable": "נתוני השוואה מתואמים"}
@@ -114,15 +114,23 @@ class Engine:
         agreed = secure(self.relations["transactions"], ctx).select("transaction_id", F.col("price").alias("fact_price"), F.col("area").alias("fact_area"), F.col("area_type").alias("fact_area_type"))
         return secure(self.relations["occurrences"], ctx).join(current, "version_id").join(docs, "document_id").join(agreed, "transaction_id")
 
-    def places(self, ctx: TenantContext, known: tuple[str, ...] = ()) -> Places:
-        """Names of places in the office's records, a bounded dictionary."""
-        rows = self.visible("occurrences", ctx).where("verification_status != 'rejected'").select("city", "neighborhood").distinct().collect()
-        return Places(tuple(sorted({r.city for r in rows if r.city})), tuple(sorted({(r.city, r.neighborhood) for r in rows if r.neighborhood}, key=str)), known)
+    def places(self, ctx: TenantContext) -> DataFrame:
+        """Names of places in the office's records."""
+        return self.visible("occurrences", ctx).where("verification_status != 'rejected'").select("city", "neighborhood").distinct()
+
+    def read(self, ctx: TenantContext, question: str, previous: Conditions | None = None, known: tuple[str, ...] = ()) -> Reading:
+        """One question, after the conditions that its conversation stands at."""
+        spark = self.relations["documents"].sparkSession
+        asked = spark.createDataFrame([(0, 0, question)], "conversation_id int, turn int, question string")
+        names = spark.createDataFrame([(c,) for c in known], "city string") if known else None
+        shape = "conversation_id int, " + ", ".join(f"{n} {'int' if n.startswith('year') else 'string'}" for n in asdict(Conditions()))
+        carried = None if previous is None else spark.createDataFrame([(0, *asdict(previous).values())], shape)
+        return reading_of(read_questions(asked, self.places(ctx), names, carried).first())
 
     # questions
 
     def ask(self, ctx: TenantContext, question: str, previous: Conditions | None = None, filters: dict | None = None, known: tuple[str, ...] = ()) -> Answer:
-        reading = read_question(question, self.places(ctx, known), previous)
+        reading = self.read(ctx, question, previous, known)
         if reading.unknown_place:
             return Answer("abstain", f"אין נתונים על {reading.unknown_place}", reading.conditions, cacheable=False)
         c, against = merge_filters(reading.conditions, filters or {})

@@ -67,7 +67,9 @@ def test_money_text(spark):
 
 def test_hebrew_order(spark):
     visual, logical = "14 ןפגה :סכנה תבותכ", "כתובת הנכס: הגפן 14"
-    assert H.to_logical(visual) == logical and H.to_logical(")5( Tel Aviv םולש") == "שלום Tel Aviv (5)"
+    turned = {visual: logical, ")5( Tel Aviv םולש": "שלום Tel Aviv (5)", "12.5% A1 B2 7 :ךס": "סך: 7 A1 B2 12.5%", "[א) ב": "ב )א[", "": "", None: None}
+    assert {v: one(spark, v, H.to_logical) for v in turned} == turned
+    assert [one(spark, v, H.balanced, "string") for v in ("", "(a)[b]", ")(", "((", "([)]")] == [True, True, False, False, True]
     assert one(spark, visual, H.looks_visual) is True and one(spark, logical, H.looks_visual) is False and one(spark, "abc", H.looks_visual) is None
     d = spark.createDataFrame([(visual, visual), ("1,480,000 ₪", visual), ("plain text", visual), (logical, logical)], "line string, page string")
     assert [r[0] for r in d.select(H.fix_lines(F.col("line"), F.col("page"))).collect()] == [logical, "₪ 1,480,000", "plain text", logical]

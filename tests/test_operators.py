@@ -15,7 +15,7 @@ from factloom.operators import retrieval as R
 from factloom.operators import stats
 from factloom.operators import versions as V
 from factloom.plans.conditions import Conditions, predicate
-from factloom.plans.question import Places, read_question
+from factloom.plans.question import read_questions, reading_of
 from factloom.sources import files, ocr
 from factloom.streaming import jobs
 
@@ -139,16 +139,41 @@ def test_best_sentences(spark):
     assert [(r.evidence_id, r.hits) for r in got] == [("E1", 2), ("E2", 1)]
 
 
-def test_questions():
-    places = Places(("רמת גן", "גבעתיים"), (("רמת גן", "מרום נווה"), ("גבעתיים", "בורוכוב")), ("תל אביב", "רמת גן"))
-    r = read_question("מה ממוצע מחירי עסקאות למ״ר ברמת גן ב-2023 לפי תאריך עסקה?", places)
+def places_of(spark):
+    rows = [("רמת גן", None), ("גבעתיים", None), ("רמת גן", "מרום נווה"), ("גבעתיים", "בורוכוב"), ("רמת גן", "המרכז"), ("גבעתיים", "המרכז"), (None, "צפון")]
+    return spark.createDataFrame(rows, "city string, neighborhood string"), spark.createDataFrame([("תל אביב",), ("רמת גן",)], "city string")
+
+
+def read(spark, *conversation):
+    places, known = places_of(spark)
+    asked = spark.createDataFrame([("c", i, q) for i, q in enumerate(conversation)], "conversation_id string, turn int, question string")
+    return [reading_of(r) for r in sorted(read_questions(asked, places, known).collect(), key=lambda r: r["turn"])]
+
+
+def test_questions(spark):
+    r, again, later, new = read(spark, "מה ממוצע מחירי עסקאות למ״ר ברמת גן ב-2023 לפי תאריך עסקה?", "ומה לגבי גבעתיים ב-2022?", "ומה עם שטח נטו?", "מחירי עסקאות בשכונת בורוכוב")
     assert (r.conditions.intent, r.conditions.data_kind, r.conditions.city, r.conditions.year_from, r.conditions.date_field, r.missing, r.route) == ("calculation", "transaction_price", "רמת גן", 2023, "transaction_date", [], "rules")
-    again = read_question("ומה לגבי גבעתיים ב-2022?", places, r.conditions)
     assert (again.route, again.conditions.city, again.conditions.year_from, again.conditions.data_kind) == ("followup", "גבעתיים", 2022, "transaction_price")
-    assert read_question("מה מחירי עסקאות בתל אביב?", places).unknown_place == "תל אביב"
-    assert read_question("מחירי עסקאות בשכונת בורוכוב", places).conditions.city == "גבעתיים"
-    assert read_question("למה נקבע שווי כזה?", places).conditions.intent == "explanation" and read_question("באילו מסמכים מופיע הגפן?", places).conditions.intent == "document_lookup"
-    assert read_question("מה המחיר והשווי?", places).missing == ["data_kind"]
+    assert (later.route, later.conditions.city, later.conditions.year_from, later.conditions.area_type) == ("followup", "גבעתיים", 2022, "net")
+    assert (new.route, new.conditions.city, new.conditions.neighborhood, new.conditions.year_from, new.conditions.area_type) == ("rules", "גבעתיים", "בורוכוב", None, None)
+
+
+def test_questions_one_by_one(spark):
+    first = lambda q: read(spark, q)[0]
+    assert first("מה מחירי עסקאות בתל אביב?").unknown_place == "תל אביב"
+    assert first("למה נקבע שווי כזה?").conditions.intent == "explanation" and first("באילו מסמכים מופיע הגפן?").conditions.intent == "document_lookup"
+    assert first("מה המחיר והשווי?").missing == ["data_kind"]
+    both = first("מחירי עסקאות במרכז רמת גן בהמרכז").conditions
+    assert (both.city, both.neighborhood) == ("רמת גן", "המרכז") and first("מחירים בהמרכז").conditions.city is None
+    assert first("מחיר בעיר חיפה ב-2023").unknown_place == "חיפה" and first("מחיר בשכונת נאות שנת 2020").unknown_place == "נאות"
+    assert first("מחיר בעיר בשנת 2020 בשכונת נאות").unknown_place == "נאות" and first("שומות ברמת גן בשכונת נאות").unknown_place == "נאות"
+    kinds = {"מחירים מבוקשים": "asking_price", "עסקאות ושומות": None, "שווי מתואם": "adjusted_comparable", "שומות": "appraised_value", "": None}
+    assert {q: first(q).conditions.data_kind for q in kinds} == kinds
+    places, known = places_of(spark)
+    none = spark.createDataFrame([("a", 0, None), ("b", 1, "ומה לגבי 2020?")], "conversation_id string, turn int, question string")
+    got = {r["conversation_id"]: r for r in read_questions(none, places.where("false")).collect()}
+    assert got["a"]["route"] == got["b"]["route"] == "rules" and got["b"]["year_from"] == 2020 and got["b"]["intent"] == "calculation"
+    assert read_questions(none.where("false"), places, known).count() == 0
 
 
 def docx(paragraphs, table):
