@@ -13,18 +13,32 @@ TOK = r"tok AS (SELECT doc_id AS chunk_id, text, list_distinct(list_filter(strin
 LEX = f"""df AS (SELECT count(*) AS n, {", ".join(f"count(*) FILTER (WHERE list_contains(tokens, '{w}')) AS d{i}" for i, w in enumerate(TERMS))} FROM tok),
   lex AS (SELECT chunk_id, round({" + ".join(f"CASE WHEN list_contains(tokens, '{w}') THEN ln((greatest(n, 1) + 1) / (d{i} + 0.5)) ELSE 0 END" for i, w in enumerate(TERMS))}, 9) AS score,
     {" + ".join(f"CAST(list_contains(tokens, '{w}') AS INT)" for w in TERMS)} AS hits FROM tok, df WHERE list_has_any(tokens, [{", ".join(f"'{w}'" for w in TERMS)}]) ORDER BY score DESC, hits DESC, chunk_id LIMIT 40)"""
-GRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substring('  ' || w || ' ', i, 3)))))"
-TRI = f"""tri AS (SELECT chunk_id, score FROM (SELECT chunk_id, round(len(list_intersect({GRAMS.format(t="'" + QUERY + "'")}, {GRAMS.format(t="text")})) / CAST(len({GRAMS.format(t="'" + QUERY + "'")}) AS DOUBLE), 9) AS score FROM tok) WHERE score > 0.35 ORDER BY score DESC, chunk_id LIMIT 40)"""
+GRAMS = "flatten(list_transform(list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substring('  ' || w || ' ', i, 3))))"
+#: Every run of a text's trigrams that begins and ends with one of the query's; 100 trigrams are more than a run above the threshold has.
+#: A trigram is new in a run if its occurrence before lies ahead of the run.
+EXTENTS = """asked AS (SELECT unnest(list_distinct({q})) AS gram), k AS (SELECT count(*) AS k FROM asked), g AS (SELECT id, {g} AS g FROM {t}),
+  p AS (SELECT id, unnest(g) AS gram, generate_subscripts(g, 1) AS i FROM g), near AS (SELECT id FROM p SEMI JOIN asked USING (gram) GROUP BY id HAVING count(DISTINCT gram) > {least} * (SELECT k FROM k)),
+  o AS (SELECT id, i, gram IN (SELECT gram FROM asked) AS own, coalesce(lag(i) OVER (PARTITION BY id, gram ORDER BY i), 0) AS before FROM p SEMI JOIN near USING (id)),
+  e AS (SELECT o.id, o.own, count(*) FILTER (WHERE o.own AND o.before < x.i) OVER w AS common, count(*) FILTER (WHERE NOT o.own AND o.before < x.i) OVER w AS other FROM o x JOIN o ON x.own AND o.id = x.id AND o.i BETWEEN x.i AND x.i + 99 WINDOW w AS (PARTITION BY x.id, x.i ORDER BY o.i)),
+  word_sim AS (SELECT id, max(common / CAST(k + other AS DOUBLE)) AS s FROM e, k WHERE own GROUP BY id)"""
+TRI = EXTENTS.format(q=GRAMS.format(t=f"'{QUERY}'"), g=GRAMS.format(t="text"), t="(SELECT chunk_id AS id, text FROM tok)", least=0.35) + ", tri AS (SELECT id AS chunk_id, round(s, 9) AS score FROM word_sim WHERE round(s, 9) > 0.35 ORDER BY score DESC, chunk_id LIMIT 40)"
 SEM = """sem AS (SELECT e.vec_id AS chunk_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY score DESC, chunk_id LIMIT 40)"""
 FUSED = """ranks AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank, 'lexical' AS list FROM lex UNION ALL SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id), 'trigram' FROM tri
   UNION ALL SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id), 'semantic' FROM sem),
   fused AS (SELECT chunk_id, round(sum(CASE list WHEN 'lexical' THEN 2.0 ELSE 1.0 END / CAST(60 + rank AS DOUBLE)), 9) AS score, min(CASE WHEN list = 'lexical' THEN rank END) AS lexical_rank, bool_or(list <> 'semantic') AS lexical_support FROM ranks GROUP BY chunk_id),
   placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS f FROM fused),
-  best AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN f > 8 AND lexical_rank <= 2 THEN lexical_rank - 0.5 ELSE f END, chunk_id) AS place FROM placed WHERE f <= 8 OR lexical_rank <= 2)"""
+  head AS (SELECT list(chunk_id ORDER BY f) FILTER (WHERE f <= 8) AS top, min(chunk_id) FILTER (WHERE lexical_rank = 1) AS l1, min(chunk_id) FILTER (WHERE lexical_rank = 2) AS l2 FROM placed),
+  one AS (SELECT CASE WHEN l1 IS NULL OR list_contains(top, l1) THEN top ELSE list_prepend(l1, top) END AS top, l2 FROM head),
+  two AS (SELECT CASE WHEN l2 IS NULL OR list_contains(top, l2) THEN top ELSE list_concat(list_append(top[1:1], l2), top[2:]) END AS top FROM one),
+  best AS (SELECT placed.*, list_position(top, chunk_id) AS place FROM placed, two WHERE list_contains(top, chunk_id))"""
 
 
 def _chunks(t):
-    return t.documents.select(F.col("doc_id").alias("chunk_id"), "text", F.array_distinct(R.words(F.col("text"))).alias("tokens"))
+    return t.documents.select(F.col("doc_id").alias("chunk_id"), "text", R.padded(F.col("text")).alias("padded"))
+
+
+def _tokens(t):
+    return t.documents.select(F.col("doc_id").alias("chunk_id"), F.array_distinct(R.words(F.col("text"))).alias("tokens"))
 
 
 def _vector(t):
@@ -86,12 +100,12 @@ def union_supported(t):
 
 @query(f"WITH {TOK} SELECT chunk_id FROM tok WHERE list_has_any(tokens, [{', '.join(repr(w) for w in TERMS[:3])}])")
 def or_terms(t):
-    return _chunks(t).where(F.arrays_overlap("tokens", F.array(*(F.lit(w) for w in TERMS[:3])))).select("chunk_id")
+    return _tokens(t).where(F.arrays_overlap("tokens", F.array(*(F.lit(w) for w in TERMS[:3])))).select("chunk_id")
 
 
 @query(f"WITH {TOK} SELECT chunk_id, len(list_filter(tokens, lambda w: NOT list_contains(['the', 'of', 'and', 'is'], w))) AS others FROM tok")
 def array_difference(t):
-    return _chunks(t).select("chunk_id", F.size(F.array_except("tokens", F.array(*(F.lit(w) for w in ("the", "of", "and", "is"))))).cast("long").alias("others"))
+    return _tokens(t).select("chunk_id", F.size(F.array_except("tokens", F.array(*(F.lit(w) for w in ("the", "of", "and", "is"))))).cast("long").alias("others"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), k AS (SELECT doc_id, i, trim(x) AS x FROM s WHERE trim(x) <> '')
@@ -112,14 +126,14 @@ def verify_numbers(t):
     return R.verify(d).select("answer", F.explode_outer("problems").alias("problem"))
 
 
-@query()
+@query(f"WITH {TOK}, {LEX}, {TRI}, {SEM}, {FUSED} SELECT chunk_id, score, lexical_support, place FROM best WHERE place <= 8 AND chunk_id IN (SELECT doc_id FROM documents)")
 def hybrid_search(t):
     """The whole search, joined back to the documents."""
     chunks = _chunks(t).join(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding", F.lit("m1").alias("embedding_model")), "chunk_id", "left")
-    return R.hybrid_search(chunks, TERMS, QUERY, _vector(t), "m1").select("chunk_id", "score", "lexical_support", "place")
+    return R.hybrid_search(chunks, TERMS, QUERY, _vector(t), "m1").select("chunk_id", "score", "lexical_support", F.col("place").cast("long").alias("place"))
 
 
-@query()
+@query(f"WITH {EXTENTS.format(q=GRAMS.format(t=repr(QUERY)), g=GRAMS.format(t='text'), t='(SELECT item_id AS id, text FROM benchmark)', least=-1)} SELECT item_id, round(coalesce(s, 0), 6) AS similarity FROM benchmark LEFT JOIN word_sim ON id = item_id")
 def word_similarity(t):
     """The extent form of trigram similarity."""
     return t.benchmark.select("item_id", F.round(R.word_similarity(QUERY)(F.col("text")), 6).alias("similarity"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import cosine
+from ..functions.text import let
 
 # Fixed values of the ranking.
 RRF_K = 60
@@ -24,9 +27,26 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def padded(text: Column) -> Column:
+    """The words between pairs of blanks, so that a word, a phrase or a padded trigram is a plain substring."""
+    return F.concat(F.lit("  "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "  "), F.lit("  "))
+
+
+def holds(needles: list[str]) -> Column:
+    """Which of some strings a chunk's padded text holds, an array of booleans; the text is padded once for all of them."""
+    return let(F.col("padded"), lambda p: F.array(*(F.contains(p, F.lit(x)) for x in needles)))
+
+
+def needle(term: str) -> str:
+    """A term's words as they stand in a padded text; a blank line, which none holds, for a term without words."""
+    own = [w for w in re.split(r"[\W_]+", term.lower()) if w]
+    return " " + "  ".join(own) + " " if own else "\n"
+
+
 def frequencies(chunks: DataFrame, terms: list[str]) -> DataFrame:
     """Chunk count and every term's document frequency, in one pass: a single row."""
-    return chunks.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.array_contains("tokens", t)).alias(f"d{i}") for i, t in enumerate(terms)))
+    marked = chunks.select(holds([needle(t) for t in terms]).alias("has"))
+    return marked.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("has")[i]).alias(f"d{i}") for i in range(len(terms))))
 
 
 def lexical(chunks: DataFrame, terms: list[str], most: int = CANDIDATES) -> DataFrame:
@@ -35,69 +55,78 @@ def lexical(chunks: DataFrame, terms: list[str], most: int = CANDIDATES) -> Data
         return chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
     seen = frequencies(chunks, terms).first()
     n = max(seen["n"], 1)
-    has = [F.array_contains("tokens", t) for t in terms]
-    score, hits = F.lit(0.0), F.lit(0)
-    for i, h in enumerate(has):
-        weight = math.log((n + 1) / (seen[f"d{i}"] + 0.5))
-        score = score + F.when(h, F.lit(weight)).otherwise(0.0)
-        hits = hits + h.cast("int")
-    asked = F.array(*(F.lit(t) for t in terms))
-    found = chunks.where(F.arrays_overlap("tokens", asked)).select("chunk_id", F.round(score, 9).alias("score"), hits.alias("hits"))
-    return found.orderBy(F.desc("score"), F.desc("hits"), "chunk_id").limit(most).select("chunk_id", "score")
-
+    weights = F.array(*(F.lit(math.log((n + 1) / (seen[f"d{i}"] + 0.5))) for i in range(len(terms))))
+    gained = F.zip_with(holds([needle(t) for t in terms]), weights, lambda h, w: F.when(h, w))
+    marked = chunks.select("chunk_id", F.array_compact(gained).alias("gained")).where(F.size("gained") > 0)
+    score = F.round(F.aggregate("gained", F.lit(0.0), lambda a, x: a + x), 9)
+    return marked.select("chunk_id", score.alias("score"), F.size("gained").alias("hits")).orderBy(F.desc("score"), F.desc("hits"), "chunk_id").limit(most).select("chunk_id", "score")
 
-def trigrams(text: Column) -> Column:
-    """Distinct trigrams of the padded words."""
-    padded = F.transform(words(text), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 
-
-def trigram(chunks: DataFrame, query: str, most: int = CANDIDATES, least: float = TRIGRAM_LEAST) -> DataFrame:
-    """(chunk_id, score): share of the query's trigrams that the chunk has, where it passes the threshold."""
-    asked = trigrams(F.lit(query))
-    share = F.size(F.array_intersect(asked, trigrams(F.col("text")))) / F.size(asked)
-    scored = chunks.select("chunk_id", F.round(share, 9).alias("score")).where(F.col("score") > least)
-    return scored.orderBy(F.desc("score"), "chunk_id").limit(most)
+def grams_of(text: str) -> list[str]:
+    """Trigrams of the padded words of a text, in their order."""
+    rows = (f"  {w} " for w in re.split(r"[\W_]+", text.lower()) if w)
+    return [row[i : i + 3] for row in rows for i in range(len(row) - 2)]
 
 
-def word_similarity(query: str):
-    """Largest similarity of the query's trigram set to that of a run of the text's trigrams, as a column function."""
+def extent_similarity(asked: frozenset[str], row: list[str], least: float = 0.0) -> float:
+    """Largest similarity of a set of trigrams to the set of a run of a text's trigrams; up to least, least.
 
-    def of(text: str) -> list[str]:
-        import re
-
-        out = []
-        for w in re.findall(r"\w+", text.lower()):
-            p = f"  {w} "
-            out += [p[i : i + 3] for i in range(len(p) - 2)]
-        return out
-
-    asked = set(of(query))
+    All runs that begin with an asked trigram grow by one trigram at a time; a
+    trigram is new in a run if its occurrence before lies ahead of the run. A run
+    is left once its foreign trigrams alone keep it below the best one found, or
+    once its first trigram comes again, as the next run then holds no less. So
+    the work is bounded by the text's length times the asked trigrams.
+    """
+    n, best, size = len(asked), least, len(row)
+    own = np.fromiter((g in asked for g in row), bool, size)
+    before, after, last = np.full(size, -1), np.full(size, size), {}
+    for i, g in enumerate(row):
+        if (j := last.get(g)) is not None:
+            before[i], after[j] = j, i
+        last[g] = i
+    start = np.flatnonzero(own)
+    at, common, foreign = start.copy(), np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    while len(start):
+        new, mine = before[at] < start, own[at]
+        common += new & mine
+        foreign += new & ~mine
+        if mine.any():
+            best = max(best, float((common[mine] / (n + foreign[mine])).max()))
+        at += 1
+        stays = (at < after[start]) & (n > best * (n + foreign))
+        if not stays.all():
+            start, at, common, foreign = start[stays], at[stays], common[stays], foreign[stays]
+    return best
+
+
+def word_similarity(query: str, least: float = 0.0):
+    """extent_similarity of a query to a text, as a column function."""
+    asked = frozenset(grams_of(query))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        def best(text) -> float:
-            if not text or not asked:
-                return 0.0
-            row = of(text)
-            at = [i for i, g in enumerate(row) if g in asked]
-            top = 0.0
-            for a in range(len(at)):
-                seen: set = set()
-                hits: set = set()
-                last = at[a]
-                for b in range(a, min(len(at), a + 2 * len(asked))):
-                    seen |= set(row[last : at[b] + 1])
-                    last = at[b]
-                    hits.add(row[at[b]])
-                    top = max(top, len(hits) / (len(asked) + len(seen) - len(hits)))
-            return top
-
-        return texts.map(best)
+        return texts.map(lambda text: extent_similarity(asked, grams_of(text), least) if text and asked else least)
 
     return score
 
 
+def trigram(chunks: DataFrame, query: str, most: int = CANDIDATES, least: float = TRIGRAM_LEAST) -> DataFrame:
+    """(chunk_id, score): word similarity to the query, where it passes the threshold.
+
+    No run is more similar than the share of the query's trigrams that the whole
+    text has, so only texts whose share passes are looked at in Python.
+    """
+    asked = sorted(set(grams_of(query)))
+    if not asked:
+        return chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    share = F.size(F.filter(holds(asked), lambda h: h)) / len(asked)
+    # Survivors may sit in few partitions of the input, so they are dealt out before the costly step.
+    near = chunks.where(share > least).select("chunk_id", "text").repartition(chunks.sparkSession.sparkContext.defaultParallelism)
+    similar = word_similarity(query, least).asNondeterministic()  # keeps the filter on it behind the deal
+    near = near.select("chunk_id", F.round(similar(F.col("text")), 9).alias("score"))
+    return near.where(F.col("score") > least).orderBy(F.desc("score"), "chunk_id").limit(most)
+
+
 def semantic(chunks: DataFrame, vector: list[float], model: str | None = None, most: int = CANDIDATES) -> DataFrame:
     """(chunk_id, score): nearest by cosine, exactly, among vectors of the same model."""
     rows = chunks.where(F.col("embedding").isNotNull())
@@ -130,7 +159,7 @@ def fuse(lists: dict[str, DataFrame], most: int = 8) -> DataFrame:
     """(chunk_id, score, lexical_support, place): summed reciprocal ranks; the two best lexical hits always get a place.
 
     A guaranteed hit that the fused order leaves out is inserted at its lexical
-    position, which pushes the tail out.
+    rank, the best one first, which pushes the others down and the tail out.
     """
     rows = None
     for name, found in lists.items():
@@ -143,12 +172,16 @@ def fuse(lists: dict[str, DataFrame], most: int = 8) -> DataFrame:
         F.bool_or(F.col("list").isin("lexical", "trigram")).alias("lexical_support"),
     )
     placed = scored.withColumn("fused", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
-    out = (F.col("fused") > most) & (F.col("lexical_rank") <= GUARANTEED)
-    # Inserted rows come before the row that stood at their position.
-    key = F.when(out, F.col("lexical_rank") - 0.5).otherwise(F.col("fused").cast("double"))
-    best = placed.where((F.col("fused") <= most) | (F.col("lexical_rank") <= GUARANTEED)).withColumn("key", key)
-    top = best.withColumn("place", F.row_number().over(Window.orderBy("key", "chunk_id"))).where(F.col("place") <= most)
-    return top.select("chunk_id", "score", "lexical_support", "place")
+    placed = placed.withColumn("inserted", (F.col("fused") > most) & (F.coalesce("lexical_rank", F.lit(GUARANTEED + 1)) <= GUARANTEED))
+    all_rows = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.col("fused")
+    for rank in range(1, GUARANTEED + 1):
+        missing = F.max(F.col("inserted") & (F.col("lexical_rank") == rank)).over(all_rows)
+        placed = placed.withColumn(f"missing{rank}", missing)
+        place = F.when(F.col(f"missing{rank}") & (place >= rank), place + 1).otherwise(place)
+    placed = placed.withColumn("place", F.when(F.col("inserted"), F.col("lexical_rank")).otherwise(place))
+    best = placed.where(F.col("inserted") | (F.col("fused") <= most)).where(F.col("place") <= most)
+    return best.select("chunk_id", "score", "lexical_support", "place")
 
 
 def hybrid_search(chunks: DataFrame, terms: list[str], query: str, vector: list[float], model: str | None = None, most: int = 8) -> DataFrame:

@@ -202,7 +202,7 @@ class Engine:
         current = self.relations["document_versions"].where("is_current").select("version_id")
         live = self.visible_documents(ctx).where("deleted_at IS NULL").select("document_id")
         chunks = secure(self.relations["chunks"], ctx).join(current, "version_id", "left_semi").join(live, "document_id", "left_semi")
-        chunks = chunks.withColumn("tokens", F.array_distinct(retrieval.words(F.col("normalized_text"))))
+        chunks = chunks.withColumn("padded", retrieval.padded(F.col("normalized_text")))
         terms = self._terms(question)
         lists = {"lexical": retrieval.lexical(chunks, terms), "trigram": retrieval.trigram(chunks, " ".join(t for t in terms if any(x.isalpha() for x in t)) or question)}
         if self.embed is not None:

@@ -133,6 +133,25 @@ def test_hash_embedding_and_similarity(spark):
     assert s == [1.0, 0.0, 1.0]
 
 
+def test_extent_similarity_equals_all_runs():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(150):
+        row = [rng.choice("abcdefghij"[: rng.randrange(2, 11)]) for _ in range(rng.randrange(0, 30))]
+        asked = frozenset(rng.choices("abcdefgh", k=rng.randrange(1, 6)))
+        runs = [set(row[i:j]) for i in range(len(row)) for j in range(i + 1, len(row) + 1)]
+        want = max((len(asked & r) / len(asked | r) for r in runs), default=0.0)
+        assert R.extent_similarity(asked, row) == pytest.approx(want) and R.extent_similarity(asked, row, 0.3) == pytest.approx(max(want, 0.3))
+
+
+def test_guaranteed_hits_are_inserted_in_turn(spark):
+    make = lambda ids: spark.createDataFrame([(i, 100.0 - k) for k, i in enumerate(ids)], "chunk_id int, score double")
+    both = list(range(10, 30))
+    got = R.fuse({"lexical": make([1, 2, *both]), "trigram": make(both), "semantic": make(both)}, 4).orderBy("place").collect()
+    assert [(r.chunk_id, r.place) for r in got] == [(1, 1), (2, 2), (10, 3), (11, 4)]
+
+
 def test_best_sentences(spark):
     ev = spark.createDataFrame([("E1", "The land price was high. Nothing else to see."), ("E2", "A price, surely a price for you."), ("E3", "Other words entirely here.")], "evidence_id string, text string")
     got = R.best_sentences(ev, ["land", "price"]).collect()
