@@ -9,20 +9,31 @@ bisection, whose largest repetition stays within a limit (or whose weights'
 entropy comes down to a target). Six levels of the bisection are evaluated in
 one pass over the table of sources, which stays distributed.
 
-Documents are dealt into blocks by a hash. In each epoch a source's blocks are
-permuted by another hash; the last, partial epoch takes blocks in that order as
-long as they fit the source's remaining budget. That order is a comparison with
-one number per source, so rows meet only the small table of sources.
+Documents are dealt into BLOCKS blocks of their source by a hash, so a block is a
+share of its source, whatever the source's size. In each epoch a source's blocks
+are permuted by another hash, and documents lie in a block in the order of a
+third. The last, partial epoch takes documents in that order as long as they fit
+the source's remaining budget, so every source comes to its target within one
+document. Where it ends is found in three steps, each over a 256th of the rows of
+the one before: among the blocks, in the block where the budget ends among 256
+ranges of the third hash, and in that range among documents. The end is a pair of
+numbers per source, so rows meet only the small table of sources.
+
+A document's tokens are its UTF-8 bytes divided by BYTES and rounded up, plus one
+that ends it: a measure that grows with the text in any script and needs no
+tokenizer.
 
 Defined results: an empty or null text counts as its end token; a null source is
-a source of its own; repeated rows are documents of their own; a single source
-is used once; an empty table gives an empty result; the added columns epoch,
-block, place and tokens replace columns of these names.
+a source of its own; repeated rows are documents of their own, but rows that
+share an id stand at one place of the order, so the last epoch takes all of them
+or none; rows without an id share one; a single source is used once; an empty
+table gives an empty result; the added columns (epoch, block, place and tokens,
+unless named otherwise) replace columns of these names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ship_by_value
@@ -32,12 +43,18 @@ ship_by_value(__name__)
 
 LEVELS = 6  # bisection steps evaluated in one pass
 PASSES = 5
-BLOCK_TOKENS = 20_000
-BUCKETS = 256
+BLOCKS = 256
+BYTES = 4  # that count as a token
+HASH_BITS = 60
 
 
-def _tokens(text_col: str):
-    return (F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(r"\S+")) + 1).cast("long")
+def _tokens(text_col: str) -> Column:
+    return F.expr(f"CAST((octet_length(coalesce(CAST(`{text_col}` AS STRING), '')) + {BYTES - 1}) DIV {BYTES} + 1 AS BIGINT)")
+
+
+def _hash(name: str, *keys: Column) -> Column:
+    """HASH_BITS bits of a hash of the keys, one function for each name."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(name), *(k.cast("string") for k in keys))), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def find_exponent(sources: DataFrame, most_repeats: float | None, entropy: float | None) -> float:
@@ -77,39 +94,50 @@ def plan_sources(sources: DataFrame, exponent: float) -> DataFrame:
     relative = F.exp(F.log(F.col("tokens") / most) * exponent)
     repeats = F.round(relative * most / F.col("tokens"), 9)  # the largest source is used once
     whole = F.floor(repeats).cast("int")
-    return sources.select(
-        "source", "tokens", (relative / z).alias("weight"), repeats.alias("repeats"), whole.alias("whole"),
-        F.floor((repeats - whole) * F.col("tokens")).cast("long").alias("rest"),
-        F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("long").alias("blocks"),
-    )
-
-
-def mix_sources(docs: DataFrame, most_repeats: float | None = 2.0, entropy: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs, as often as the mixture takes them, with epoch, block, place (order of the mixture, 0 to 1) and tokens."""
+    rest = F.floor((repeats - whole) * F.col("tokens")).cast("long")
+    return sources.select("source", "tokens", (relative / z).alias("weight"), repeats.alias("repeats"), whole.alias("whole"), rest.alias("rest"))
+
+
+def _crossing(sums: DataFrame, order: list[str]) -> DataFrame:
+    """Of rows (source, n, rest, order) the one per source in which the running sum of n passes rest, with left, what fits into it."""
+    upto = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    reach = sums.withColumn("reach", F.sum("n").over(upto))
+    return reach.where((F.col("reach") > F.col("rest")) & (F.col("reach") - F.col("n") <= F.col("rest"))).withColumn("left", F.col("rest") - F.col("reach") + F.col("n"))
+
+
+def _last_epoch(space: Workspace, measured: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, cut_turn, cut_key): the last epoch takes documents of an earlier turn, and of this turn up to this key."""
+    own = measured.join(plan.where("rest > 0").select("source", "whole", "rest"), "source")
+    own = own.withColumn("block", F.pmod(_hash("block", F.col("id")), F.lit(BLOCKS)))
+    sums = own.groupBy("source", "block", "whole", "rest").agg(F.sum("tokens").alias("n")).withColumn("turn", _hash("turn", F.col("source"), F.col("block"), F.col("whole")))
+    cuts = space.write(_crossing(sums, ["turn", "block"]).select("source", "block", "turn", F.col("left").alias("rest")), "cuts")
+    inside = own.drop("rest").join(cuts, ["source", "block"]).withColumn("key", _hash("document", F.col("id"))).withColumn("range", F.shiftright("key", HASH_BITS - 8))
+    inside = space.write(inside.select("source", "turn", "key", "range", "tokens", "rest"), "inside")
+    ranges = _crossing(inside.groupBy("source", "range", "rest").agg(F.sum("tokens").alias("n")), ["range"]).select("source", "range", "left")
+    keys = inside.join(ranges, ["source", "range"]).groupBy("source", "range", "left", "key").agg(F.sum("tokens").alias("n"))
+    upto = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    fits = keys.withColumn("fits", F.sum("n").over(upto) <= F.col("left")).groupBy("source", "range").agg(F.max(F.when(F.col("fits"), F.col("key"))).alias("key"))
+    before = F.shiftleft(F.col("range"), HASH_BITS - 8) - 1
+    return cuts.join(fits, "source").select("source", F.col("turn").alias("cut_turn"), F.coalesce("key", before).alias("cut_key"))
+
+
+def mix_sources(docs: DataFrame, most_repeats: float | None = 2.0, entropy: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", names: tuple[str, str, str, str] = ("epoch", "block", "place", "tokens")) -> DataFrame:
+    """The rows of docs, as often as the mixture takes them, with epoch, block, place (order of the mixture, 0 to 1) and tokens under the given names."""
     space = Workspace(docs.sparkSession, "mixing")
-    names = [c for c in docs.columns if c.lower() not in ("epoch", "block", "place", "tokens")]
-    rows = docs.select(*names).withColumn("tokens", _tokens(text_col)).withColumn("_mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("\0")))
-    measured = space.write(rows.select(F.col(id_col).alias("id"), F.col("_mix_source").alias("source"), "tokens"), "tokens")
+    kept = [c for c in docs.columns if c.lower() not in names]
+    key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
+    id_key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    rows = docs.select(*kept, _tokens(text_col).alias("_mix_tokens"), key.alias("_mix_source"), id_key.alias("_mix_id"))
+    measured = space.write(rows.select(F.col("_mix_id").alias("id"), F.col("_mix_source").alias("source"), F.col("_mix_tokens").alias("tokens")), "tokens")
     sources = space.write(measured.groupBy("source").agg(F.sum("tokens").alias("tokens")), "sources")
     plan = space.write(plan_sources(sources, find_exponent(sources, most_repeats, entropy)), "plan")
-
-    block = lambda key: F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.col("blocks"))
-    turn = lambda source, b, epoch: F.shiftrightunsigned(F.xxhash64(F.lit("turn"), source, b, epoch), 1)
-    # Where the last epoch's budget ends: prefix sums over blocks in their order, by buckets of the order first.
-    own = measured.join(plan.select("source", "blocks", "whole", "rest"), "source").where("rest > 0")
-    sums = own.groupBy("source", block("id").alias("block"), "whole", "rest").agg(F.sum("tokens").alias("n")).withColumn("turn", turn(F.col("source"), F.col("block"), F.col("whole")))
-    sums = space.write(sums.withColumn("bucket", F.shiftright("turn", 55)), "blocks")
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = sums.groupBy("source", "bucket").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
-    upto = Window.partitionBy("source", "bucket").orderBy("turn", "block").rowsBetween(Window.unboundedPreceding, 0)
-    reach = sums.join(buckets, ["source", "bucket"]).withColumn("reach", F.sum("n").over(upto) + F.col("before"))
-    cuts = reach.where("reach > rest").groupBy("source").agg(F.min("turn").alias("cut"))
-    plan = space.write(plan.join(cuts, "source", "left").withColumn("cut", F.when(F.col("rest") > 0, F.coalesce("cut", F.lit((1 << 63) - 1))).otherwise(F.lit(-1))), "planned")
-
-    names_of = ("repeats", "whole", "blocks", "cut")
-    few = plan.select(F.col("source").alias("_mix_source"), *(F.col(n).alias(f"_mix_{n}") for n in names_of))
-    taken = rows.join(few, "_mix_source").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), F.col(id_col)), F.col("_mix_blocks")))
-    taken = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_whole")))).withColumn("_mix_turn", turn(F.col("_mix_source"), F.col("block"), F.col("epoch")))
-    taken = taken.where((F.col("epoch") < F.col("_mix_whole")) | (F.col("_mix_turn") < F.col("_mix_cut")))
-    place = (F.col("epoch") + F.col("_mix_turn") / float(1 << 63)) / F.col("_mix_repeats")
-    return taken.select(*names, "epoch", "block", F.least(place, F.lit(1.0)).alias("place"), "tokens")
+    plan = space.write(plan.join(_last_epoch(space, measured, plan), "source", "left"), "planned")
+
+    few = plan.select(F.col("source").alias("_mix_source"), *(F.col(n).alias(f"_mix_{n}") for n in ("repeats", "whole", "cut_turn", "cut_key")))
+    taken = rows.join(few, "_mix_source").withColumn("_mix_block", F.pmod(_hash("block", F.col("_mix_id")), F.lit(BLOCKS)))
+    taken = taken.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_whole")))).withColumn("_mix_turn", _hash("turn", F.col("_mix_source"), F.col("_mix_block"), F.col("_mix_epoch")))
+    early = F.col("_mix_turn") < F.col("_mix_cut_turn")
+    last = (F.col("_mix_turn") == F.col("_mix_cut_turn")) & (_hash("document", F.col("_mix_id")) <= F.col("_mix_cut_key"))
+    taken = taken.where((F.col("_mix_epoch") < F.col("_mix_whole")) | early | last)
+    place = F.least(F.lit(1.0), (F.col("_mix_epoch") + F.col("_mix_turn") / float(1 << HASH_BITS)) / F.col("_mix_repeats"))
+    return taken.select(*kept, *(c.alias(n) for c, n in zip((F.col("_mix_epoch"), F.col("_mix_block"), place, F.col("_mix_tokens")), names, strict=True)))

@@ -18,6 +18,19 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' ELSE false END) AS valid
 FROM o GROUP BY conv_id"""
 
+#: The bisection to 2^-30 of the limit of two repeats in closed form; then the order of the last epoch, document by document.
+ORACLES["op3_mix"] = """
+WITH d AS (SELECT doc_id, source, coalesce('=' || source, '') AS s, coalesce(CAST(doc_id AS VARCHAR), '') AS k, CAST((octet_length(encode(coalesce(text, ''))) + 3) // 4 + 1 AS BIGINT) AS n FROM documents),
+t AS (SELECT s, CAST(sum(n) AS BIGINT) AS n FROM d GROUP BY s),
+x AS (SELECT CAST(max(n) AS DOUBLE) AS most, CAST(min(n) AS DOUBLE) AS least FROM t),
+a AS (SELECT most, CASE WHEN most <= 2 * least THEN 0 ELSE ceil((1 - ln(2) / ln(most / least)) * 1073741824) / 1073741824 END AS a FROM x),
+r AS (SELECT s, n, round(exp(ln(n / most) * a) * most / n, 9) AS repeats FROM t, a),
+p AS (SELECT s, repeats, CAST(floor(repeats) AS BIGINT) AS whole, CAST(floor((repeats - floor(repeats)) * n) AS BIGINT) AS rest FROM r),
+b AS (SELECT d.*, repeats, whole, rest, CAST('0x' || substr(md5('block|' || k), 1, 15) AS BIGINT) % 256 AS block, CAST('0x' || substr(md5('document|' || k), 1, 15) AS BIGINT) AS own FROM d JOIN p USING (s)),
+e AS (SELECT b.*, epoch, CAST('0x' || substr(md5('turn|' || s || '|' || block || '|' || epoch), 1, 15) AS BIGINT) AS turn FROM (SELECT *, unnest(range(whole + 1)) AS epoch FROM b) b),
+f AS (SELECT *, sum(n) OVER (PARTITION BY s, epoch ORDER BY turn, block, own RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reach FROM e)
+SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, block, least(1.0, (epoch + turn / 1152921504606846976) / repeats) AS place, n AS tokens FROM f WHERE epoch < whole OR reach <= rest"""
+
 ORACLES["op5_nearest"] = """
 WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
   AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

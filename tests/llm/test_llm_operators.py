@@ -457,7 +457,7 @@ def test_mixing_meets_its_limit(spark):
     assert len(seen) == 6000 and max(seen.values()) <= 2
     tokens, mixed = Counter(), Counter()
     for i, text, source, *_ in rows:
-        tokens[source] += len(text.split()) + 1
+        tokens[source] += -(-len(text) // 4) + 1
     for r in got:
         mixed[r["source"]] += r["tokens"]
     ratio = {s: mixed[s] / tokens[s] for s in tokens}
@@ -522,6 +522,31 @@ def test_media_filters_equal_plain_sums():
         assert kind == 1 and (int(code[at]) >> 28 & 3) == level ^ level >> 1
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mixing_realises_its_weights(spark, sf):
+    """Every source comes to its weight's share within one document; tied and repeated rows included in the tables."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    own = docs.groupBy("source").agg(F.sum(F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 4) + 1).alias("t"), F.max(F.ceil(F.octet_length("text") / 4) + 1).alias("longest"))
+    own = {r["source"]: (r["t"], r["longest"]) for r in own.collect()}
+    mixed = {r["source"]: r["m"] for r in mixing.mix_sources(docs, most_repeats=2.0).groupBy("source").agg(F.sum("tokens").alias("m")).collect()}
+    most, least = (f(t for t, _ in own.values()) for f in (max, min))
+    a = max(0.0, 1 - math.log(2) / math.log(most / least))
+    for source, (t, longest) in own.items():
+        target = (t / most) ** a * most
+        assert target - longest - 1 <= mixed[source] <= target + 1, source
+
+
+def test_mixing_single_source_and_null_ids(spark):
+    one = spark.createDataFrame([(i, "x" * i, None) for i in range(50)] + [(None, "y", None)] * 3, "doc_id long, text string, source string")
+    got = collect(mixing.mix_sources(one))
+    assert len(got) == 53 and {r["epoch"] for r in got} == {0}
+    two = one.unionByName(spark.createDataFrame([(None, "z" * 20, "s")] * 5, one.schema))
+    assert Counter(r["source"] for r in collect(mixing.mix_sources(two)))[None] == 53
+    clash = one.selectExpr("*", "7 AS tokens", "8 AS epoch")
+    kept = mixing.mix_sources(clash, names=("_e", "_b", "_p", "_t")).select("tokens", "epoch").distinct().collect()
+    assert [tuple(r) for r in kept] == [(7, 8)]
+
+
 # pipeline
 
 def test_pipeline(spark):
@@ -562,7 +587,7 @@ def test_pipeline_strips_passages_of_51_words(spark):
 
 # SQL
 
-@pytest.mark.parametrize("name", ["op2_chat", "op5_nearest", "op9_dedup_passages", "op10_near_duplicates"])
+@pytest.mark.parametrize("name", ["op2_chat", "op3_mix", "op5_nearest", "op9_dedup_passages", "op10_near_duplicates"])
 def test_query_equals_sql(spark, name):
     import glob
     import os
