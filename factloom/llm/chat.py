@@ -166,6 +166,7 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
 
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
-    """Digests of each conversation from segments as format_conversations gives them."""
+    """Digests of each conversation from its segments, in whatever order and partitions they come."""
     shape = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
-    return segments.select("conv_id", "text", "loss", "in_order").mapInArrow(_read_back(template or Template()), shape)
+    placed = segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return placed.select("conv_id", "text", "loss", "in_order").mapInArrow(_read_back(template or Template()), shape)

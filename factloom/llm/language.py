@@ -30,7 +30,8 @@ from .workspace import Workspace, small_batches
 ship_by_value(__name__)
 
 BITS = 12
-EXAMPLES = 500  # of each language
+EXAMPLES = 500  # of each language, at most
+ALL_EXAMPLES = 20_000  # vectors that the driver holds, whatever the number of languages
 CHUNK = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -138,11 +139,17 @@ def identify_language(docs: DataFrame, examples: DataFrame, id_col: str = "doc_i
     spark = docs.sparkSession
     small_batches(spark)
     known = examples.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = known.select("id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= EXAMPLES).select("id", "lang")
-    # EXAMPLES ids per language: a bounded broadcast.
+    space = Workspace(spark, "language")
+    sizes = space.write(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    wanted = min(EXAMPLES, ALL_EXAMPLES // max(1, sizes.count()))
+    # The wanted ids of least hash lie below this share of the hashes but for odds of ten standard deviations, so no language's rows meet in one task.
+    share = (wanted + 10 * wanted**0.5) / F.col("n")
+    near = known.select("id", "lang").join(sizes, "lang").where(F.shiftrightunsigned(F.xxhash64("id"), 1) / float(1 << 63) < share)
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.xxhash64("id"), 1), "id")
+    picked = near.select("id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= wanted).select("id", "lang")
+    # A bounded broadcast: ALL_EXAMPLES ids.
     sample = known.join(F.broadcast(picked), ["id", "lang"]).select("id", "text", "lang").mapInArrow(_describer, "id long, lang string, vector binary")
-    rows = sorted(Workspace(spark, "language").write(sample.dropDuplicates(["id", "lang"]), "sample").collect(), key=lambda r: (r.lang, r.id))
+    rows = sorted(space.write(sample.dropDuplicates(["id", "lang"]), "sample").collect(), key=lambda r: (r.lang, r.id))
     text = F.col(text_col).cast("string")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if not rows:

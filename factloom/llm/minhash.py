@@ -84,10 +84,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
             np.not_equal(own[1:], own[:-1], out=keep[1:])
             own = own[keep]
         elif n[i]:
-            whole = hashed[a]
-            for h in hashed[a + 1 : b]:
-                whole = mix(np.array([whole * np.uint64(0x9FB21C651E98DF25) + h]))[0]
-            own = np.array([~whole], np.uint64)
+            own = hashed[a : a + 1]
+            for k in range(a + 1, b):
+                own = mix(own * np.uint64(0x9FB21C651E98DF25) + hashed[k : k + 1])
+            own = ~own
         else:
             own = hashed[:0]
         out.append(own)

@@ -121,14 +121,15 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"))
     good = F.forall("vector", finite) & F.exists("vector", lambda x: x != 0)
-    return rows.where(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False)))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False)))
+    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates of largest inner product of each query."""
     space = Workspace(queries.sparkSession, "neighbours")
-    q = space.write(usable(queries, id_col, vector_col).dropDuplicates(["vec_id"]), "queries")
-    c = space.write(usable(vectors, id_col, vector_col).dropDuplicates(["vec_id"]), "candidates")
+    q = space.write(usable(queries, id_col, vector_col), "queries")
+    c = space.write(usable(vectors, id_col, vector_col), "candidates")
     q_blocks, c_blocks = (max(1, -(-x.count() // n)) for x, n in ((q, QUERY_BLOCK), (c, CANDIDATE_BLOCK)))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

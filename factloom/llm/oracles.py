@@ -32,8 +32,8 @@ f AS (SELECT *, sum(n) OVER (PARTITION BY s, epoch ORDER BY turn, block, own RAN
 SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, block, least(1.0, (epoch + turn / 1152921504606846976) / repeats) AS place, n AS tokens FROM f WHERE epoch < whole OR reach <= rest"""
 
 ORACLES["op5_nearest"] = """
-WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+WITH v AS (SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""

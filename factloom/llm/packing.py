@@ -33,11 +33,16 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def load_encoder(path: str):
-    """ids of a text under the tokenizer file at path, whose special tokens count as ordinary text.
+    """ids of a text under the tokenizer file at path, which turns the strings of its special tokens into their ids.
 
     Where the same folder holds the vocabulary as ranks, the faster reader of
-    those is used; both give the same ids.
+    those encodes all texts without such a string; both give the same ids.
     """
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    plain = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     ranks = path.removesuffix(".json") + ".tiktoken"
     try:
         import base64
@@ -47,13 +52,10 @@ def load_encoder(path: str):
 
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
     except (ImportError, FileNotFoundError):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        return plain
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    return lambda text: plain(text) if any(s in text for s in special) else fast(text)
 
 
 def _cutter(path: str, window: int, end_id: int, with_ids: bool):

@@ -25,12 +25,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where this application's tables lie."""
+    return f"{shared_folder(spark).rstrip('/')}/factloom-{spark.sparkContext.applicationId}"
+
+
+def clear_workspaces(spark: SparkSession) -> None:
+    """Delete all tables of this application; results that weren't written elsewhere can't be read any more."""
+    _delete(spark, session_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Workspace:
     """A folder of its own for one run of one operator."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -44,13 +59,15 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._factloom_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, table._factloom_path)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch of whole texts holds."""
+    """Bound what one Arrow batch of whole texts holds.
+
+    Spark reads these settings when a result is planned, after the operator has
+    returned, so they hold for the rest of the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
