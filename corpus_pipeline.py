@@ -16,8 +16,8 @@ from factloom.llm.mixing import mix_sources
 from factloom.llm.packing import pack
 from factloom.llm.queries import tokenizer_path
 from factloom.llm.suffix_dedup import strip_word_passages
-from factloom.llm.toxicity import score_toxicity
-from factloom.llm.workspace import Workspace
+from factloom.llm.toxicity import learn, with_scores
+from factloom.llm.workspace import Workspace, small_batches
 
 #: Ids that may be broadcast; more are joined by a shuffle.
 FEW = 1_000_000
@@ -29,16 +29,19 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5; labels teach as they do in the operator's query."""
+    """Rows that score under 0.5, each by its own text, with or without an id; labels teach as they do in the operator's query."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold != 0)
-    scored = score_toxicity(docs, labels)
-    rejected = scored.where("score >= 0.5").select("doc_id").distinct()
-    return _without(docs, Workspace(spark, "pipeline").write(rejected, "rejected"))
+    small_batches(spark)
+    scored = with_scores(docs.withColumn("_scored_text", F.col("text")), learn(docs, labels), "_scored_text", ("_score", "_evidence"))
+    return scored.where("_score < 0.5").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group of near duplicates (five-word shingles, similarity 0.8), once."""
+    """The least document of each group of near duplicates (five-word shingles, similarity 0.8), once.
+
+    Rows without an id stay; of rows that share an id the one with the least text stays.
+    """
     space = Workspace(spark, "pipeline")
     found = space.write(near_duplicates(docs).select("doc_id", "kept"), "found")
     dropped = space.write(found.where("not kept").select("doc_id").distinct(), "dropped")
@@ -46,18 +49,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = _without(docs, dropped)
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _without(kept, repeated).unionByName(once)
+    row = F.struct(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("_row"))
+    return _without(kept, repeated).unionByName(once.select("_row.*"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated passages of over 50 words, whatever their bytes."""
-    return strip_word_passages(docs, 51)
+    """Documents without their repeated passages of over 50 words, whatever their bytes.
+
+    As in the operator, every occurrence goes, the first one included: a passage
+    that many documents share is boilerplate in each. A document that had words
+    and is left without any goes; one that was empty before stays.
+    """
+    stripped = strip_word_passages(docs.withColumn("_had_words", F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))), 51)
+    return stripped.where(~F.col("_had_words") | F.col("text").rlike(r"\S")).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture of their sources takes them."""
-    return mix_sources(docs, most_repeats=2.0).select(docs.columns)
+    names = tuple(f"_mix_{n}" for n in ("turns", "part", "place", "size"))
+    return mix_sources(docs, most_repeats=2.0, names=names).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
