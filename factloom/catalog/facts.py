@@ -8,6 +8,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import documents as D
 from ..operators import identity as I
+from ..operators import review as V
 from .registry import query
 
 FACTS = """facts AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax) AS id, 'b' || l_partkey AS block, CAST(l_suppkey % 5 AS VARCHAR) AS parcel,
@@ -75,6 +76,49 @@ def merged_transactions(t):
     return I.apply_merges(occ, I.resolve_merges(merges)).groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+RECORDS = """r AS (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS address, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(16,2)) AS price FROM orders),
+  fix AS (SELECT l_orderkey AS id, arg_max(CAST(l_extendedprice AS DECIMAL(16,2)), (l_linenumber, l_extendedprice)) AS price FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+  f AS (SELECT r.id, address, day, coalesce(fix.price, r.price) AS price, CASE WHEN fix.price IS NULL THEN 'auto_extracted' ELSE 'corrected' END AS status FROM r LEFT JOIN fix USING (id))"""
+
+
+@query(f"WITH {RECORDS} SELECT id AS occurrence_id, price, round(CAST(price / 40 AS DECIMAL(18,4)), 2) AS computed, status, min(id) OVER (PARTITION BY address, day, price) AS transaction_id FROM f")
+def corrected_records(t):
+    """Corrections overlaid, prices per area computed anew, and every record identified by its present values."""
+    c = F.col
+    none = lambda kind: F.lit(None).cast(kind)
+    records = t.orders.select(
+        c("o_orderkey").alias("occurrence_id"), F.lit("transaction_price").alias("data_kind"), c("o_custkey").cast("string").alias("address"), *(none("string").alias(n) for n in ("block", "parcel", "sub_parcel", "property_type")),
+        c("o_orderdate").cast("date").alias("transaction_date"), c("o_totalprice").cast("decimal(16,2)").alias("price"), F.lit(40).cast("decimal(12,2)").alias("area"), F.lit("net").alias("area_type"),
+        none("decimal(14,2)").alias("stated"), F.lit(False).alias("ocr"), F.lit("auto_extracted").alias("status"),
+    )
+    fixes = t.lineitem.where("l_returnflag = 'R'").select(c("l_orderkey").alias("occurrence_id"), F.lit("price").alias("field"), c("l_extendedprice").cast("decimal(16,2)").cast("string").alias("value"), F.struct("l_linenumber", "l_extendedprice").alias("at"))
+    return V.reidentify(V.correct(records, fixes), ["occurrence_id"]).select("occurrence_id", "price", c("computed").cast("decimal(18,2)").alias("computed"), "status", "transaction_id")
+
+
+MERGES = "m AS (SELECT s_suppkey AS loser, s_suppkey - s_suppkey % 8 AS survivor FROM supplier WHERE s_suppkey % 8 <> 0), pairs AS (SELECT l_suppkey AS a, l_partkey AS b, l_returnflag AS reason FROM lineitem WHERE l_quantity > 45)"
+
+
+@query(f"""WITH {MERGES}, p AS (SELECT coalesce(x.survivor, a) AS a, coalesce(y.survivor, b) AS b, reason FROM pairs LEFT JOIN m x ON x.loser = a LEFT JOIN m y ON y.loser = b)
+  SELECT CASE WHEN CAST(a AS VARCHAR) > CAST(b AS VARCHAR) THEN b ELSE a END AS a, CASE WHEN CAST(a AS VARCHAR) > CAST(b AS VARCHAR) THEN a ELSE b END AS b, min(reason) AS reason FROM p WHERE a <> b GROUP BY 1, 2""")
+def repointed_candidates(t):
+    """Look-alike pairs of merged facts concern the survivors."""
+    c = F.col
+    merges = t.supplier.where("s_suppkey % 8 != 0").select(c("s_suppkey").alias("loser"), (c("s_suppkey") - c("s_suppkey") % 8).alias("survivor"))
+    pairs = t.lineitem.where("l_quantity > 45").select(c("l_suppkey").alias("a"), c("l_partkey").alias("b"), c("l_returnflag").alias("reason"))
+    return I.repoint(pairs, merges)
+
+
+@query("""WITH p AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity > 45),
+  d AS (SELECT l_suppkey AS a, l_partkey AS b, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber, l_returnflag)) AS action FROM lineitem WHERE l_quantity > 40 AND l_returnflag <> 'N' GROUP BY 1, 2)
+  SELECT p.a, p.b, CASE action WHEN 'A' THEN 'merged' WHEN 'R' THEN 'kept_separate' ELSE 'open' END AS status FROM p LEFT JOIN d USING (a, b)""")
+def decided_candidates(t):
+    """Pairs with their status after the reviewer's last decision."""
+    c = F.col
+    pairs = t.lineitem.where("l_quantity > 45").select(c("l_suppkey").alias("a"), c("l_partkey").alias("b")).distinct()
+    events = t.lineitem.where("l_quantity > 40 AND l_returnflag != 'N'").select(c("l_suppkey").alias("a"), c("l_partkey").alias("b"), F.when(c("l_returnflag") == "A", "merge").otherwise("keep_separate").alias("action"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_returnflag").alias("at"))
+    return I.decided(pairs, events)
+
+
 @query("SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
 def without_orphans(t):
     parts = t.part.select("p_partkey")

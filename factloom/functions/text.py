@@ -201,9 +201,10 @@ def numbers_in(text: Column) -> Column:
 
 
 def snippet(text: Column, tokens: Column, width: int = 280) -> Column:
-    """The sentence with most of the tokens (the first of equals), cut at width."""
+    """The sentence whose normalized form has most of the tokens (the first of equals), cut at width."""
     cut = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n"), lambda s: F.trim(s)), lambda s: s != "")
-    score = lambda s: F.size(F.filter(tokens, lambda t: F.contains(F.lower(s), t)))
+    plain = lambda s: base_normalize(s, compose=False)
+    score = lambda s: let(plain(s), lambda n: F.size(F.filter(tokens, lambda t: F.contains(n, t))))
     none = F.struct(F.lit(-1).alias("n"), F.lit("").alias("s"))
     best = F.aggregate(cut, none, lambda a, s: F.when(score(s) > a["n"], F.struct(score(s).alias("n"), s.alias("s"))).otherwise(a))["s"]
     chosen = F.when(F.size(cut) == 0, F.substring(text, 1, width)).otherwise(best)

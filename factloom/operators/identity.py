@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..rounds import checkpointed
+
 # Kinds that are matched, and the wording of differences.
 MATCHED_KINDS = ("transaction_price", "asking_price", "adjusted_comparable")
 DIFFERENCES = (("transaction_date", "תאריך"), ("price", "מחיר"), ("area", "שטח"), ("area_type", "סוג שטח"))
+DECISIONS = {"merge": "merged", "keep_separate": "kept_separate"}
 SAME_PLACE, INCOMPLETE = "אותו מיקום; שונה: ", "פרטים חסרים"
 
 
@@ -35,12 +38,16 @@ def attach(occurrences: DataFrame, order: list[str]) -> DataFrame:
     if its property type is missing or among the types seen so far; otherwise
     it stands alone. The types seen are those of joined occurrences: the first
     stated type rules, so the order is a window over the key, not a loop.
+
+    Occurrences without a key stand alone and take no part in the windows, where
+    they would all meet in one task.
     """
-    window = Window.partitionBy("match_key").orderBy(*order)
-    ruling = F.first("property_type", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    first_id = F.first("occurrence_id").over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    joins = F.col("match_key").isNotNull() & (F.col("property_type").isNull() | (F.col("property_type") == ruling))
-    return occurrences.withColumn("_first", first_id).withColumn("transaction_id", F.when(joins, F.col("_first")).otherwise(F.col("occurrence_id"))).withColumn("differs_from", F.when(F.col("match_key").isNotNull() & ~joins, F.col("_first"))).drop("_first")
+    window = Window.partitionBy("match_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    keyed = occurrences.where("match_key IS NOT NULL").withColumn("_ruling", F.first("property_type", ignorenulls=True).over(window)).withColumn("_first", F.first("occurrence_id").over(window))
+    joins = F.col("property_type").isNull() | (F.col("property_type") == F.col("_ruling"))
+    keyed = keyed.withColumn("transaction_id", F.when(joins, F.col("_first")).otherwise(F.col("occurrence_id"))).withColumn("differs_from", F.when(~joins, F.col("_first"))).drop("_ruling", "_first")
+    alone = occurrences.where("match_key IS NULL").withColumn("transaction_id", F.col("occurrence_id"))
+    return keyed.unionByName(alone.withColumn("differs_from", F.lit(None).cast(keyed.schema["differs_from"].dataType)))
 
 
 def look_alikes(facts: DataFrame, place: list[str], id_col: str) -> DataFrame:
@@ -86,15 +93,36 @@ def apply_merges(occurrences: DataFrame, merges: DataFrame) -> DataFrame:
     return occurrences.join(mapped, "transaction_id", "left").withColumn("transaction_id", F.coalesce("survivor", "transaction_id")).drop("survivor")
 
 
-def resolve_merges(merges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(loser, survivor) with chains of merges followed to their ends by pointer jumping."""
-    keep = merges.sparkSession.sparkContext.getCheckpointDir() is not None
-    now = merges.select("loser", "survivor").dropDuplicates(["loser"])
-    for _ in range(rounds):
-        after = now.select(F.col("loser").alias("survivor"), F.col("survivor").alias("further"))
-        step = now.join(after, "survivor", "left").select("loser", F.coalesce("further", "survivor").alias("survivor"), F.col("further").isNotNull().alias("moved"))
-        step = step.checkpoint() if keep else step
-        now = step.drop("moved")
-        if step.where("moved").isEmpty():
-            break
-    return now
+def resolve_merges(merges: DataFrame) -> DataFrame:
+    """(loser, survivor) with chains of merges followed to their ends by pointer jumping.
+
+    A loser that is merged twice goes to the lesser survivor; merges that go round
+    in a circle are an error.
+    """
+    now = checkpointed(merges.where("loser != survivor").groupBy("loser").agg(F.min("survivor").alias("survivor")))
+    for _ in range(now.count().bit_length() + 1):  # each round doubles what is followed
+        onward = now.select(F.col("loser").alias("survivor"), F.col("survivor").alias("further"))
+        moved = now.join(onward, "survivor", "left").select("loser", F.coalesce("further", "survivor").alias("survivor"), F.col("further").isNotNull().alias("moved"))
+        moved = checkpointed(moved)
+        now = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return now
+    raise ValueError("merges go round in a circle")
+
+
+def repoint(candidates: DataFrame, merges: DataFrame) -> DataFrame:
+    """Open pairs (a, b, reason) under the survivors of merges (loser, survivor): each pair once, none of a fact with itself."""
+    ends = candidates.select("a", "b", "reason")
+    for end in ("a", "b"):
+        own = merges.select(F.col("loser").alias(end), F.col("survivor").alias("_to"))
+        ends = ends.join(own, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    swap = F.col("a").cast("string") > F.col("b").cast("string")
+    ordered = ends.where("a != b").select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), "reason")
+    return ordered.groupBy("a", "b").agg(F.min("reason").alias("reason"))
+
+
+def decided(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Candidates (a, b, reason) with their status after the last decision (a, b, action, at): merged, kept_separate or open."""
+    states = F.create_map(*(F.lit(x) for pair in DECISIONS.items() for x in pair))
+    last = decisions.groupBy("a", "b").agg(F.max_by(F.try_element_at(states, F.col("action")), "at").alias("status"))
+    return candidates.join(last, ["a", "b"], "left").withColumn("status", F.coalesce("status", F.lit("open")))

@@ -13,6 +13,7 @@ embedding_model), dedup_candidates (a, b, status, reason, office_id), user_group
 from __future__ import annotations
 
 import hashlib
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from decimal import ROUND_HALF_UP, Decimal
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..context import TenantContext, secure, secure_content, secure_documents
 from ..functions.numbers import price_conflict, price_per_area
-from ..functions.text import normalize_for_search, substring_filter
+from ..functions.text import normalize_for_search, numbers_in, substring_filter
 from ..operators import identity, retrieval, stats
 from .conditions import AWAITING, VERIFIED, Conditions, predicate
 from .question import Reading, read_questions, reading_of
@@ -33,6 +34,10 @@ DATE_LABELS = {"transaction_date": "תאריך העסקה", "valuation_date": "
 AREA_LABELS = {"net": "נטו", "gross": "ברוטו", "registered": "רשום", "equivalent": "אקוויוולנטי", "other": "אחר"}
 MIXED = ("area_type", "property_type", "vat_basis")
 MEDIAN_FROM = 3
+#: Sources that an answer lists itself; source_table has all of them.
+LISTED = 200
+#: Answers that an engine keeps; the one longest unused goes first.
+KEPT = 1000
 
 
 @dataclass
@@ -46,6 +51,9 @@ class Answer:
     sources: list = field(default_factory=list)
     limitations: list = field(default_factory=list)
     cacheable: bool = True
+    provider: str = "extractive"
+    cited: frozenset = frozenset()  # versions that the answer rests on, as far as it lists them
+    source_table: DataFrame | None = None  # every source of a numeric answer
 
 
 def shown(value) -> str:
@@ -95,9 +103,17 @@ def choose_provider(enabled: bool, key: str | None, demo: bool) -> str:
 class Engine:
     """One office's relations under the callers' scopes, with versioned answers kept by exact key."""
 
-    def __init__(self, relations: dict[str, DataFrame], data_version: int = 0, embed: Callable[[str], list[float]] | None = None, model: str | None = None):
-        self.relations, self.data_version, self.embed, self.model = relations, data_version, embed, model
-        self.cache: dict[str, Answer] = {}
+    def __init__(
+        self,
+        relations: dict[str, DataFrame],
+        data_version: int = 0,
+        embed: Callable[[str], list[float]] | None = None,
+        model: str | None = None,
+        writer: Callable[[str, list[dict]], tuple[str, list[str]]] | None = None,
+    ):
+        """embed makes a question's vector under model; writer makes a text and the evidence ids it used from a question and its evidence."""
+        self.relations, self.data_version, self.embed, self.model, self.writer = relations, data_version, embed, model, writer
+        self.cache: OrderedDict[str, Answer] = OrderedDict()
 
     # scoped relations
 
@@ -145,23 +161,35 @@ class Engine:
             return self.content(ctx, question, c)
         groups = hashlib.sha256("|".join(sorted(ctx.groups)).encode()).hexdigest()
         key = c.cache_key(office=ctx.office_id, user=ctx.user_id, role=ctx.role, groups=groups, version=self.data_version, question=question if c.intent == "combined" else None)
-        if key not in self.cache:
+        if key not in self.cache or not self.authorized(ctx, self.cache[key]):
             out = self.numeric(ctx, c)
             if c.intent == "combined" and out.outcome == "numeric":
                 text = self.content(ctx, " ".join(x for x in (question, c.city, c.neighborhood) if x), c)
-                out = Answer("combined", f"{out.text}\n{text.text}", c, out.numbers, sources=out.sources + text.sources, limitations=out.limitations)
+                out = Answer("combined", f"{out.text}\n{text.text}", c, out.numbers, sources=out.sources + text.sources, limitations=out.limitations + text.limitations, cacheable=text.cacheable, provider=text.provider, cited=out.cited | text.cited, source_table=out.source_table)
             if not out.cacheable:
+                self.cache.pop(key, None)
                 return out
             self.cache[key] = out
+            if len(self.cache) > KEPT:
+                self.cache.popitem(last=False)
+        self.cache.move_to_end(key)
         return self.cache[key]
 
+    def authorized(self, ctx: TenantContext, answer: Answer) -> bool:
+        """Whether every version that a kept answer cites is still visible, current and not deleted."""
+        if not answer.cited:
+            return True
+        live = self.visible_documents(ctx).where("deleted_at IS NULL").select("document_id")
+        seen = self.relations["document_versions"].where("is_current").where(F.col("version_id").isin(*answer.cited)).join(live, "document_id", "left_semi")
+        return seen.select("version_id").distinct().count() == len(answer.cited)
+
     def numeric(self, ctx: TenantContext, c: Conditions) -> Answer:
         rows = self.records(ctx)
         matched = rows.where(predicate(c, VERIFIED, "fact_area_type"))
         for name in MIXED:  # in this order, one question at a time
             if getattr(c, name) is None:
                 column = "fact_area_type" if name == "area_type" else name
-                values = stats.distinct_values(matched, column, ["transaction_id"]).limit(20).collect()
+                values = stats.distinct_values(matched, column, ["transaction_id"]).collect()  # one row per kind
                 if len(values) > 1:
                     return Answer("clarification", conditions=c, ask=name, options=[(r["value"], r["n"]) for r in values])
         facts = matched.select("transaction_id", F.col("fact_price").alias("price"), F.col("fact_area").alias("area")).distinct()
@@ -177,19 +205,41 @@ class Engine:
         if numbers["n"] < MEDIAN_FROM:
             numbers["median"] = None
         text, limits = numeric_text(c, numbers, uncertain, conflicts)
-        sources = current.select("title", "page_no", "row_index", "transaction_id", "document_id").orderBy("title", "page_no", "row_index").limit(200).collect()
-        return Answer("numeric", text, c, {**numbers, "awaiting": waiting}, sources=[{"source_id": f"S{i + 1}", **r.asDict()} for i, r in enumerate(sources)], limitations=limits)
+        every = current.select("title", "page_no", "row_index", "transaction_id", "document_id", "version_id")
+        sources, total = every.orderBy("title", "page_no", "row_index", "transaction_id").limit(LISTED).collect(), every.count()
+        if total > LISTED:
+            limits.append(f"{LISTED} of {total} sources are listed")
+        listed = [{"source_id": f"S{i + 1}", **r.asDict()} for i, r in enumerate(sources)]
+        return Answer("numeric", text, c, {**numbers, "awaiting": waiting}, sources=listed, limitations=limits, cited=frozenset(r["version_id"] for r in sources), source_table=every)
 
     def content(self, ctx: TenantContext, question: str, c: Conditions | None = None) -> Answer:
-        """The best supported sentences of the evidence, each with its citation."""
+        """The writer's answer if it stands up to its evidence, else the best supported sentences, each with its citation."""
         hits = self.search(ctx, question, 12)
         found = retrieval.evidence(hits)
-        evidence = found.select("evidence_id", "document_id", "chunk_id", "text").collect()
+        evidence = found.select("evidence_id", "document_id", "version_id", "chunk_id", "text").collect()
         if not evidence:
             return Answer("abstain", "אין בסיס מספיק במסמכים", c)
+        sources, cited = [r.asDict() for r in evidence], frozenset(r.version_id for r in evidence)
+        limits, cacheable = [], True
+        if self.writer is not None:
+            try:
+                text, used = self.writer(question, sources)
+            except Exception as failure:  # whatever a service throws, the evidence still answers
+                limits, cacheable = [f"the writer failed: {type(failure).__name__}"], False
+            else:
+                problems = self.problems(text, used, evidence)
+                if not problems:
+                    return Answer("content", text, c, sources=sources, provider="writer", cited=cited)
+                limits = ["the writer's text was rejected: " + ", ".join(problems)]
         picked = retrieval.best_sentences(found, self._terms(question)).collect()
         text = " ".join(f"{r.sentence} [{r.evidence_id}]" for r in picked) or f"{evidence[0].text[:280]} [{evidence[0].evidence_id}]"
-        return Answer("content", text, c, sources=[r.asDict() for r in evidence])
+        return Answer("content", text, c, sources=sources, limitations=limits, cacheable=cacheable, cited=cited)
+
+    def problems(self, text: str, used: list[str], evidence: list) -> list[str]:
+        """What speaks against a written answer: markup, citations and numbers that the evidence doesn't bear."""
+        spark = self.relations["documents"].sparkSession
+        row = spark.createDataFrame([(text, used, [r.evidence_id for r in evidence], "\n".join(r.text for r in evidence))], "text string, used array<string>, allowed_ids array<string>, basis string")
+        return retrieval.verify(row.withColumn("allowed_numbers", numbers_in(F.col("basis")))).first()["problems"]
 
     def _terms(self, question: str) -> list[str]:
         from ..functions.text import query_tokens
@@ -250,7 +300,45 @@ class Engine:
 
     def changed(self, **relations: DataFrame) -> Engine:
         """The engine after a mutation: replaced relations and the next data version, so no kept answer matches."""
-        return Engine({**self.relations, **relations}, self.data_version + 1, self.embed, self.model)
+        return Engine({**self.relations, **relations}, self.data_version + 1, self.embed, self.model, self.writer)
+
+    # a reviewer's decisions
+
+    def set_status(self, ctx: TenantContext, occurrence_id, action: str, note: str | None = None) -> Engine:
+        """The engine after one record is approved or rejected; a rejection needs a note, and the record has to be visible."""
+        if action == "reject" and not (note or "").strip():
+            raise ValueError("a rejection needs a note")
+        if self.records(ctx).where(F.col("occurrence_id") == F.lit(occurrence_id)).isEmpty():
+            raise PermissionError("no such record")
+        status = {"approve": "human_verified", "reject": "rejected"}[action]
+        own = F.col("occurrence_id") == F.lit(occurrence_id)
+        return self.changed(occurrences=self.relations["occurrences"].withColumn("verification_status", F.when(own, F.lit(status)).otherwise(F.col("verification_status"))))
+
+    def _open_pair(self, ctx: TenantContext, a, b) -> DataFrame:
+        """The open pair of two facts, if the caller sees both of them."""
+        pair = secure(self.relations["dedup_candidates"], ctx).where((F.col("status") == "open") & (F.col("a") == F.lit(a)) & (F.col("b") == F.lit(b)))
+        pair = identity.both_ends(pair, self.visible("occurrences", ctx), "transaction_id")
+        if pair.isEmpty():
+            raise PermissionError("no such pair")
+        return pair
+
+    def merge(self, ctx: TenantContext, a, b) -> Engine:
+        """The engine after fact b is merged into fact a: its records and its other open pairs concern a."""
+        self._open_pair(ctx, a, b)
+        rows, pairs = self.relations["occurrences"], self.relations["dedup_candidates"]
+        merges = rows.sparkSession.createDataFrame([(b, a)], f"loser {rows.schema['transaction_id'].dataType.simpleString()}, survivor {rows.schema['transaction_id'].dataType.simpleString()}")
+        touches = (F.col("a") == F.lit(b)) | (F.col("b") == F.lit(b))
+        others = pairs.where(~touches)
+        moved = identity.repoint(secure(pairs, ctx).where(touches & (F.col("status") == "open")), merges)
+        new = moved.join(others.select("a", "b"), ["a", "b"], "left_anti").withColumns({"status": F.lit("open"), "office_id": F.lit(ctx.office_id)})
+        facts = self.relations["transactions"].where(F.col("transaction_id") != F.lit(b))
+        return self.changed(occurrences=identity.apply_merges(rows, merges).select(rows.columns), dedup_candidates=others.unionByName(new.select(others.columns)), transactions=facts)
+
+    def keep_separate(self, ctx: TenantContext, a, b) -> Engine:
+        """The engine after a pair is decided to be two facts."""
+        self._open_pair(ctx, a, b)
+        own = (F.col("a") == F.lit(a)) & (F.col("b") == F.lit(b)) & (F.col("status") == "open")
+        return self.changed(dedup_candidates=self.relations["dedup_candidates"].withColumn("status", F.when(own, F.lit("kept_separate")).otherwise(F.col("status"))))
 
 
 def reindex(chunks: DataFrame) -> DataFrame:

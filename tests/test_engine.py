@@ -87,6 +87,46 @@ def test_content_stays_in_scope(engine):
     assert engine.search(ADMIN, "river").count() == 2 and engine.search(user, "river").count() == 1
 
 
+def test_kept_answers_are_authorized_again(spark):
+    e = office(spark, ROWS)
+    user = TenantContext("o1", "u", groups=frozenset({"g1"}))
+    first = e.ask(user, QUESTION)
+    assert first.cited == {"vd1"} and e.ask(user, QUESTION) is first
+    e.relations["documents"] = e.relations["documents"].withColumn("group_id", F.lit("g7"))
+    assert e.ask(user, QUESTION).outcome == "abstain"
+
+
+def test_writer_is_verified(engine):
+    wrote = Engine(engine.relations, 1, engine.embed, "h", lambda q, evidence: ("Noise near the river [E1]", ["E1"]))
+    invents = Engine(engine.relations, 1, engine.embed, "h", lambda q, evidence: ("It costs 900 [E1], see https://x", ["E1"]))
+    fails = Engine(engine.relations, 1, engine.embed, "h", lambda q, evidence: 1 / 0)
+    good, bad, none = (e.content(ADMIN, "noise near the river") for e in (wrote, invents, fails))
+    assert (good.provider, good.text) == ("writer", "Noise near the river [E1]")
+    assert bad.provider == "extractive" and "unsupported_number" in bad.limitations[0] and "links_or_markup" in bad.limitations[0] and "[E1]" in bad.text
+    assert none.provider == "extractive" and not none.cacheable and "ZeroDivisionError" in none.limitations[0]
+
+
+def test_review_decisions(spark):
+    rows = [*ROWS, (5, "d1", "1000000", "50", "net", "human_verified")]
+    e = office(spark, rows)
+    pairs = [("t1", "t5", "open", "x", "o1"), ("t2", "t5", "open", "y", "o1"), ("t1", "t2", "kept_separate", "z", "o1")]
+    e.relations["dedup_candidates"] = spark.createDataFrame(pairs[:2], "a string, b string, status string, reason string, office_id string")
+    merged = e.merge(ADMIN, "t1", "t5")
+    assert {r.occurrence_id: r.transaction_id for r in merged.relations["occurrences"].collect()} == {1: "t1", 2: "t2", 3: "t3", 5: "t1"}
+    assert [(r.a, r.b, r.status, r.reason) for r in merged.relations["dedup_candidates"].collect()] == [("t1", "t2", "open", "y")]
+    assert (e.ask(ADMIN, QUESTION).numbers["n"], merged.ask(ADMIN, QUESTION).numbers["n"]) == (3, 2)
+    apart = e.keep_separate(ADMIN, "t2", "t5")
+    assert {(r.a, r.b): r.status for r in apart.relations["dedup_candidates"].collect()} == {("t1", "t5"): "open", ("t2", "t5"): "kept_separate"}
+    with pytest.raises(PermissionError):
+        apart.merge(ADMIN, "t2", "t5")
+    with pytest.raises(PermissionError):
+        e.merge(TenantContext("o1", "u", groups=frozenset({"g1"})), "t2", "t5")
+    approved = e.set_status(ADMIN, 3, "approve")
+    assert approved.ask(ADMIN, QUESTION).numbers["n"] == 4 and e.set_status(ADMIN, 1, "reject", "wrong").ask(ADMIN, QUESTION).numbers["n"] == 2
+    with pytest.raises(ValueError):
+        e.set_status(ADMIN, 1, "reject", " ")
+
+
 def test_lists(engine):
     assert {r.document_id for r in engine.list_documents(ADMIN).collect()} == {"d1", "d2"} and engine.list_documents(ADMIN, "%").count() == 0 and engine.list_documents(ADMIN, "d1", "ready").count() == 1
     assert [(r.kind, r.id) for r in engine.review_queue(ADMIN).collect()] == [("pair", "t1/t2"), ("record", "3")]

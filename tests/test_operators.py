@@ -103,10 +103,28 @@ def test_identity(spark):
     assert got == {1: (1, None), 2: (1, None), 3: (3, 1), 4: (1, None), 5: (5, None), 6: (6, None), 7: (7, 1)}
     merges = spark.createDataFrame([(4, 3), (3, 2), (2, 1), (9, 8)], "loser int, survivor int")
     assert {r.loser: r.survivor for r in I.resolve_merges(merges).collect()} == {4: 1, 3: 1, 2: 1, 9: 8}
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 40)] + [(20, 30)], "loser int, survivor int")
+    assert {r.survivor for r in I.resolve_merges(chain).collect()} == {0} and I.resolve_merges(merges.where("false")).count() == 0
+    for circle in ([(1, 2), (2, 1)], [(1, 2), (2, 3), (3, 1), (9, 8)]):
+        with pytest.raises(ValueError):
+            I.resolve_merges(spark.createDataFrame(circle, "loser int, survivor int"))
     d = spark.createDataFrame([("1", "2", None, None, "transaction_price", "2024-01-01", "100", "5", "net"), (None, None, None, "a", "transaction_price", None, "1", "1", "net"), ("1", "2", "3", None, "appraised_value", "2024-01-01", "1", "1", "net")], "block string, parcel string, sub_parcel string, address string, data_kind string, transaction_date string, price string, area string, area_type string")
     assert [r[0] for r in d.select(I.match_key(I.location_key())).collect()] == ["bp:1/2/-|transaction_price|2024-01-01|100|5|net", None, None]
 
 
+def test_corrections_lead_to_new_identity(spark):
+    from factloom.operators import review
+
+    shape = "occurrence_id int, data_kind string, address string, block string, parcel string, sub_parcel string, property_type string, transaction_date date, price decimal(16,2), area decimal(12,2), area_type string, stated decimal(14,2), city string, ocr boolean, status string"
+    day = __import__("datetime").date(2024, 1, 2)
+    base = lambda i, price: (i, "transaction_price", "a 1", None, None, None, None, day, __import__("decimal").Decimal(price), __import__("decimal").Decimal(50), "net", None, "x", False, "auto_extracted")
+    records = spark.createDataFrame([base(1, 100), base(2, 200), base(3, 300)], shape)
+    edits = [(2, "price", "150", 1), (2, "price", "100", 2), (3, "price", "-5", 1), (3, "colour", "red", 1), (1, "transaction_date", "no day", 1)]
+    got = {r.occurrence_id: r for r in review.reidentify(review.correct(records, spark.createDataFrame(edits, "occurrence_id int, field string, value string, at int")), ["occurrence_id"]).collect()}
+    assert {i: (r.price, r.status, r.transaction_id) for i, r in got.items()} == {1: (100, "auto_extracted", 1), 2: (100, "corrected", 1), 3: (300, "auto_extracted", 3)}
+    assert got[2].computed == 2 and got[2].missing == []
+
+
 def test_state(spark):
     vers = spark.createDataFrame([("d", 1, True), ("d", 2, True), ("d", 3, False)], "document_id string, version_no int, done boolean")
     assert [r.state for r in V.mark_current(vers, F.col("done")).orderBy("version_no").collect()] == ["superseded", "current", "pending"]
