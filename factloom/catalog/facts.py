@@ -95,6 +95,21 @@ def corrected_records(t):
     return V.reidentify(V.correct(records, fixes), ["occurrence_id"]).select("occurrence_id", "price", c("computed").cast("decimal(18,2)").alias("computed"), "status", "transaction_id")
 
 
+@query("""SELECT l_partkey AS transaction_id, CAST(min(l_extendedprice) AS DECIMAL(16,2)) AS price, count(*) AS sources, count(DISTINCT l_returnflag) AS kinds, arg_min(l_orderkey, (l_suppkey, l_orderkey, l_linenumber)) AS first FROM lineitem GROUP BY 1""")
+def fact_summaries(t):
+    """Facts nested with their sources."""
+    c = F.col
+    rows = t.lineitem.select(c("l_partkey").alias("transaction_id"), c("l_extendedprice").cast("decimal(16,2)").alias("price"), c("l_quantity").cast("decimal(12,2)").alias("area"), c("l_returnflag").alias("property_type"), c("l_suppkey").alias("document_id"), c("l_orderkey").alias("version_id"), c("l_linenumber").alias("page_no"), F.lit(0).alias("row_index"), F.lit(0).alias("occurrence_id"))
+    return I.summaries(rows).select("transaction_id", "price", F.size("sources").cast("long").alias("sources"), F.size("property_types").cast("long").alias("kinds"), c("sources")[0]["version_id"].alias("first"))
+
+
+@query("SELECT DISTINCT l_orderkey AS version_id FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 45)")
+def touched_versions(t):
+    """Versions that a set of facts touches."""
+    rows = t.lineitem.select(F.col("l_partkey").alias("transaction_id"), F.col("l_orderkey").alias("version_id"))
+    return I.versions_of(rows, t.part.where("p_size > 45").select(F.col("p_partkey").alias("transaction_id")))
+
+
 MERGES = "m AS (SELECT s_suppkey AS loser, s_suppkey - s_suppkey % 8 AS survivor FROM supplier WHERE s_suppkey % 8 <> 0), pairs AS (SELECT l_suppkey AS a, l_partkey AS b, l_returnflag AS reason FROM lineitem WHERE l_quantity > 45)"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import context
 from ..operators import versions as v
 from ..operators.adapters import versions
 from ..streaming import jobs
@@ -44,6 +45,15 @@ def late_version_rule(t):
     return v.mark_current(versions(t), F.col("status") == "F").select("version_id", "is_current", "state")
 
 
+@query("""SELECT event_id AS session_id, user_id, event_type AS office_id, u.role FROM (SELECT event_id, user_id, ts, event_type FROM events WHERE ts + INTERVAL 15 DAY > TIMESTAMP '2024-01-20') JOIN (SELECT c_custkey AS user_id, c_mktsegment AS role FROM customer WHERE c_acctbal > 0) u USING (user_id)""")
+def live_sessions(t):
+    """Unexpired sessions with their active users."""
+    c = F.col
+    sessions = t.events.select(c("event_id").alias("session_id"), "user_id", "event_type", (c("ts") + F.expr("INTERVAL 15 DAYS")).alias("expires_at"))
+    users = t.customer.select(c("c_custkey").alias("user_id"), F.lit("o").alias("office_id"), c("c_mktsegment").alias("role"), (c("c_acctbal") > 0).alias("active"))
+    return context.live_sessions(sessions, users, F.lit("2024-01-20").cast("timestamp")).select("session_id", "user_id", c("event_type").alias("office_id"), "role")
+
+
 @query("""SELECT user_id, value AS last_value, event_type AS last_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def upsert_latest(t):
     e = t.events.select("user_id", F.col("value").alias("last_value"), F.col("event_type").alias("last_type"), F.struct("ts", "event_id").alias("at"))

@@ -76,6 +76,12 @@ def fully_visible(groups_of: DataFrame, ctx: TenantContext) -> DataFrame:
     return groups_of.select("key").distinct().join(foreign.select("key").distinct(), "key", "left_anti")
 
 
+def live_sessions(sessions: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """Sessions that haven't expired, with their active user's office and role."""
+    live = sessions.where(F.col("expires_at") > now)
+    return live.join(users.where("active").select("user_id", "office_id", "role"), "user_id")
+
+
 def still_authorized(cited: DataFrame, visible_versions: DataFrame) -> DataFrame:
     """Per answer: whether every cited version is still visible."""
     seen = visible_versions.select("version_id").distinct().withColumn("seen", F.lit(1))

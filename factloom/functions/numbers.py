@@ -48,6 +48,13 @@ def parse_date(raw: Column) -> Column:
     return F.try_to_date(F.when(raw.rlike(numeric), iso).when(raw.rlike(named), by_name), "yyyy-MM-dd")
 
 
+def area_with_type(raw: Column) -> Column:
+    """struct(area, area_type) of a text like ``95 sqm net``; either part may be null."""
+    from .text import area_type_code
+
+    return F.struct(parse_decimal(raw).alias("area"), area_type_code(raw).alias("area_type"))
+
+
 def price_per_area(price: Column, area: Column) -> Column:
     """Half up to cents; null without a positive area."""
     return F.when(area > 0, F.round(price.cast("decimal(18,2)") / area.cast("decimal(12,2)"), 2)).cast("decimal(14,2)")

@@ -87,6 +87,17 @@ def both_ends(pairs: DataFrame, visible: DataFrame, key: str) -> DataFrame:
     return pairs.join(ids.withColumnRenamed(key, "a"), "a", "left_semi").join(ids.withColumnRenamed(key, "b"), "b", "left_semi")
 
 
+def summaries(occurrences: DataFrame) -> DataFrame:
+    """Each fact with its agreed values and its sources, in the order of their place."""
+    source = F.struct("document_id", "version_id", "page_no", "row_index", "occurrence_id")
+    return occurrences.groupBy("transaction_id").agg(F.min("price").alias("price"), F.min("area").alias("area"), F.array_sort(F.collect_set("property_type")).alias("property_types"), F.array_sort(F.collect_list(source)).alias("sources"))
+
+
+def versions_of(occurrences: DataFrame, facts: DataFrame) -> DataFrame:
+    """Distinct versions that some facts touch, whose status follows from a decision on them."""
+    return occurrences.join(facts.select("transaction_id"), "transaction_id", "left_semi").select("version_id").distinct()
+
+
 def apply_merges(occurrences: DataFrame, merges: DataFrame) -> DataFrame:
     """Occurrences re-pointed to the survivor of merged facts; merges is (loser, survivor), already resolved to final survivors."""
     mapped = merges.select(F.col("loser").alias("transaction_id"), "survivor")

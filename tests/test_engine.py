@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+import oracle
 from factloom.context import TenantContext
 from factloom.operators.retrieval import hash_embedding
 from factloom.plans.engine import Engine, choose_provider, merge_filters, reindex, saved, shown
@@ -58,6 +59,32 @@ def test_numeric(engine):
     assert engine.ask(ADMIN, QUESTION) is a  # by key
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_offices_equal_the_oracle(spark, seed):
+    """Prices, areas, kinds and states at random, deleted documents and old versions among them."""
+    import random
+
+    rng = random.Random(seed)
+    kinds = ["net"] if seed == 1 else ["net", "gross"]
+    pick = lambda i: (i, f"d{rng.randrange(1, 4)}", str(rng.randrange(1, 400) * 1000 + rng.randrange(100)), str(rng.randrange(0, 90)), rng.choice(kinds), rng.choice(["human_verified", "corrected", "auto_extracted", "needs_review", "rejected"]))
+    e = office(spark, [pick(i) for i in range(30)])
+    gone, old = ("d3", "vd2") if seed == 2 else ("d2", "none")
+    e.relations["documents"] = e.relations["documents"].withColumn("deleted_at", F.when(F.col("document_id") == gone, F.current_timestamp()))
+    e.relations["document_versions"] = e.relations["document_versions"].withColumn("is_current", F.col("version_id") != old)
+    rows, versions, documents, facts = ([r.asDict() for r in e.relations[n].collect()] for n in ("occurrences", "document_versions", "documents", "transactions"))
+    wanted = {"city": CITY, "data_kind": "transaction_price", "year": ("transaction_date", 2023, 2023)}
+    question = QUESTION
+    if seed == 3:
+        question, wanted = QUESTION + " שטח נטו", wanted | {"area_type": "net"}
+    outcome, detail = oracle.expected(oracle.current(rows, versions, documents), wanted, {f["transaction_id"]: f for f in facts})
+    got = e.ask(ADMIN, question)
+    assert got.outcome == outcome
+    if outcome == "clarification":
+        assert (got.ask, dict(got.options)) == detail
+    elif outcome == "numeric":
+        assert {k: got.numbers[k] if got.numbers[k] is None or k in ("n", "awaiting") else Decimal(str(got.numbers[k])) for k in detail} == detail
+
+
 def test_scope_of_groups(engine):
     a = engine.ask(TenantContext("o1", "u", groups=frozenset({"g1"})), QUESTION)
     assert a.numbers["n"] == 1 and a.numbers["mean"] == 20000.0

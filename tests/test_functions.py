@@ -93,3 +93,15 @@ def test_snippets_and_urls(spark):
     assert d.select(T.snippet(F.col("t"), F.col("k"))).first()[0] == "The price is here!"
     assert d.select(T.snippet(F.col("t"), F.col("k"), 5)).first()[0] == "The p…"
     assert spark.range(1).select(T.content_key(F.lit("a" * 64)), T.content_key(F.lit("../x"))).first()[1] is None
+
+
+def test_keyed_digest(spark):
+    import hashlib
+    import hmac
+
+    for key in (b"k", b"x" * 64, b"y" * 100):
+        assert one(spark, "שלום", lambda c, key=key: T.hmac_sha256(c, key)) == hmac.new(key, "שלום".encode(), hashlib.sha256).hexdigest()
+
+
+def test_area_with_type(spark):
+    assert [tuple(one(spark, raw, N.area_with_type)) for raw in ("95 מ״ר נטו", "80", "ברוטו")] == [(Decimal("95"), "net"), (Decimal("80"), None), (None, "gross")]
