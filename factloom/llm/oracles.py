@@ -45,9 +45,12 @@ hit AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*
 edge AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS opens FROM hit),
 run AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS g FROM edge) GROUP BY r, g),
 cut AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY r ORDER BY a) IS NULL AS last FROM run),
-kept AS (SELECT r, count(*) AS spans, sum(b - a) AS gone, string_agg(hex(raw[before + 1 : a]) || CASE WHEN last THEN hex(raw[b + 1 : n]) ELSE '' END, '' ORDER BY a) AS bytes FROM cut JOIN d USING (r) GROUP BY r)
-SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(CASE WHEN spans IS NULL THEN raw ELSE unhex(bytes) END) AS kept_sha256
-FROM d LEFT JOIN kept USING (r)"""
+kept AS (SELECT r, count(*) AS spans, sum(b - a) AS gone, string_agg(hex(raw[before + 1 : a]) || CASE WHEN last THEN hex(raw[b + 1 : n]) ELSE '' END, '' ORDER BY a) AS bytes FROM cut JOIN d USING (r) GROUP BY r),
+words AS (SELECT r, list_filter(string_split_regex(decode(raw), '[\\x09-\\x0D\\x1C-\\x20]+'), lambda x: x <> '') AS a FROM d),
+ww AS (SELECT r, i, md5(array_to_string(a[i + 1 : i + 51], ' ')) AS h FROM (SELECT r, a, unnest(range(len(a) - 50)) AS i FROM words WHERE len(a) > 50)),
+wr AS (SELECT r, count(*) AS runs FROM (SELECT r, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM ww WHERE h IN (SELECT h FROM ww GROUP BY h HAVING count(*) > 1)) WHERE gap IS NULL OR gap > 51 GROUP BY r)
+SELECT doc_id, coalesce(runs, 0) AS n_word_runs, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(CASE WHEN spans IS NULL THEN raw ELSE unhex(bytes) END) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN wr USING (r)"""
 
 ORACLES["op10_near_duplicates"] = r"""
 WITH RECURSIVE d AS (

@@ -80,7 +80,7 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import dedup_passages
 
-    return dedup_passages(table(spark, sf_dir, "documents"))
+    return dedup_passages(table(spark, sf_dir, "documents"), words=51)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ship_by_value
@@ -270,10 +270,10 @@ def _merged(spans) -> list[tuple[int, int]]:
 
 
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, spans) give doc_id, sizes, the kept bytes' checksum and the kept text."""
+    """Rows (doc_id, text, spans, n_word_runs) give doc_id, sizes, the kept bytes' checksum, n_word_runs and the kept text."""
     for batch in batches:
         rows = []
-        for doc_id, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc_id, text, spans, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = (text or "").encode()
             cuts = _merged((x["start"], min(x["end"], len(raw))) for x in spans)
             kept, at = [], 0
@@ -281,11 +281,11 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.append(raw[at:start])
                 at = end
             kept = b"".join([*kept, raw[at:]])
-            rows.append((doc_id, len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept))
+            rows.append((doc_id, len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), runs, kept))
         if rows:
             a = list(zip(*rows, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(a, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(a, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_word_runs", "kept"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -335,26 +335,34 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     return out, copies
 
 
-def dedup_passages(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs (and kept: the bytes that stay)."""
+def dedup_passages(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_word_runs for every row of docs (and kept: the bytes that stay).
+
+    n_word_runs counts the maximal runs covered by strings of so many words that
+    also start anywhere else, whatever their bytes; nothing is removed for them.
+    Without words it is 0.
+    """
     spans, copies = repeated_spans(docs, length, id_col, text_col)
     rows = _keyed(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    none = F.lit(0).cast("long")
+    runs = None if words is None else word_spans(docs, words, text_col).select(F.col("t1").alias("h1"), F.col("t2").alias("h2"), _count_runs("spans").alias("runs"))
+    counted = lambda df: df.withColumn("n_word_runs", none) if runs is None else df.join(runs, ["h1", "h2"], "left").withColumn("n_word_runs", F.coalesce("runs", none)).drop("runs")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(1 << 40).cast("long").alias("end")))
     copied = copies.select("h1", "h2", F.lit(True).alias("copied"))
     marks = spans.join(copied, ["h1", "h2"], "full").select("h1", "h2", "copied", "spans")
     lost_all = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= length)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_word_runs long, kept binary"
     if with_text:
         marked = rows.join(marks, ["h1", "h2"], "left").withColumn("spans", F.when(lost_all, whole).otherwise(F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType))))
-        return marked.select("doc_id", "text", "spans").mapInArrow(_cutter, schema)
+        return counted(marked).select("doc_id", "text", "spans", "n_word_runs").mapInArrow(_cutter, schema)
     # Only texts that lose a part travel to the marks; of the others, sizes and checksums do.
     partly = spans.join(copied, ["h1", "h2"], "left_anti")
-    cut = rows.select("h1", "h2", "doc_id", "text").join(partly, ["h1", "h2"]).select("doc_id", "text", "spans").mapInArrow(_cutter, schema).drop("kept")
+    cut = rows.select("h1", "h2", "doc_id", "text").join(counted(partly), ["h1", "h2"]).select("doc_id", "text", "spans", "n_word_runs").mapInArrow(_cutter, schema).drop("kept")
     facts = rows.select("h1", "h2", "doc_id", "n_bytes", F.sha2("text", 256).alias("sha"))
     rest = facts.join(marks.select("h1", "h2", "copied", F.lit(True).alias("marked")), ["h1", "h2"], "left").where(F.col("marked").isNull() | F.col("copied"))
-    kept = rest.select(
+    kept = counted(rest).select(
         "doc_id", "n_bytes", F.when(lost_all, F.col("n_bytes")).otherwise(0).cast("long").alias("n_removed"),
-        lost_all.cast("long").alias("n_spans"), F.when(lost_all, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
+        lost_all.cast("long").alias("n_spans"), F.when(lost_all, F.sha2(F.lit(""), 256)).otherwise(F.col("sha")).alias("kept_sha256"), "n_word_runs",
     )
     return kept.unionByName(cut)
 
@@ -398,7 +406,7 @@ def strip_passages(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-#: Bytes that stand for a word in a coded text, and the characters they are made of.
+#: Bytes that stand for a word in a coded text, 48 bits of its hash, and the characters they are made of.
 CODE = 8
 _CODES = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
@@ -449,24 +457,36 @@ def _word_stripper(place: int):
     return run
 
 
-def strip_word_passages(docs: DataFrame, words: int = 51, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """docs without the runs of so many words and more that occur more than once, whatever the words' lengths.
+def word_spans(docs: DataFrame, words: int = 51, text_col: str = "text") -> DataFrame:
+    """(t1, t2, spans in the coded text) of texts, by two hashes, with runs of so many words and more that occur more than once.
 
     Each word becomes CODE characters of its hash, so such runs are repeated strings of words * CODE bytes of the coded text.
     """
     small_batches(docs.sparkSession)
     space, length = Workspace(docs.sparkSession, "words"), words * CODE
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    t1, t2 = F.xxhash64(text), F.xxhash64(F.lit("second"), text)
-    given = docs.select(t1.alias("t1"), t2.alias("t2"), text.alias("text"))
+    given = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("text"))
     coded = space.write(given.mapInArrow(_coder, "t1 long, t2 long, text string"), "coded").withColumn("doc_id", F.lit(0))
     spans, copies = repeated_spans(coded, length)
     own = coded.where(F.octet_length("text") >= length).select("t1", "t2", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")).distinct()
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(1 << 40).cast("long").alias("end")))
     marks = spans.join(copies.select("h1", "h2", F.lit(True).alias("copied")), ["h1", "h2"], "full")
     marks = own.join(marks.select("h1", "h2", F.when(F.col("copied"), whole).otherwise(F.col("spans")).alias("spans")), ["h1", "h2"])
-    marks = marks.select(F.col("t1").alias("_strip_t1"), F.col("t2").alias("_strip_t2"), F.col("spans").alias("_strip_spans"))
+    return marks.select("t1", "t2", "spans")
+
+
+def _count_runs(spans: str) -> Column:
+    """How many runs are left when spans that meet or overlap are one."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end"))
+    step = lambda a, x: F.struct((a["n"] + (x["start"] > a["end"]).cast("long")).alias("n"), F.greatest(a["end"], x["end"]).alias("end"))
+    return F.aggregate(F.array_sort(F.col(spans)), start, step)["n"]
+
+
+def strip_word_passages(docs: DataFrame, words: int = 51, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs without the runs of so many words and more that occur more than once, whatever the words' lengths."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marks = word_spans(docs, words, text_col).select(F.col("t1").alias("_strip_t1"), F.col("t2").alias("_strip_t2"), F.col("spans").alias("_strip_spans"))
     names = [F.col(c) for c in docs.columns]
-    marked = docs.select(*names, t1.alias("_strip_t1"), t2.alias("_strip_t2")).join(marks, ["_strip_t1", "_strip_t2"], "left")
+    marked = docs.select(*names, F.xxhash64(text).alias("_strip_t1"), F.xxhash64(F.lit("second"), text).alias("_strip_t2")).join(marks, ["_strip_t1", "_strip_t2"], "left")
     out = marked.select(*names, "_strip_spans").mapInArrow(_word_stripper(docs.columns.index(text_col)), docs.schema)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
