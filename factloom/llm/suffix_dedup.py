@@ -406,8 +406,8 @@ def strip_passages(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-#: Bytes that stand for a word in a coded text, 48 bits of its hash, and the characters they are made of.
-CODE = 8
+#: Bytes that stand for a word in a coded text, 30 bits of its hash, and the characters they are made of.
+CODE = 5
 _CODES = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
 
