@@ -182,7 +182,11 @@ def section_carry_forward(t):
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.last(F.when(F.length("line") < 40, F.col("line")), ignorenulls=True).over(order).alias("section"))
 
 
-@query()
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^[\s\-–—]*\d{1,4}[\s\-–—]*$')) AS a FROM documents),
+  w AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM l),
+  p AS (SELECT doc_id, i, 0 AS part, length(x) + 1 AS size FROM w WHERE i = 1
+    UNION ALL SELECT w.doc_id, w.i, CASE WHEN size + length(x) + 1 > 1200 THEN part + 1 ELSE part END, CASE WHEN size + length(x) + 1 > 1200 THEN length(x) + 1 ELSE size + length(x) + 1 END FROM p JOIN w ON w.doc_id = p.doc_id AND w.i = p.i + 1)
+  SELECT doc_id AS version_id, CAST(0 AS BIGINT) AS section_no, part, CAST(length(string_agg(x, chr(10) ORDER BY i)) AS INTEGER) AS chars, md5(string_agg(x, chr(10) ORDER BY i)) AS digest FROM p JOIN w USING (doc_id, i) GROUP BY doc_id, part""")
 def chunk_packing(t):
     """Lines packed into chunks of bounded size, section by section."""
     pages = t.documents.select(F.col("doc_id").alias("version_id"), F.lit(1).alias("page_no"), "text")

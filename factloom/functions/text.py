@@ -64,7 +64,7 @@ def first_code(text: Column, table) -> Column:
 
 def base_normalize(text: Column, compose: bool = True) -> Column:
     """Shared comparison form: composed, without vowel points, unified quotes, plain numbers, single blanks, lower case."""
-    # Only texts beyond ASCII cross to Python.
+    # Only texts beyond ASCII cross to Python. The patterns are fixed values: equal texts must have equal forms.
     t = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text) if compose else text
     t = F.regexp_replace(t, "[֑-ׇ]", "")
     t = F.regexp_replace(t, "(?<=[א-ת])[\"“”״](?=[א-ת])", "״")
