@@ -126,7 +126,10 @@ def verify_numbers(t):
     return R.verify(d).select("answer", F.explode_outer("problems").alias("problem"))
 
 
-@query(f"WITH {TOK}, {LEX}, {TRI}, {SEM}, {FUSED} SELECT chunk_id, score, lexical_support, place FROM best WHERE place <= 8 AND chunk_id IN (SELECT doc_id FROM documents)")
+OWN = SEM.replace("FROM embeddings e", "FROM (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) e")
+
+
+@query(f"WITH {TOK}, {LEX}, {TRI}, {OWN}, {FUSED} SELECT chunk_id, score, lexical_support, place FROM best WHERE place <= 8")
 def hybrid_search(t):
     """The whole search, joined back to the documents."""
     chunks = _chunks(t).join(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding", F.lit("m1").alias("embedding_model")), "chunk_id", "left")
