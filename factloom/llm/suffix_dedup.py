@@ -114,24 +114,32 @@ def _anchorer(length: int):
     return run
 
 
-def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+def _symbols(context: bytes, unit: int) -> np.ndarray:
+    """A context's bytes, or its codes of unit bytes, as numbers from 1."""
+    data = np.frombuffer(context, np.uint8)
+    if unit == 1:
+        return data.astype(np.int64) + 1
+    return _DIGITS[data.reshape(-1, unit)] @ (64 ** np.arange(unit)) + 1
+
+
+def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarray, length: int, unit: int = 1) -> Iterator[tuple[int, np.ndarray]]:
     """Yields (offset of the window from the anchor, numbers of the contexts whose window there repeats in their group).
 
-    contexts come sorted by group; before[i] is how far context i reaches to the left of its anchor.
+    contexts come sorted by group; before[i] is how far context i reaches to the
+    left of its anchor. Lengths and offsets count symbols, of unit bytes each.
     """
-    n = len(contexts)
-    sizes = np.array([len(c) for c in contexts], np.int64)
+    n, top = len(contexts), 257 if unit == 1 else 64**unit + 1
+    sizes = np.array([len(c) // unit for c in contexts], np.int64)
     far = int((sizes - before).max())  # columns to the right of the anchor
     deep = int(before.max())
-    rows = np.zeros((n, deep + far), np.uint16)  # 0: the document isn't there
+    rows = np.zeros((n, deep + far), np.uint16 if unit == 1 else np.uint32)  # 0: the document isn't there
     for i, (context, left) in enumerate(zip(contexts, before.tolist(), strict=True)):
         at = deep - left
-        rows[i, at : at + len(context)] = np.frombuffer(context, np.uint8)
-        rows[i, at : at + len(context)] += 1
+        rows[i, at : at + sizes[i]] = _symbols(context, unit)
     symbols = np.ascontiguousarray(rows.T)  # column by column
     del rows
     order, common = np.arange(n), np.zeros(n, np.int32)  # common[r]: prefix shared with the document at rank r - 1
-    ranks_by_group = group.astype(np.int64) * 257
+    ranks_by_group = group.astype(np.int64) * top
     for c in range(deep + far - 1, -1, -1):
         key = ranks_by_group[order] + symbols[c][order]
         now = np.argsort(key, kind="stable")
@@ -139,7 +147,7 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarra
             now = None
         sorted_key = key if now is None else key[now]
         same = np.zeros(n, bool)
-        same[1:] = (sorted_key[1:] == sorted_key[:-1]) & (sorted_key[1:] % 257 != 0)
+        same[1:] = (sorted_key[1:] == sorted_key[:-1]) & (sorted_key[1:] % top != 0)
         if now is None:
             common = np.where(same, common + 1, 0)
         else:
@@ -162,17 +170,16 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarra
                 yield c - deep, order[hit]
 
 
-def _builder(length: int):
+def _builder(length: int, unit: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (group key, h1, h2, place, first, last, context), sorted by key, give removed spans of texts."""
 
         def spans(rows: list) -> pa.RecordBatch | None:
             keys = [r[0] for r in rows]
             group = np.cumsum([0, *(x != y for x, y in zip(keys[1:], keys[:-1], strict=True))])
-            place, first = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-            last = np.array([r[5] for r in rows])
+            place, first, last = (np.array([r[k] for r in rows]) // unit for k in (3, 4, 5))
             who, where = [], []
-            for offset, hit in repeated_windows([r[6] for r in rows], place - first, group, length):
+            for offset, hit in repeated_windows([r[6] for r in rows], place - first, group, length // unit, unit):
                 at = place[hit] + offset
                 own = (at >= first[hit]) & (at <= last[hit])
                 who.append(hit[own])
@@ -184,6 +191,7 @@ def _builder(length: int):
                 return None
             order = np.lexsort((where, who))
             who, where = who[order], where[order]
+            where = where * unit
             new = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (where[1:] > where[:-1] + length))))
             end = where[np.concatenate((new[1:], [len(who)])) - 1] + length
             return pa.RecordBatch.from_arrays(
@@ -213,7 +221,7 @@ def _builder(length: int):
     return run
 
 
-def _contexts(length: int):
+def _contexts(length: int, unit: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (h1, h2, text, anchors of the text) give a row per anchor with its context, a crowded anchor's cut into eighths."""
         step = -(-(length - GRAM + 1) // EIGHTHS)
@@ -223,12 +231,14 @@ def _contexts(length: int):
                 for x in anchors:
                     anchor = x["anchor"]
                     place, first, last = _unpack(x["where"])
+                    first, last = -(-first // unit) * unit, last // unit * unit  # windows begin at whole symbols
                     if not x["crowded"]:
-                        out.append((anchor, 0, place, first, last, raw[first : last + length]))
+                        if first <= last:
+                            out.append((anchor, 0, place, first, last, raw[first : last + length]))
                         continue
                     for k in range(EIGHTHS):  # windows that begin in [low, high] share the bytes [high, low + length)
                         low, high = place - (k + 1) * step + 1, place - k * step
-                        a, b = max(low, first), min(high, last)
+                        a, b = max(-(-low // unit) * unit, first), min(high // unit * unit, last)
                         if a <= b:
                             core = hashlib.blake2b(raw[high : low + length], digest_size=8)
                             core.update(b"%d,%d" % (anchor, k))
@@ -244,15 +254,16 @@ def _contexts(length: int):
     return run
 
 
-def _windows(length: int):
+def _windows(length: int, unit: int = 1):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each window of each context: its hash and where it starts."""
         for batch in batches:
             for h1, h2, first, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n = len(context) - length + 1
-                hashed = [hashlib.blake2b(context[i : i + length], digest_size=16).digest() for i in range(n)]
+                starts = range(0, len(context) - length + 1, unit)
+                hashed = [hashlib.blake2b(context[i : i + length], digest_size=16).digest() for i in starts]
+                n = len(starts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashed, pa.binary()), pa.array([h1] * n, pa.int64()), pa.array([h2] * n, pa.int64()), pa.array(range(first, first + n), pa.int64())],
+                    [pa.array(hashed, pa.binary()), pa.array([h1] * n, pa.int64()), pa.array([h2] * n, pa.int64()), pa.array([first + i for i in starts], pa.int64())],
                     ["window", "h1", "h2", "start"],
                 )
 
@@ -293,10 +304,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", unit: int = 1) -> tuple[DataFrame, DataFrame]:
     """(h1, h2, spans: array of (start, end)) of texts with repeated windows, and (h1, h2, copies) of texts that occur more than once.
 
-    h1 and h2 are two hashes of a text; spans may overlap.
+    h1 and h2 are two hashes of a text; spans may overlap. With a unit above 1 a
+    text is a row of codes of so many bytes, each one symbol, and windows begin and
+    end with them.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -315,19 +328,19 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     own = own.groupBy("h1", "h2").agg(F.collect_set(F.struct("anchor", "where", "crowded")).alias("anchors"))
     texts = long_enough.dropDuplicates(["h1", "h2"]).join(own, ["h1", "h2"])
     shape = "key long, h1 long, h2 long, level int, place long, first long, last long, context binary"
-    contexts = texts.select("h1", "h2", "text", "anchors").mapInArrow(_contexts(length), shape)
+    contexts = texts.select("h1", "h2", "text", "anchors").mapInArrow(_contexts(length, unit), shape)
     columns = ["key", "h1", "h2", "place", "first", "last", "context"]
     single = None
     if any_crowd:
         contexts = space.write(contexts, "contexts")
         crowded = contexts.where("level = 1").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key")
         one_by_one = contexts.where("level = 1").join(crowded, "key", "left_semi").select("h1", "h2", "first", "context")
-        windows = space.write(one_by_one.mapInArrow(_windows(length), "window binary, h1 long, h2 long, start long"), "windows")
+        windows = space.write(one_by_one.mapInArrow(_windows(length, unit), "window binary, h1 long, h2 long, start long"), "windows")
         often = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
         single = windows.join(often, "window", "left_semi").select("h1", "h2", "start", (F.col("start") + length).alias("end"))
         contexts = contexts.join(crowded, "key", "left_anti")
     built = contexts.select(columns).repartition("key").sortWithinPartitions("key")
-    spans = built.mapInArrow(_builder(length), "h1 long, h2 long, start long, end long")
+    spans = built.mapInArrow(_builder(length, unit), "h1 long, h2 long, start long, end long")
     spans = spans if single is None else spans.unionByName(single)
     gathered = spans.groupBy("h1", "h2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     out = space.write(gathered, "spans")
@@ -409,6 +422,8 @@ _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 #: Bytes that stand for a word in a coded text, 30 bits of its hash, and the characters they are made of.
 CODE = 5
 _CODES = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+_DIGITS = np.zeros(256, np.int64)
+_DIGITS[_CODES] = np.arange(64)
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -467,7 +482,7 @@ def word_spans(docs: DataFrame, words: int = 51, text_col: str = "text") -> Data
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     given = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("text"))
     coded = space.write(given.mapInArrow(_coder, "t1 long, t2 long, text string"), "coded").withColumn("doc_id", F.lit(0))
-    spans, copies = repeated_spans(coded, length)
+    spans, copies = repeated_spans(coded, length, unit=CODE)
     own = coded.where(F.octet_length("text") >= length).select("t1", "t2", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")).distinct()
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(1 << 40).cast("long").alias("end")))
     marks = spans.join(copies.select("h1", "h2", F.lit(True).alias("copied")), ["h1", "h2"], "full")

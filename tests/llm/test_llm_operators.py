@@ -169,7 +169,9 @@ def test_long_texts_are_cut_with_overlap(monkeypatch):
     assert windows == int((whole[4] - whole[3] + 1).sum()) == len(data) - 399
 
 
-def test_word_passages_equal_brute_force(spark):
+@pytest.mark.parametrize("crowd", [20_000, 2])
+def test_word_passages_equal_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     rng = random.Random(12)
     words = [f"w{i}" for i in range(400)]
     parts = [[rng.choice(words) for _ in range(n)] for n in (51, 60, 50, 130)]
