@@ -114,12 +114,11 @@ def _anchorer(length: int):
     return run
 
 
-def _symbols(context: bytes, unit: int) -> np.ndarray:
-    """A context's bytes, or its codes of unit bytes, as numbers from 1."""
-    data = np.frombuffer(context, np.uint8)
-    if unit == 1:
-        return data.astype(np.int64) + 1
-    return _DIGITS[data.reshape(-1, unit)] @ (64 ** np.arange(unit)) + 1
+def _fill_words(rows: np.ndarray, contexts: list[bytes], sizes: np.ndarray, start: np.ndarray, unit: int) -> None:
+    """Put each context's codes of unit bytes into its row from start on, as numbers from 1."""
+    codes = _DIGITS[np.frombuffer(b"".join(contexts), np.uint8).reshape(-1, unit)] @ (64 ** np.arange(unit)) + 1
+    own = np.repeat(np.arange(len(contexts)), sizes)
+    rows[own, np.arange(len(own)) + np.repeat(start - (np.cumsum(sizes) - sizes), sizes)] = codes
 
 
 def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarray, length: int, unit: int = 1) -> Iterator[tuple[int, np.ndarray]]:
@@ -133,9 +132,12 @@ def repeated_windows(contexts: list[bytes], before: np.ndarray, group: np.ndarra
     far = int((sizes - before).max())  # columns to the right of the anchor
     deep = int(before.max())
     rows = np.zeros((n, deep + far), np.uint16 if unit == 1 else np.uint32)  # 0: the document isn't there
-    for i, (context, left) in enumerate(zip(contexts, before.tolist(), strict=True)):
+    if unit > 1:
+        _fill_words(rows, contexts, sizes, deep - before, unit)
+    for i, (context, left) in enumerate(zip(contexts, before.tolist(), strict=True) if unit == 1 else ()):
         at = deep - left
-        rows[i, at : at + sizes[i]] = _symbols(context, unit)
+        rows[i, at : at + len(context)] = np.frombuffer(context, np.uint8)
+        rows[i, at : at + len(context)] += 1
     symbols = np.ascontiguousarray(rows.T)  # column by column
     del rows
     order, common = np.arange(n), np.zeros(n, np.int32)  # common[r]: prefix shared with the document at rank r - 1
