@@ -127,7 +127,8 @@ def mix_sources(docs: DataFrame, most_repeats: float | None = 2.0, entropy: floa
     kept = [c for c in docs.columns if c.lower() not in names]
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
     id_key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.select(*kept, _tokens(text_col).alias("_mix_tokens"), key.alias("_mix_source"), id_key.alias("_mix_id"))
+    # The row travels whole, so no name of its columns meets one of these.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_mix_row"), _tokens(text_col).alias("_mix_tokens"), key.alias("_mix_source"), id_key.alias("_mix_id"))
     measured = space.write(rows.select(F.col("_mix_id").alias("id"), F.col("_mix_source").alias("source"), F.col("_mix_tokens").alias("tokens")), "tokens")
     sources = space.write(measured.groupBy("source").agg(F.sum("tokens").alias("tokens")), "sources")
     plan = space.write(plan_sources(sources, find_exponent(sources, most_repeats, entropy)), "plan")
@@ -140,4 +141,4 @@ def mix_sources(docs: DataFrame, most_repeats: float | None = 2.0, entropy: floa
     last = (F.col("_mix_turn") == F.col("_mix_cut_turn")) & (_hash("document", F.col("_mix_id")) <= F.col("_mix_cut_key"))
     taken = taken.where((F.col("_mix_epoch") < F.col("_mix_whole")) | early | last)
     place = F.least(F.lit(1.0), (F.col("_mix_epoch") + F.col("_mix_turn") / float(1 << HASH_BITS)) / F.col("_mix_repeats"))
-    return taken.select(*kept, *(c.alias(n) for c, n in zip((F.col("_mix_epoch"), F.col("_mix_block"), place, F.col("_mix_tokens")), names, strict=True)))
+    return taken.select(*(F.col("_mix_row").getField(c).alias(c) for c in kept), *(c.alias(n) for c, n in zip((F.col("_mix_epoch"), F.col("_mix_block"), place, F.col("_mix_tokens")), names, strict=True)))

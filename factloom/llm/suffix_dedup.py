@@ -503,7 +503,8 @@ def strip_word_passages(docs: DataFrame, words: int = 51, text_col: str = "text"
     """docs without the runs of so many words and more that occur more than once, whatever the words' lengths."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     marks = word_spans(docs, words, text_col).select(F.col("t1").alias("_strip_t1"), F.col("t2").alias("_strip_t2"), F.col("spans").alias("_strip_spans"))
-    names = [F.col(c) for c in docs.columns]
-    marked = docs.select(*names, F.xxhash64(text).alias("_strip_t1"), F.xxhash64(F.lit("second"), text).alias("_strip_t2")).join(marks, ["_strip_t1", "_strip_t2"], "left")
-    out = marked.select(*names, "_strip_spans").mapInArrow(_word_stripper(docs.columns.index(text_col)), docs.schema)
+    # The row travels whole, so no name of its columns meets one of these.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_strip_row")
+    marked = docs.select(row, F.xxhash64(text).alias("_strip_t1"), F.xxhash64(F.lit("second"), text).alias("_strip_t2")).join(marks, ["_strip_t1", "_strip_t2"], "left")
+    out = marked.select(*(F.col("_strip_row").getField(c).alias(c) for c in docs.columns), "_strip_spans").mapInArrow(_word_stripper(docs.columns.index(text_col)), docs.schema)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out

@@ -1,34 +1,34 @@
 """Toxicity by exact TF-IDF cosine to labelled examples, found through a block-max inverted index.
 
-A text is judged by its most telling passage: the ``PASSAGE`` words in a row
-that hold the most evidence, wherever in the text they stand. So a long text
-with one insult isn't drowned in its other words, and every word of a text is
-looked at. A word's evidence is the chi-square value of its being commoner in
-toxic examples than in the others; it only chooses the passage and no vote.
+A text is one vector of all its words, whole and folded to lower case. A word's
+weight is (1 + log of its count) * idf * relevance. The relevance is 1, and more
+for a word that is surely commoner in toxic examples than in the others: 1 plus
+the lower end of the 95 % interval of the log ratio of its two rates. So no word
+is left out or cut off, and a few telling words outweigh many others. As whole
+texts are compared, one telling word among thousands of others may not.
 
 The examples are a bounded sample of labelled rows (``EXAMPLES`` per class,
-chosen by a hash of the id), each by its own most telling passage. Terms are
-whole words, folded to lower case, and stems, the first 4 and 5 bytes of longer
-words. Only a stem that at least ``FAMILY`` different words of the examples share
-is a term, so a single word lends nothing to the words that begin like it. All
-terms of a passage count in its vector and its norm. Document frequencies are
-counted over all documents; those under the ``RARE``-th part of them count as
-that part, which bounds the table of frequencies by RARE times the terms of an
-average text, however many documents there are.
-
-The examples' weights form an inverted index of postings in blocks: for each
-term its largest weight in each block bounds what any example of the block can
-score. Blocks are opened in the order of their bounds until the k-th best found
-beats the next bound, so the k nearest are exact. Their votes, weighted by
-similarity, are calibrated by a logistic curve fitted to the examples' own
-leave-one-out votes at the classes' true rates.
-
-Defined results: a null, empty or wordless text, or one whose passage shares no
-term with an example, gets the toxic share of the labels; repeated rows get
-equal scores; of equal passages of a text the first counts; ties between
-examples go to the smaller id; labels that contradict one another for an id
-count as the largest; without any labelled row of both classes every score is 0;
-an empty table gives an empty result; other columns are ignored.
+chosen by a hash of the id). Document frequencies are counted over all documents;
+those under the ``RARE``-th part of them count as that part, which bounds the
+table of frequencies by RARE times the words of an average text, however many
+documents there are.
+
+The examples' unit vectors form an inverted index of postings in blocks: for each
+word its largest weight in each block bounds what any example of the block can
+gain. The ``COMMON`` words that most examples hold are kept as dense rows, so what
+they give is known for all examples by one matrix product for many texts. A
+block's bound is the largest such sum in it and what its other words can add.
+Blocks are opened in the order of their bounds until the k-th best found beats
+the next bound, so the k nearest are exact. Their votes, weighted by similarity,
+are calibrated by a logistic curve at the classes' true rates; it is fitted to
+the examples' own votes, each without itself among the neighbours and without
+its label in the relevances.
+
+Defined results: a null, empty or wordless text, or one that shares no word with
+an example, gets the toxic share of the labels; repeated rows get equal scores;
+ties between examples go to the smaller id; labels that contradict one another
+for an id count as the largest; without any labelled row of both classes every
+score is 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,27 +39,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from . import ship_by_value
-from .bytes_np import chunks, mix, prefix_hash, range_hash, text_bytes
+from .bytes_np import chunks, prefix_hash, range_hash, text_bytes
 from .workspace import Workspace, small_batches
 
 ship_by_value(__name__)
 
 EXAMPLES = 3000  # of each class
-PASSAGE = 4
-STEMS = (4, 5)
-FAMILY = 5
-#: Chi-square of a term that is no evidence yet: one of twenty terms without any meaning reaches it.
-CHANCE = 3.84
+SURE = 1.96  # standard errors
 RARE = 8192
 NEAREST = 31
 BLOCK = 64
-FIRST_BLOCKS = 8  # opened before the first bar is known
+COMMON = 512
+FIRST_BLOCKS = 24  # opened before the first bar is known
 CHUNK = 1 << 20
-HELD = 4 << 20  # terms counted at a time
-#: A batch holds fewer texts than this; a text's number takes the low bits of a term when distinct terms are counted.
+HELD = 4 << 20  # words counted at a time
+#: A run holds fewer texts than this; a text's number takes the high bits of a word's number when distinct words are counted.
 NUMBERS = 10
+WORD = np.uint64((1 << 64 - NUMBERS) - 1)
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -67,166 +66,74 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where each text's words begin, an array per word of its hash and its stems' hashes, 0 where it is no longer than the stem)."""
-    if not len(data):
-        return np.zeros(len(offsets), np.int64), np.zeros((0, 1 + len(STEMS)), np.uint64)
-    letter, edge = _LETTER[data], np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    start = letter & (np.concatenate(([True], ~letter[:-1])) | edge[:-1])
-    end = letter & (np.concatenate((~letter[1:], [True])) | edge[1:])
-    start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-    sums = prefix_hash(_FOLD[data])
-    low = np.uint64((1 << 64) - (1 << NUMBERS))
-    hashed = np.zeros((len(start), 1 + len(STEMS)), np.uint64)
-    hashed[:, 0] = range_hash(sums, start, end) & low
-    for k, size in enumerate(STEMS, 1):
-        longer = np.flatnonzero(end - start > size)
-        at = start[longer]
-        hashed[longer, k] = mix(range_hash(sums, at, at + size) + np.uint64(k)) & low
-    return np.searchsorted(start, offsets), hashed
-
-
 class Terms:
-    """A sorted table of terms with a number for each, and a quick test that most other terms fail."""
+    """A sorted table of words with a number for each, and a quick test that most other words fail."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray | None = None):
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], None if values is None else values[order]
+        self.keys, self.values = keys[order], values[order]
         self.flags = np.zeros(1 << 20, bool)
-        self.flags[keys >> np.uint64(44)] = True
-
-    def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of those of terms that are in the table, their places in it)."""
-        some = np.flatnonzero(self.flags[terms >> np.uint64(44)])
-        at = np.minimum(np.searchsorted(self.keys, terms[some]), max(0, len(self.keys) - 1))
-        hit = self.keys[at] == terms[some] if len(self.keys) else np.zeros(len(some), bool)
-        return some[hit], at[hit]
-
-    def among(self, terms: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(terms), bool)
-        out[self.find(terms)[0]] = True
-        return out
+        self.flags[keys >> np.uint64(44 - NUMBERS)] = True
 
     def look_up(self, terms: np.ndarray, other) -> np.ndarray:
         out = np.full(len(terms), other, self.values.dtype)
-        hit, at = self.find(terms)
-        out[hit] = self.values[at]
+        if len(self.keys):
+            some = np.flatnonzero(self.flags[terms >> np.uint64(44 - NUMBERS)])
+            at = np.minimum(np.searchsorted(self.keys, terms[some]), len(self.keys) - 1)
+            hit = self.keys[at] == terms[some]
+            out[some[hit]] = self.values[at[hit]]
         return out
 
 
-def _texts(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last text, words_of) of runs of texts."""
+def words_of(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last text, where each one's words begin, its distinct words, how often each occurs) of runs of texts."""
     data, offsets = text_bytes(column)
     for a, b in chunks(offsets, CHUNK):
         for low in range(a, b, 1 << NUMBERS):
             high = min(b, low + (1 << NUMBERS))
-            yield low, high, *words_of(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-
-
-def _distinct(at: np.ndarray, hashed: np.ndarray, stems: Terms | None) -> np.ndarray:
-    """Each text's distinct terms, all texts' together, with the text's number in the low bits."""
-    own = np.repeat(np.arange(len(at) - 1, dtype=np.uint64), np.diff(at))
-    parts = [hashed[:, 0] | own]
-    for k in range(1, hashed.shape[1]):
-        stem = hashed[:, k]
-        held = np.flatnonzero(stem if stems is None else stems.among(stem))
-        parts.append(stem[held] | own[held])
-    return np.unique(np.concatenate(parts))
-
-
-def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, label) give a row (stem, word) for each word and each of its stems; without a stem, 0."""
+            part, own = _FOLD[data[offsets[low] : offsets[high]]], offsets[low : high + 1] - offsets[low]
+            letter, edge = _LETTER[part], np.zeros(len(part) + 1, bool)
+            edge[own] = True
+            start = np.flatnonzero(letter & (np.concatenate(([True], ~letter[:-1])) | edge[:-1]))
+            end = np.flatnonzero(letter & (np.concatenate((~letter[1:], [True])) | edge[1:])) + 1
+            text = np.repeat(np.arange(high - low, dtype=np.uint64), np.diff(np.searchsorted(start, own)))
+            hashed = range_hash(prefix_hash(part), start, end) >> np.uint64(NUMBERS)
+            found, counts = np.unique((text << np.uint64(64 - NUMBERS)) | hashed, return_counts=True)
+            at = np.searchsorted(found >> np.uint64(64 - NUMBERS), np.arange(high - low + 1, dtype=np.uint64))
+            yield low, high, at, found & WORD, counts
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text) give (term, in how many of them it occurs), a term as often as HELD makes it."""
+
+    def summed(held: list) -> pa.RecordBatch:
+        terms, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+
+    held, size = [], 0
     for batch in batches:
-        for *_, hashed in _texts(batch.column(0)):
-            word = np.tile(hashed[:, 0], hashed.shape[1] - 1)
-            stem = hashed[:, 1:].T.ravel()
-            held = np.flatnonzero(stem)
-            yield pa.RecordBatch.from_arrays([pa.array(stem[held].view(np.int64)), pa.array(word[held].view(np.int64))], ["stem", "word"])
-
-
-def _sample_terms(stems: Terms):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (text, label) give a row (term, label) for each distinct term of each."""
-        for batch in batches:
-            labels = batch.column(1).to_numpy()
-            for a, _, at, hashed in _texts(batch.column(0)):
-                found = _distinct(at, hashed, stems)
-                number = (found & np.uint64((1 << NUMBERS) - 1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((found >> np.uint64(NUMBERS) << np.uint64(NUMBERS)).view(np.int64)), pa.array(labels[a + number])], ["term", "label"])
-
-    return run
-
-
-def _frequencies(stems: Terms):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (text) give (term, in how many of them it occurs), a term as often as HELD makes it."""
-
-        def summed(held: list) -> pa.RecordBatch:
-            terms, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+        for *_, terms, _ in words_of(batch.column(0)):
+            held.append(terms)
+            size += len(terms)
+            if size > HELD:
+                yield summed(held)
+                held, size = [], 0
+    if held:
+        yield summed(held)
+
+
+def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, label, id) give (id, label, terms, counts)."""
+    for batch in batches:
+        for a, b, at, terms, n in words_of(batch.column(0)):
+            lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for x in (terms.view(np.int64), n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([batch.column(2)[a:b], batch.column(1)[a:b], *lists], ["id", "label", "terms", "counts"])
 
-        held, size = [], 0
-        for batch in batches:
-            for _, _, at, hashed in _texts(batch.column(0)):
-                held.append(_distinct(at, hashed, stems) >> np.uint64(NUMBERS) << np.uint64(NUMBERS))
-                size += len(held[-1])
-                if size > HELD:
-                    yield summed(held)
-                    held, size = [], 0
-        if held:
-            yield summed(held)
-
-    return run
-
-
-def passages(at: np.ndarray, hashed: np.ndarray, evidence: Terms) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last word) of each text's passage with the most evidence, the first of equal ones."""
-    weight = evidence.look_up(hashed.ravel(), 0).reshape(hashed.shape).max(axis=1)
-    sums = np.concatenate(([0], np.cumsum(weight)))
-    begin, end = at[:-1], at[1:]
-    last = np.maximum(begin, end - PASSAGE)  # where a passage begins at the latest
-    n = np.where(end > begin, last - begin + 1, 0)
-    start = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    worth = sums[np.minimum(start + PASSAGE, np.repeat(end, n))] - sums[start]
-    full = np.flatnonzero(n)
-    first = begin.copy()
-    if len(full):
-        at_first = (np.cumsum(n) - n)[full]
-        best = np.repeat(np.maximum.reduceat(worth, at_first), n[full])
-        top = np.flatnonzero(worth == best)
-        first[full] = start[top[np.searchsorted(top, at_first)]]
-    return first, np.minimum(first + PASSAGE, end)
-
-
-def _passage_terms(at: np.ndarray, hashed: np.ndarray, evidence: Terms, stems: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(where each text's terms begin and end, distinct terms of its passage, how often each occurs there)."""
-    first, last = passages(at, hashed, evidence)
-    n = last - first
-    word = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    own = np.repeat(np.arange(len(n)), n)
-    parts, owners = [hashed[word, 0]], [own]
-    for k in range(1, hashed.shape[1]):
-        held = np.flatnonzero(stems.among(hashed[word, k]))
-        parts.append(hashed[word[held], k])
-        owners.append(own[held])
-    term, own = np.concatenate(parts), np.concatenate(owners)
-    order = np.lexsort((term, own))
-    term, own = term[order], own[order]
-    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(own)), bool), (own[1:] != own[:-1]) | (term[1:] != term[:-1]))))
-    return np.searchsorted(own[new], np.arange(len(n) + 1)), term[new], np.diff(np.append(new, len(own)))
-
-
-def _example_passages(evidence: Terms, stems: Terms):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (text, label, id) give (id, label, terms, counts)."""
-        for batch in batches:
-            for a, b, at, hashed in _texts(batch.column(0)):
-                ends, terms, n = _passage_terms(at, hashed, evidence, stems)
-                lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in (terms.view(np.int64), n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(2)[a:b], batch.column(1)[a:b], *lists], ["id", "label", "terms", "counts"])
 
-    return run
+def relevance(toxic: np.ndarray, other: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """1 and more for a word that toxic of n1 toxic examples hold and other of n0 others."""
+    ratio = np.log((toxic + 0.5) / (n1 + 1)) - np.log((other + 0.5) / (n0 + 1))
+    return 1 + np.maximum(0, ratio - SURE * np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5)))
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -235,8 +142,17 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
 
 
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the row before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 class Index:
-    """Examples as unit vectors, kept term by term, with each term's largest weight in each block; weights has one for each term."""
+    """Examples as unit vectors, kept word by word, with each word's largest weight in each block; weights has one for each word."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray):
         self.weights, self.blocks = weights, -(-len(ids) // BLOCK)
@@ -245,53 +161,66 @@ class Index:
         value = (1 + np.log(counts)) * weights[term]
         value = value / np.sqrt(np.bincount(row, value**2, minlength=len(ids)))[row]
         best = np.lexsort((term, -value, row))
-        first = best[np.concatenate((np.ones(min(1, len(row)), bool), row[1:] != row[:-1]))]
+        first = best[_firsts(row)]
         lead = np.full(len(ids), -1)
         lead[row[first]] = term[first]
         order = np.lexsort((ids, lead))  # like examples share a block, which keeps the bounds tight
         self.ids, self.labels = ids[order], labels[order]
         rank = np.empty(len(ids), np.int64)
         rank[order] = np.arange(len(ids))
-        # Postings term by term, in blocks of examples; a pair is a term with a block that holds it.
         own = rank[row]
+        # Common words: a dense row for each, whose place in common is its number.
+        often = np.zeros(len(weights), bool)
+        often[np.argsort(-np.bincount(term, minlength=len(weights)), kind="stable")[:COMMON]] = True
+        self.common = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((int(often.sum()), len(ids)))
+        held = often[term]
+        self.dense[self.common[term[held]], own[held]] = value[held]
+        # Postings of the others word by word, in blocks of examples; a pair is a word with a block that holds it.
+        term, own, value = term[~held], own[~held], value[~held]
         order = np.lexsort((own, term))
-        term, own, self.impact = term[order], own[order], value[order]
-        self.example, block = own, own // BLOCK
-        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(term)), bool), (term[1:] != term[:-1]) | (block[1:] != block[:-1]))))
+        term, self.example, self.impact = term[order], own[order], value[order]
+        block = self.example // BLOCK
+        new = _firsts(term, block)
         self.pair_at, self.pair_block = np.append(new, len(term)), block[new]
         self.bounds = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
         self.term_at = np.searchsorted(term[new], np.arange(len(weights) + 1))
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, without: int | None = None, norm: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples of positive cosine; ``without`` is left out, norm counts terms outside the index too."""
-        q = (1 + np.log(counts)) * self.weights[terms]
-        norm = np.linalg.norm(q) if norm is None else norm
-        found, score = np.zeros(0, np.int64), np.zeros(0)
-        if not norm or not len(q):
-            return found, score
-        pairs, n = _ranges(self.term_at[terms], self.term_at[terms + 1])
-        q, block = np.repeat(q / norm, n), self.pair_block[pairs]
-        bound = np.bincount(block, q * self.bounds[pairs], minlength=self.blocks)
+    def dense_part(self, at: np.ndarray, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """What common words give each text with each example; words of the index by number, those of a text from at on, with their weights q."""
+        own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        place = self.common[terms]
+        rows = np.zeros((len(at) - 1, len(self.dense)))
+        rows[own[place >= 0], place[place >= 0]] = q[place >= 0]
+        return rows @ self.dense
+
+    def nearest(self, terms: np.ndarray, q: np.ndarray, base: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k nearest examples of positive cosine; base is dense_part of this text, ``without`` is left out."""
+        held = self.common[terms] < 0
+        pairs, n = _ranges(self.term_at[terms[held]], self.term_at[terms[held] + 1])
+        q, block = np.repeat(q[held], n), self.pair_block[pairs]
+        bound = np.maximum.reduceat(base, np.arange(0, len(base), BLOCK)) + np.bincount(block, q * self.bounds[pairs], minlength=self.blocks)
         todo = np.argsort(-bound, kind="stable")
         bound = bound[todo]
-        at, size, end = 0, FIRST_BLOCKS, int(np.count_nonzero(bound > 0))
-        least = 0.0
+        found, score = np.zeros(0, np.int64), np.zeros(0)
+        at, size, end, least = 0, FIRST_BLOCKS, int(np.count_nonzero(bound > 0)), 0.0
         while at < end and bound[at] >= least - 1e-9:  # else no block that is left can hold one of the k nearest
             stop = min(end, at + size)
             now = np.zeros(self.blocks, bool)
             now[todo[at:stop]] = True
-            held = now[block]
-            posting, n = _ranges(self.pair_at[pairs[held]], self.pair_at[pairs[held] + 1])
-            own = np.bincount(self.example[posting], np.repeat(q[held], n) * self.impact[posting], minlength=1)
-            if without is not None and without < len(own):
+            chosen = now[block]
+            posting, n = _ranges(self.pair_at[pairs[chosen]], self.pair_at[pairs[chosen] + 1])
+            inside = np.repeat(now, BLOCK)[: len(base)]
+            own = np.where(inside, base, 0.0) + np.bincount(self.example[posting], np.repeat(q[chosen], n) * self.impact[posting], minlength=len(base))
+            if without is not None:
                 own[without] = 0
-            more = np.flatnonzero(own > 0)
+            more = np.flatnonzero(own > max(0.0, least - 1e-9))
             found, score = np.concatenate((found, more)), np.concatenate((score, own[more]))
             if len(score) > k:
                 least = np.partition(score, len(score) - k)[len(score) - k]
                 stays = score >= least - 1e-9
                 found, score = found[stays], score[stays]
-            at, size = stop, 2 * size
+            at, size = stop, 4 * size
         order = np.lexsort((self.ids[found], -np.round(score, 12)))[:k]
         return found[order], score[order]
 
@@ -322,16 +251,22 @@ def fit_curve(votes: np.ndarray, labels: np.ndarray, mass: np.ndarray) -> tuple[
 
 
 class Scorer:
-    """What a task needs to score texts: the index, the terms' numbers in it, their weights and the curve."""
-
-    def __init__(self, index: Index, numbers: Terms, weights: Terms, rarest: float, evidence: Terms, stems: Terms, curve: tuple[float, float], share: float):
-        self.index, self.numbers, self.weights, self.rarest = index, numbers, weights, rarest
-        self.evidence, self.stems, self.curve, self.share = evidence, stems, curve, share
-
-    def one(self, number: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
-        norm = float(np.linalg.norm((1 + np.log(counts)) * weight))
+    """What a task needs to score texts: the index, the words' numbers in it, all words' idf and the curve."""
+
+    def __init__(self, index: Index, numbers: Terms, idf: Terms, rarest: float, curve: tuple[float, float], share: float):
+        self.index, self.numbers, self.idf, self.rarest, self.curve, self.share = index, numbers, idf, rarest, curve, share
+
+    def vectors(self, at: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text's words those of the index: (where they begin, their numbers, their parts of the text's unit vector)."""
+        number = self.numbers.look_up(terms, -1)
+        weight = np.where(number >= 0, self.index.weights[number], self.idf.look_up(terms, self.rarest))
+        value = (1 + np.log(counts)) * weight
+        own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        norm = np.sqrt(np.bincount(own, value**2, minlength=len(at) - 1))
         inside = number >= 0
-        found, score = self.index.nearest(number[inside], counts[inside], NEAREST, norm=norm)
+        return np.concatenate(([0], np.cumsum(inside)))[at], number[inside], value[inside] / norm[own[inside]]
+
+    def one(self, found: np.ndarray, score: np.ndarray) -> tuple[float, list]:
         if not len(found):
             return self.share, []
         at = np.clip(odds(*self.index.ballot(found, score)) * self.curve[0] + self.curve[1], -30, 30)
@@ -341,19 +276,13 @@ class Scorer:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (text, ...) give score, evidence and the other columns."""
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
-        known: dict[bytes, tuple] = {}
         for batch in batches:
             rows = []
-            for _, _, at, hashed in _texts(batch.column(0)):
-                ends, terms, counts = _passage_terms(at, hashed, self.evidence, self.stems)
-                number, weight = self.numbers.look_up(terms, -1), self.weights.look_up(terms, self.rarest)
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    key = terms[a:b].tobytes() + counts[a:b].tobytes()
-                    if key not in known:
-                        if len(known) > 20_000:
-                            known.clear()
-                        known[key] = self.one(number[a:b], weight[a:b], counts[a:b])
-                    rows.append(known[key])
+            for *_, at, terms, counts in words_of(batch.column(0)):
+                at, number, q = self.vectors(at, terms, counts)
+                base = self.index.dense_part(at, number, q)
+                for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                    rows.append(self.one(*self.index.nearest(number[a:b], q[a:b], base[k], NEAREST)))
             score, near = zip(*rows, strict=True) if rows else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score, pa.float64()), pa.array(near, kind)], [*batch.schema.names[1:], "score", "evidence"])
 
@@ -373,59 +302,55 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = known.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(EXAMPLES).unionByName(known.where("label = 0").orderBy(F.xxhash64("id"), "id").limit(EXAMPLES))
     # Of rows that share an id the least text is the example.
     found = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
-    sample = space.write(found.select("text", "label", "id").repartition(docs.sparkSession.sparkContext.defaultParallelism, "id"), "sample")
-    sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    if not sizes.get(0) or not sizes.get(1):
-        return None
-
-    def as_terms(df: DataFrame, value: str | None = None) -> Terms:
-        table = df.toArrow()
-        return Terms(table[0].to_numpy().view(np.uint64), None if value is None else table[value].to_numpy())
-
-    families = sample.select("text", "label").mapInArrow(_sample_words, "stem long, word long").distinct().groupBy("stem").count().where(F.col("count") >= FAMILY)
-    stems = as_terms(families.select("stem"))
-    per = sample.select("text", "label").mapInArrow(_sample_terms(stems), "term long, label int").groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    n1, n0 = float(sizes[1]), float(sizes[0])
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi = F.pow(a * (n0 - b) - b * (n1 - a), 2) * (n0 + n1) / ((a + b) * (n0 + n1 - a - b) * n0 * n1)
-    worth = per.where((a / n1 > b / n0) & (a + b < n0 + n1)).select("term", chi.alias("chi")).where(F.col("chi") >= CHANCE)
-    evidence = as_terms(worth.select("term", (F.col("chi") * 16).cast("long").alias("worth")), "worth")
-
-    rows = sample.mapInArrow(_example_passages(evidence, stems), "id long, label int, terms array<long>, counts array<int>").toArrow().combine_chunks().sort_by("id")
+    found = found.select("text", "label", "id").repartition(docs.sparkSession.sparkContext.defaultParallelism, "id")
+    rows = found.mapInArrow(_example_words, "id long, label int, terms array<long>, counts array<int>").toArrow().combine_chunks().sort_by("id")
     names, y = rows["id"].to_numpy(), rows["label"].to_numpy().astype(np.int64)
-    lists = [(t.values.to_numpy().view(np.uint64), c.values.to_numpy()) for t, c in zip(rows["terms"], rows["counts"], strict=True)]
-    words = np.unique(np.concatenate([t for t, _ in lists]))
+    n1, n0 = float(y.sum()), float((1 - y).sum())
+    if not n1 or not n0:
+        return None
+    sizes = [len(t) for t in rows["terms"]]
+    words, flat = np.unique(rows["terms"].combine_chunks().flatten().to_numpy().view(np.uint64), return_inverse=True)
+    counts, label = rows["counts"].combine_chunks().flatten().to_numpy(), np.repeat(y, sizes)
+    toxic, other = (np.bincount(flat[label == k], minlength=len(words)).astype(float) for k in (1, 0))
 
-    counted = space.write(texts.select("text").mapInArrow(_frequencies(stems), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "frequencies")
+    counted = space.write(texts.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "frequencies")
     total = texts.count()
     fewest = max(1.0, total / RARE)
     often = counted.where(F.col("n") >= fewest).toArrow()
     weigh = lambda n: np.log((total + 1) / (np.maximum(n, fewest) + 1)) + 1
-    weights, rarest = Terms(often["term"].to_numpy().view(np.uint64), weigh(often["n"].to_numpy())), float(weigh(0))
+    idf, rarest = Terms(often["term"].to_numpy().view(np.uint64), weigh(often["n"].to_numpy())), float(weigh(0))
 
-    vectors = [(np.searchsorted(words, t), c) for t, c in lists]
-    index = Index(names, y, vectors, weights.look_up(words, rarest))
+    own = idf.look_up(words, rarest)
+    cut = np.cumsum(sizes)[:-1]
+    index = Index(names, y, list(zip(np.split(flat, cut), np.split(counts, cut), strict=True)), own * relevance(toxic, other, n1, n0))
+    # An example's own label takes no part in its vote.
+    without = {1: own * relevance(np.maximum(toxic - 1, 0), other, n1 - 1, n0), 0: own * relevance(toxic, np.maximum(other - 1, 0), n1, n0 - 1)}
     place = {int(i): k for k, i in enumerate(index.ids)}
-    votes = np.array([odds(*index.ballot(*index.nearest(t, c, NEAREST, place[int(i)]))) for i, (t, c) in zip(names, vectors, strict=True)])
-    mass = np.where(y == 1, rates[1] / y.sum(), rates[0] / (1 - y).sum())
-    curve = fit_curve(votes, y.astype(float), mass * len(y) / mass.sum())
-    return Scorer(index, Terms(words, np.arange(len(words))), weights, rarest, evidence, stems, curve, rates[1] / (rates[0] + rates[1]))
+    votes = []
+    for i, label_, t, c in zip(names, y, np.split(flat, cut), np.split(counts, cut), strict=True):
+        q = (1 + np.log(c)) * without[int(label_)][t]
+        q = q / max(float(np.linalg.norm(q)), 1e-300)
+        base = index.dense_part(np.array([0, len(t)]), t, q)[0]
+        votes.append(odds(*index.ballot(*index.nearest(t, q, base, NEAREST, place[int(i)]))))
+    mass = np.where(y == 1, rates[1] / n1, rates[0] / n0)
+    curve = fit_curve(np.array(votes), y.astype(float), mass * len(y) / mass.sum())
+    return Scorer(index, Terms(words, np.arange(len(words))), idf, rarest, curve, rates[1] / (rates[0] + rates[1]))
 
 
 def with_scores(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", names: tuple[str, str] = ("score", "evidence")) -> DataFrame:
-    """docs without the text, with score and evidence (nearest examples) under the given names."""
-    others = [F.col(c) for c in docs.columns if c != text_col]
+    """docs without the text, with score and evidence (nearest examples) under the given names, which docs must not have."""
+    kept = [f for f in docs.schema.fields if f.name != text_col]
+    others = [F.col(f"`{f.name}`") for f in kept]
     if scorer is None:
         return docs.select(*others, F.lit(0.0).alias(names[0]), F.array().cast(EVIDENCE).alias(names[1]))
-    given = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_toxicity_text"), *others)
-    kept = [f for f in docs.schema.fields if f.name != text_col]
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    given = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col), *others)
+    added = [StructField(n, t) for n, t in zip(names, (DoubleType(), DataType.fromDDL(EVIDENCE)), strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in scorer(batches):
             yield pa.RecordBatch.from_arrays(b.columns, [*b.schema.names[:-2], *names])
 
-    return given.mapInArrow(run, f"{shape}, `{names[0]}` double, `{names[1]}` {EVIDENCE}")
+    return given.mapInArrow(run, StructType([*kept, *added]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
