@@ -2,13 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 and read again as the next one's docs; all but the last return the columns of
-documents. Null and empty texts, repeated rows, empty tables and further columns
-behave as the operators define; further columns are passed on.
+documents. Null and empty texts, repeated rows and empty tables behave as the operators
+define. Further columns are passed on unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.minhash import near_duplicates
@@ -23,6 +23,16 @@ from factloom.llm.workspace import Workspace, small_batches
 FEW = 1_000_000
 
 
+def _row(docs: DataFrame, *but: str) -> Column:
+    """A document's columns, but for some, as one: no operator's names meet theirs."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in but)).alias("row")
+
+
+def _unpacked(found: DataFrame, docs: DataFrame, *apart: str) -> DataFrame:
+    """The columns of docs from row, some from columns of their own."""
+    return found.select(*(F.col(c) if c in apart else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs but for those whose doc_id is among ids, a written table."""
     return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_anti")
@@ -33,8 +43,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold != 0)
     small_batches(spark)
-    scored = with_scores(docs.withColumn("_scored_text", F.col("text")), learn(docs, labels), "_scored_text", ("_score", "_evidence"))
-    return scored.where("_score < 0.5").select(docs.columns)
+    scored = with_scores(docs.select(_row(docs), "text"), learn(docs, labels))
+    return _unpacked(scored.where("score < 0.5"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +59,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = _without(docs, dropped)
     if repeated.isEmpty():
         return kept
-    row = F.struct(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("_row"))
-    return _without(kept, repeated).unionByName(once.select("_row.*"))
+    own = kept.join(repeated, "doc_id", "left_semi").select("doc_id", _row(kept), F.coalesce("text", F.lit("")).alias("text"))
+    once = own.groupBy("doc_id").agg(F.min_by("row", "text").alias("row"))
+    return _without(kept, repeated).unionByName(_unpacked(once, kept))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,14 +71,14 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that many documents share is boilerplate in each. A document that had words
     and is left without any goes; one that was empty before stays.
     """
-    stripped = strip_word_passages(docs.withColumn("_had_words", F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))), 51)
-    return stripped.where(~F.col("_had_words") | F.col("text").rlike(r"\S")).select(docs.columns)
+    given = docs.select(_row(docs, "text", "n_chars"), "text", "n_chars", F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)).alias("had_words"))
+    stripped = strip_word_passages(given, 51)
+    return _unpacked(stripped.where(~F.col("had_words") | F.col("text").rlike(r"\S")), docs, "text", "n_chars")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture of their sources takes them."""
-    names = tuple(f"_mix_{n}" for n in ("turns", "part", "place", "size"))
-    return mix_sources(docs, most_repeats=2.0, names=names).select(docs.columns)
+    return _unpacked(mix_sources(docs.select(_row(docs), "doc_id", "text", "source"), most_repeats=2.0), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
