@@ -156,9 +156,9 @@ class Index:
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray):
         self.weights, self.blocks = weights, -(-len(ids) // BLOCK)
-        row = np.repeat(np.arange(len(ids)), [len(t) for t, _ in rows])
-        term, counts = (np.concatenate([np.zeros(0, np.int64), *(r[k] for r in rows)]) for k in (0, 1))
-        value = (1 + np.log(counts)) * weights[term]
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), [len(t) for t, _ in rows])
+        term = np.concatenate([np.zeros(0, np.int32), *(r[0] for r in rows)]).astype(np.int32)
+        value = (1 + np.log(np.concatenate([np.zeros(0, np.int32), *(r[1] for r in rows)]))) * weights[term]
         value = value / np.sqrt(np.bincount(row, value**2, minlength=len(ids)))[row]
         best = np.lexsort((term, -value, row))
         first = best[_firsts(row)]
@@ -166,9 +166,10 @@ class Index:
         lead[row[first]] = term[first]
         order = np.lexsort((ids, lead))  # like examples share a block, which keeps the bounds tight
         self.ids, self.labels = ids[order], labels[order]
-        rank = np.empty(len(ids), np.int64)
+        rank = np.empty(len(ids), np.int32)
         rank[order] = np.arange(len(ids))
         own = rank[row]
+        del row, best, first
         # Common words: a dense row for each, whose place in common is its number.
         often = np.zeros(len(weights), bool)
         often[np.argsort(-np.bincount(term, minlength=len(weights)), kind="stable")[:COMMON]] = True
@@ -182,9 +183,9 @@ class Index:
         term, self.example, self.impact = term[order], own[order], value[order]
         block = self.example // BLOCK
         new = _firsts(term, block)
-        self.pair_at, self.pair_block = np.append(new, len(term)), block[new]
+        self.pair_at, self.pair_block = np.append(new, len(term)).astype(np.int32), block[new].astype(np.int32)
         self.bounds = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
-        self.term_at = np.searchsorted(term[new], np.arange(len(weights) + 1))
+        self.term_at = np.searchsorted(term[new], np.arange(len(weights) + 1, dtype=np.int32)).astype(np.int32)
 
     def dense_part(self, at: np.ndarray, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
         """What common words give each text with each example; words of the index by number, those of a text from at on, with their weights q."""
@@ -310,8 +311,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     sizes = [len(t) for t in rows["terms"]]
     words, flat = np.unique(rows["terms"].combine_chunks().flatten().to_numpy().view(np.uint64), return_inverse=True)
-    counts, label = rows["counts"].combine_chunks().flatten().to_numpy(), np.repeat(y, sizes)
+    flat, counts, label = flat.astype(np.int32), rows["counts"].combine_chunks().flatten().to_numpy(), np.repeat(y, sizes)
     toxic, other = (np.bincount(flat[label == k], minlength=len(words)).astype(float) for k in (1, 0))
+    del rows, label
 
     counted = space.write(texts.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "frequencies")
     total = texts.count()
@@ -334,7 +336,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         votes.append(odds(*index.ballot(*index.nearest(t, q, base, NEAREST, place[int(i)]))))
     mass = np.where(y == 1, rates[1] / n1, rates[0] / n0)
     curve = fit_curve(np.array(votes), y.astype(float), mass * len(y) / mass.sum())
-    return Scorer(index, Terms(words, np.arange(len(words))), idf, rarest, curve, rates[1] / (rates[0] + rates[1]))
+    return Scorer(index, Terms(words, np.arange(len(words), dtype=np.int32)), idf, rarest, curve, rates[1] / (rates[0] + rates[1]))
 
 
 def with_scores(docs: DataFrame, scorer: Scorer | None, text_col: str = "text", names: tuple[str, str] = ("score", "evidence")) -> DataFrame:
