@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators.index import SearchIndex
+from ..rounds import scratch_folder
 from .registry import query
 
 TERMS = ["idiot", "thonin", "stupid", "reer", "and"]
 QUERY = "stupid idiot thonin"
-TOK = r"tok AS (SELECT doc_id AS chunk_id, text, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS tokens FROM documents)"
+TOK = r"tok AS (SELECT doc_id AS chunk_id, text, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS tokens, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS every FROM documents)"
 LEX = f"""df AS (SELECT count(*) AS n, {", ".join(f"count(*) FILTER (WHERE list_contains(tokens, '{w}')) AS d{i}" for i, w in enumerate(TERMS))} FROM tok),
   lex AS (SELECT chunk_id, round({" + ".join(f"CASE WHEN list_contains(tokens, '{w}') THEN ln((greatest(n, 1) + 1) / (d{i} + 0.5)) ELSE 0 END" for i, w in enumerate(TERMS))}, 9) AS score,
-    {" + ".join(f"CAST(list_contains(tokens, '{w}') AS INT)" for w in TERMS)} AS hits FROM tok, df WHERE list_has_any(tokens, [{", ".join(f"'{w}'" for w in TERMS)}]) ORDER BY score DESC, hits DESC, chunk_id LIMIT 40)"""
+    round(0.1 * len(list_filter(every, lambda w: list_contains([{", ".join(f"'{w}'" for w in TERMS)}], w))), 6) AS cover FROM tok, df WHERE list_has_any(tokens, [{", ".join(f"'{w}'" for w in TERMS)}]) ORDER BY score DESC, cover DESC, chunk_id LIMIT 40)"""
 GRAMS = "flatten(list_transform(list_filter(string_split_regex(lower({t}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substring('  ' || w || ' ', i, 3))))"
 #: Every run of a text's trigrams that begins and ends with one of the query's; 100 trigrams are more than a run above the threshold has.
 #: A trigram is new in a run if its occurrence before lies ahead of the run.
@@ -59,11 +61,88 @@ def doc_frequency_one_pass(t):
     return R.frequencies(_chunks(t), TERMS)
 
 
+def _index(t, vectors: bool = False) -> SearchIndex:
+    """A search index over all documents, each a chunk of a version of its own."""
+    index = SearchIndex(t.spark, scratch_folder(t.spark, "search"), "long")
+    index.apply("all", _versions(t.documents, t.embeddings if vectors else None))
+    return index
+
+
+def _versions(documents, embeddings=None):
+    chunks = documents.select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("v"), F.col("doc_id")).alias("version_id"), F.col("text").alias("normalized_text"))
+    if embeddings is None:
+        return chunks
+    return chunks.join(embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding", F.lit("m1").alias("embedding_model")), "chunk_id", "left")
+
+
+def _seen(documents):
+    return documents.select(F.concat(F.lit("v"), F.col("doc_id")).alias("version_id"))
+
+
 @query(f"WITH {TOK}, {LEX} SELECT chunk_id, score FROM lex")
 def lexical_by_postings(t):
-    """The same list from an inverted index."""
-    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
-    return R.lexical_by_postings(R.postings(chunks), chunks.count(), TERMS)
+    """The same list from the search index."""
+    return _index(t).lexical(_seen(t.documents), TERMS)
+
+
+PHRASES = ["of the", "stupid idiot", "moron", "thonin the and"]
+NUMBERED = [p.split() for p in PHRASES]
+ASKED = sorted({w for p in NUMBERED for w in p})
+
+
+@query(f"""WITH t AS (SELECT doc_id AS chunk_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents),
+  o AS (SELECT * FROM (SELECT chunk_id, unnest(w) AS w, unnest(range(len(w))) AS p FROM t) WHERE w IN ({", ".join(f"'{w}'" for w in ASKED)})),
+  n AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY p) AS nth FROM o),
+  ends AS (SELECT chunk_id, p, nth, {", ".join(f"max(CASE WHEN w = '{w}' THEN nth END) OVER (PARTITION BY chunk_id ORDER BY p) AS l{i}" for i, w in enumerate(ASKED))}, w FROM n),
+  shortest AS (SELECT chunk_id, p AS q, nth AS b, greatest({", ".join(f"CASE WHEN w IN ({', '.join(repr(w) for w in p)}) THEN {' + 0 * '.join([f'least({chr(44).join(f"l{ASKED.index(w)}" for w in p)})' if len(p) > 1 else f'l{ASKED.index(p[0])}', *(f'l{ASKED.index(w)}' for w in p)])} END" for p in NUMBERED)}) AS a FROM ends),
+  covers AS (SELECT * FROM (SELECT *, max(a) OVER (PARTITION BY chunk_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM shortest WHERE a IS NOT NULL) WHERE before IS NULL OR a > before)
+  SELECT c.chunk_id, round(sum(0.1 / (1 + (q - n.p) - (b - a))), 6) AS cover FROM covers c JOIN n ON n.chunk_id = c.chunk_id AND n.nth = c.a GROUP BY c.chunk_id""")
+def lexical_cover(t):
+    """Cover density of every text for any of four terms, three of them of several words."""
+    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), R.occurrences_of(F.col("text"), ASKED).alias("seen"))
+    rank = R.cover_rank(F.col("seen"), [[ASKED.index(w) for w in p] for p in NUMBERED], len(ASKED))
+    return chunks.select("chunk_id", rank.alias("cover")).where("cover > 0")
+
+
+@query(r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN replace(text, 'the', 'thus') || ' changed once more' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 2),
+  w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS term FROM d)
+  SELECT term, count(DISTINCT doc_id) AS chunks, count(*) AS occurrences FROM w GROUP BY term""")
+def search_index_after_changes(t):
+    """Every word of an index in which some versions were replaced and others withdrawn."""
+    index, docs = _index(t), t.documents
+    changed = docs.where("doc_id % 4 = 0").withColumn("text", F.concat(F.replace("text", F.lit("the"), F.lit("thus")), F.lit(" changed once more")))
+    index.apply("changed", _versions(changed))
+    index.apply("withdrawn", _versions(docs.where("false")), gone=_seen(docs.where("doc_id % 5 = 2")))
+    index.apply("changed", _versions(docs.where("doc_id % 4 = 0")))  # a batch that comes again changes nothing
+    return index.store.read("terms").groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("positions")).alias("occurrences"))
+
+
+@query("""WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score
+    FROM embeddings q JOIN embeddings e ON q.vec_id % 100 = 0 AND e.vec_id % 7 = 3)
+  SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 40""")
+def vector_index_in_scope(t):
+    """Lists are looked into until nothing nearer can be left, among a seventh of the versions."""
+    index, every = _vector_index(t)
+    queries = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return index.nearest(queries, every.where("chunk_id % 7 = 3"), 40, exact=True)
+
+
+@query("SELECT count(*) AS queries, count(*) * least(40, (SELECT count(*) FROM embeddings)) AS wanted, true AS recalled FROM embeddings WHERE vec_id % 20 = 0")
+def vector_index_recall(t):
+    """Whether lists that are looked into by nearness alone give nine tenths of the true 40 nearest."""
+    index, every = _vector_index(t)
+    queries = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = index.nearest(queries, every, 40).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    true = index.nearest(queries, every, 40, exact=True).select("query_id", "chunk_id")
+    per = true.join(found, ["query_id", "chunk_id"], "left").agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("hits"))
+    return per.select("queries", "wanted", (F.col("hits") >= 0.9 * F.col("wanted")).alias("recalled"))
+
+
+def _vector_index(t):
+    index = SearchIndex(t.spark, scratch_folder(t.spark, "vectors"), "long")
+    every = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("v"), F.col("vec_id")).alias("version_id"), F.lit("").alias("normalized_text"), "embedding", F.lit("").alias("embedding_model"))
+    index.apply("all", every)
+    return index, every
 
 
 @query(f"WITH {TOK}, {TRI} SELECT chunk_id, score FROM tri")
@@ -140,3 +219,22 @@ def hybrid_search(t):
 def word_similarity(t):
     """The extent form of trigram similarity."""
     return t.benchmark.select("item_id", F.round(R.word_similarity(QUERY)(F.col("text")), 6).alias("similarity"))
+
+
+@query(f"WITH {TOK}, {LEX}, {TRI}, {OWN}, {FUSED} SELECT chunk_id, score, lexical_support, place FROM best WHERE place <= 8")
+def hybrid_search_by_index(t):
+    """The whole search from the index: no text is read but of what trigrams lead to."""
+    index, visible, vector = _index(t, True), _seen(t.documents), _vector(t)
+    one = t.spark.createDataFrame([(0, vector)], "query_id int, vector array<double>")
+    semantic = index.nearest(one, visible, R.CANDIDATES, "m1", exact=True).select("chunk_id", "score")
+    fused = R.fuse({"lexical": index.lexical(visible, TERMS), "trigram": index.trigram(visible, QUERY), "semantic": semantic})
+    return fused.select("chunk_id", "score", "lexical_support", F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH c AS (SELECT doc_id AS chunk_id, replace(text, 'th', 'TH') AS normalized, replace(text, 'th', 'xx') AS shown FROM documents),
+  """ + EXTENTS.format(q=GRAMS.format(t="'thonin thereal'"), g=GRAMS.format(t="text"), t="(SELECT chunk_id AS id, normalized AS text FROM c)", least=0.35) + """
+  SELECT id AS chunk_id, round(s, 9) AS score FROM word_sim WHERE round(s, 9) > 0.35 ORDER BY score DESC, chunk_id LIMIT 40""")
+def trigram_of_normalized_text(t):
+    """What is shown differs from what is searched."""
+    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), F.replace("text", F.lit("th"), F.lit("xx")).alias("text"), F.replace("text", F.lit("th"), F.lit("TH")).alias("normalized_text"))
+    return R.trigram(chunks.withColumn("padded", R.padded(F.col("normalized_text"))), "thonin thereal")

@@ -37,9 +37,13 @@ def holds(needles: list[str]) -> Column:
     return let(F.col("padded"), lambda p: F.array(*(F.contains(p, F.lit(x)) for x in needles)))
 
 
+def words_of_term(term: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", term.lower()) if w]
+
+
 def needle(term: str) -> str:
     """A term's words as they stand in a padded text; a blank line, which none holds, for a term without words."""
-    own = [w for w in re.split(r"[\W_]+", term.lower()) if w]
+    own = words_of_term(term)
     return " " + "  ".join(own) + " " if own else "\n"
 
 
@@ -49,17 +53,74 @@ def frequencies(chunks: DataFrame, terms: list[str]) -> DataFrame:
     return marked.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("has")[i]).alias(f"d{i}") for i in range(len(terms))))
 
 
+#: Weight of an unlabelled word in the cover density.
+COVER_WEIGHT = 0.1
+
+
+def cover_rank(seen: Column, terms: list[list[int]], words: int) -> Column:
+    """Cover density of a text for any of some terms: a sum over minimal covers, each less the more other words it holds.
+
+    seen has the asked words' occurrences in order, as structs of a position and
+    a word's number; a term is a list of numbers. A cover is a stretch that holds
+    all words of a term and no smaller such stretch. Its gain is COVER_WEIGHT over
+    one more than the words inside it that aren't asked for.
+    """
+    single = {t[0] for t in terms if len(set(t)) == 1}
+    if len(single) == words:
+        return F.round(F.size(seen) * COVER_WEIGHT, 6)
+    none = F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("nth"))
+    start = F.struct(F.array_repeat(none, words).alias("last"), F.lit(-1).alias("top"), F.lit(0.0).alias("sum"), F.lit(0).alias("nth"))
+
+    def step(a, x):
+        here = F.struct(x["at"].alias("at"), a["nth"].alias("nth"))
+        last = F.transform(a["last"], lambda y, i: F.when(i == x["word"], here).otherwise(y))
+
+        def added(last):
+            # Of the stretches that end here the shortest one.
+            begins = [F.when(x["word"].isin(*sorted(single)), here)] if single else []
+            begins += [F.when(x["word"].isin(*sorted(set(t))), F.array_min(F.array(*(last[i] for i in sorted(set(t)))))) for t in terms if len(set(t)) > 1]
+            best = F.array_max(F.array(*begins))
+            gain = COVER_WEIGHT / (1 + (x["at"] - best["at"]) - (a["nth"] - best["nth"]))
+            new = F.coalesce(best["nth"] > a["top"], F.lit(False))
+            return F.struct(last.alias("last"), F.when(new, best["nth"]).otherwise(a["top"]).alias("top"), (a["sum"] + F.when(new, gain).otherwise(0.0)).alias("sum"), (a["nth"] + 1).alias("nth"))
+
+        return let(last, added)
+
+    return F.round(F.aggregate(seen, start, step)["sum"], 6)
+
+
+def occurrences_of(text: Column, asked: list[str]) -> Column:
+    """Where a text's words are among the asked ones, as cover_rank takes them."""
+    known = F.array(*(F.lit(w) for w in asked))
+    each = F.transform(words(text), lambda w, i: F.struct(i.alias("at"), (F.array_position(known, w) - 1).cast("int").alias("word")))
+    return F.filter(each, lambda x: x["word"] >= 0)
+
+
+def best_by_cover(found: DataFrame, terms: list[str], most: int) -> DataFrame:
+    """(chunk_id, score) of the best rows (chunk_id, score, text); covers are looked for in texts that may be among them."""
+    asked = sorted({w for t in terms for w in words_of_term(t)})
+    least = found.select("score").orderBy(F.desc("score")).limit(most).agg(F.min("score")).first()[0]
+    numbered = [[asked.index(w) for w in words_of_term(t)] for t in terms if words_of_term(t)]
+    ranked = found.where(F.col("score") >= F.lit(least)).select("chunk_id", "score", cover_rank(occurrences_of(F.col("text"), asked), numbered, len(asked)).alias("cover"))
+    return ranked.orderBy(F.desc("score"), F.desc("cover"), "chunk_id").limit(most).select("chunk_id", "score")
+
+
+def search_text(chunks: DataFrame) -> Column:
+    """What is searched: the normalized text, where chunks have one."""
+    return F.col("normalized_text" if "normalized_text" in chunks.columns else "text")
+
+
 def lexical(chunks: DataFrame, terms: list[str], most: int = CANDIDATES) -> DataFrame:
-    """(chunk_id, score): chunks with any term, by the summed inverse frequencies of their terms; ties by distinct terms, then id."""
-    if not terms:
+    """(chunk_id, score): chunks with any term, by the summed inverse frequencies of their terms; ties by cover density, then id."""
+    if not any(words_of_term(t) for t in terms):
         return chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
     seen = frequencies(chunks, terms).first()
     n = max(seen["n"], 1)
     weights = F.array(*(F.lit(math.log((n + 1) / (seen[f"d{i}"] + 0.5))) for i in range(len(terms))))
     gained = F.zip_with(holds([needle(t) for t in terms]), weights, lambda h, w: F.when(h, w))
-    marked = chunks.select("chunk_id", F.array_compact(gained).alias("gained")).where(F.size("gained") > 0)
+    marked = chunks.select("chunk_id", search_text(chunks).alias("text"), F.array_compact(gained).alias("gained")).where(F.size("gained") > 0)
     score = F.round(F.aggregate("gained", F.lit(0.0), lambda a, x: a + x), 9)
-    return marked.select("chunk_id", score.alias("score"), F.size("gained").alias("hits")).orderBy(F.desc("score"), F.desc("hits"), "chunk_id").limit(most).select("chunk_id", "score")
+    return best_by_cover(marked.select("chunk_id", "text", score.alias("score")), terms, most)
 
 
 def grams_of(text: str) -> list[str]:
@@ -120,8 +181,13 @@ def trigram(chunks: DataFrame, query: str, most: int = CANDIDATES, least: float
     if not asked:
         return chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
     share = F.size(F.filter(holds(asked), lambda h: h)) / len(asked)
-    # Survivors may sit in few partitions of the input, so they are dealt out before the costly step.
-    near = chunks.where(share > least).select("chunk_id", "text").repartition(chunks.sparkSession.sparkContext.defaultParallelism)
+    return similar_texts(chunks.where(share > least).select("chunk_id", search_text(chunks).alias("text")), query, most, least)
+
+
+def similar_texts(near: DataFrame, query: str, most: int, least: float) -> DataFrame:
+    """(chunk_id, score) of those of near (chunk_id, text) whose word similarity passes the threshold, the best ones."""
+    # They may sit in few partitions of the input, so they are dealt out before the costly step.
+    near = near.repartition(near.sparkSession.sparkContext.defaultParallelism)
     similar = word_similarity(query, least).asNondeterministic()  # keeps the filter on it behind the deal
     near = near.select("chunk_id", F.round(similar(F.col("text")), 9).alias("score"))
     return near.where(F.col("score") > least).orderBy(F.desc("score"), "chunk_id").limit(most)
@@ -136,19 +202,6 @@ def semantic(chunks: DataFrame, vector: list[float], model: str | None = None, m
     return rows.select("chunk_id", F.round(cosine(F.col("embedding"), asked), 9).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(most)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, n): an inverted index to be written by term, for corpora too large to scan for each question."""
-    return chunks.select("chunk_id", F.explode(words(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-def lexical_by_postings(index: DataFrame, total: int, terms: list[str], most: int = CANDIDATES) -> DataFrame:
-    """The lexical list from the index: only the asked terms' postings are read."""
-    own = index.where(F.col("term").isin(*terms)).select("term", "chunk_id")
-    weights = own.groupBy("term").agg(F.count(F.lit(1)).alias("d")).select("term", F.log((F.lit(max(total, 1)) + 1) / (F.col("d") + 0.5)).alias("w"))
-    found = own.join(F.broadcast(weights), "term").groupBy("chunk_id").agg(F.round(F.sum("w"), 9).alias("score"), F.count(F.lit(1)).alias("hits"))
-    return found.orderBy(F.desc("score"), F.desc("hits"), "chunk_id").limit(most).select("chunk_id", "score")
-
-
 def ranked(found: DataFrame, name: str) -> DataFrame:
     """Ranks from 1 of a list that is already cut to its candidates, so one task holds at most that many rows."""
     order = Window.orderBy(F.desc("score"), "chunk_id")

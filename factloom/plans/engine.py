@@ -21,10 +21,12 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..context import TenantContext, secure, secure_content, secure_documents
+from ..context import TenantContext, secure, secure_content, secure_documents, still_authorized
 from ..functions.numbers import price_conflict, price_per_area
 from ..functions.text import normalize_for_search, numbers_in, substring_filter
 from ..operators import identity, retrieval, stats
+from ..operators.index import SearchIndex
+from ..rounds import checkpointed, scratch_folder
 from .conditions import AWAITING, VERIFIED, Conditions, predicate
 from .question import Reading, read_questions, reading_of
 
@@ -52,7 +54,7 @@ class Answer:
     limitations: list = field(default_factory=list)
     cacheable: bool = True
     provider: str = "extractive"
-    cited: frozenset = frozenset()  # versions that the answer rests on, as far as it lists them
+    cited: DataFrame | None = None  # (version_id) every version that the answer rests on, listed or not
     source_table: DataFrame | None = None  # every source of a numeric answer
 
 
@@ -110,9 +112,14 @@ class Engine:
         embed: Callable[[str], list[float]] | None = None,
         model: str | None = None,
         writer: Callable[[str, list[dict]], tuple[str, list[str]]] | None = None,
+        index: SearchIndex | None = None,
     ):
-        """embed makes a question's vector under model; writer makes a text and the evidence ids it used from a question and its evidence."""
+        """embed makes a question's vector under model; writer makes a text and the evidence ids it used from a question and its evidence.
+
+        index is what searches read; without one it is built from the chunks when first asked for.
+        """
         self.relations, self.data_version, self.embed, self.model, self.writer = relations, data_version, embed, model, writer
+        self.index = index
         self.cache: OrderedDict[str, Answer] = OrderedDict()
 
     # scoped relations
@@ -165,7 +172,7 @@ class Engine:
             out = self.numeric(ctx, c)
             if c.intent == "combined" and out.outcome == "numeric":
                 text = self.content(ctx, " ".join(x for x in (question, c.city, c.neighborhood) if x), c)
-                out = Answer("combined", f"{out.text}\n{text.text}", c, out.numbers, sources=out.sources + text.sources, limitations=out.limitations + text.limitations, cacheable=text.cacheable, provider=text.provider, cited=out.cited | text.cited, source_table=out.source_table)
+                out = Answer("combined", f"{out.text}\n{text.text}", c, out.numbers, sources=out.sources + text.sources, limitations=out.limitations + text.limitations, cacheable=text.cacheable, provider=text.provider, cited=out.cited if text.cited is None else checkpointed(out.cited.unionByName(text.cited).distinct()), source_table=out.source_table)
             if not out.cacheable:
                 self.cache.pop(key, None)
                 return out
@@ -177,11 +184,12 @@ class Engine:
 
     def authorized(self, ctx: TenantContext, answer: Answer) -> bool:
         """Whether every version that a kept answer cites is still visible, current and not deleted."""
-        if not answer.cited:
+        if answer.cited is None:
             return True
-        live = self.visible_documents(ctx).where("deleted_at IS NULL").select("document_id")
-        seen = self.relations["document_versions"].where("is_current").where(F.col("version_id").isin(*answer.cited)).join(live, "document_id", "left_semi")
-        return seen.select("version_id").distinct().count() == len(answer.cited)
+        seen = self.visible_versions(ctx).withColumn("version_id", F.col("version_id").cast("string"))
+        cited = answer.cited.select(F.lit(0).alias("answer_id"), F.col("version_id").cast("string").alias("version_id"))
+        found = still_authorized(cited, seen).first()
+        return found is None or found["authorized"]
 
     def numeric(self, ctx: TenantContext, c: Conditions) -> Answer:
         rows = self.records(ctx)
@@ -210,7 +218,8 @@ class Engine:
         if total > LISTED:
             limits.append(f"{LISTED} of {total} sources are listed")
         listed = [{"source_id": f"S{i + 1}", **r.asDict()} for i, r in enumerate(sources)]
-        return Answer("numeric", text, c, {**numbers, "awaiting": waiting}, sources=listed, limitations=limits, cited=frozenset(r["version_id"] for r in sources), source_table=every)
+        cited = checkpointed(every.select("version_id").distinct())
+        return Answer("numeric", text, c, {**numbers, "awaiting": waiting}, sources=listed, limitations=limits, cited=cited, source_table=every)
 
     def content(self, ctx: TenantContext, question: str, c: Conditions | None = None) -> Answer:
         """The writer's answer if it stands up to its evidence, else the best supported sentences, each with its citation."""
@@ -219,7 +228,7 @@ class Engine:
         evidence = found.select("evidence_id", "document_id", "version_id", "chunk_id", "text").collect()
         if not evidence:
             return Answer("abstain", "אין בסיס מספיק במסמכים", c)
-        sources, cited = [r.asDict() for r in evidence], frozenset(r.version_id for r in evidence)
+        sources, cited = [r.asDict() for r in evidence], found.select("version_id").sparkSession.createDataFrame(sorted({(r.version_id,) for r in evidence}), found.select("version_id").schema)
         limits, cacheable = [], True
         if self.writer is not None:
             try:
@@ -247,18 +256,37 @@ class Engine:
         any_relation = self.relations["documents"]
         return any_relation.sparkSession.range(1).select(query_tokens(F.lit(question)).alias("t")).first()["t"]
 
-    def search(self, ctx: TenantContext, question: str, most: int = 8) -> DataFrame:
-        """Hybrid search over the chunks of current versions of visible documents."""
-        current = self.relations["document_versions"].where("is_current").select("version_id")
+    def visible_versions(self, ctx: TenantContext) -> DataFrame:
+        """(version_id) of current versions of documents that the caller sees and that aren't deleted."""
         live = self.visible_documents(ctx).where("deleted_at IS NULL").select("document_id")
-        chunks = secure(self.relations["chunks"], ctx).join(current, "version_id", "left_semi").join(live, "document_id", "left_semi")
-        chunks = chunks.withColumn("padded", retrieval.padded(F.col("normalized_text")))
+        return secure(self.relations["document_versions"], ctx).where("is_current").join(live, "document_id", "left_semi").select("version_id")
+
+    def search_index(self) -> SearchIndex:
+        if self.index is None:
+            chunks = self.relations["chunks"]
+            self.index = SearchIndex(chunks.sparkSession, scratch_folder(chunks.sparkSession, "search"), chunks.schema["chunk_id"].dataType.simpleString())
+            self.index.apply(f"built-{self.data_version}", chunks)
+        return self.index
+
+    def search(self, ctx: TenantContext, question: str, most: int = 8) -> DataFrame:
+        """Hybrid search over the chunks of current versions of visible documents; texts are read only of what is found."""
+        index, visible = self.search_index(), checkpointed(self.visible_versions(ctx))
         terms = self._terms(question)
-        lists = {"lexical": retrieval.lexical(chunks, terms), "trigram": retrieval.trigram(chunks, " ".join(t for t in terms if any(x.isalpha() for x in t)) or question)}
+        # Numbers are looked for exactly only; without other terms there is nothing to look for by likeness.
+        lists = {"lexical": index.lexical(visible, terms), "trigram": index.trigram(visible, " ".join(t for t in terms if any(x.isalpha() for x in t)))}
         if self.embed is not None:
-            lists["semantic"] = retrieval.semantic(chunks, self.embed(question), self.model)
+            lists["semantic"] = index.semantic(visible, self.embed(question), self.model)
+        chunks = secure(self.relations["chunks"], ctx).join(visible, "version_id", "left_semi")
         return chunks.join(F.broadcast(retrieval.fuse(lists, most)), "chunk_id").orderBy("place")
 
+    def publish_chunks(self, batch: str, chunks: DataFrame, gone: DataFrame | None = None) -> Engine:
+        """The engine after some versions' chunks are replaced and those of versions in gone (version_id) withdrawn; the index takes in only these."""
+        index, own = self.search_index(), chunks.select("version_id")
+        index.apply(batch, chunks, gone=gone)
+        kept = self.relations["chunks"].join((own if gone is None else own.unionByName(gone.select("version_id"))).distinct(), "version_id", "left_anti")
+        new = kept.unionByName(chunks.select(kept.columns))
+        return Engine({**self.relations, "chunks": new}, self.data_version + 1, self.embed, self.model, self.writer, index)
+
     # lists and details
 
     def list_documents(self, ctx: TenantContext, wanted: str | None = None, status: str | None = None) -> DataFrame:
@@ -300,7 +328,8 @@ class Engine:
 
     def changed(self, **relations: DataFrame) -> Engine:
         """The engine after a mutation: replaced relations and the next data version, so no kept answer matches."""
-        return Engine({**self.relations, **relations}, self.data_version + 1, self.embed, self.model, self.writer)
+        index = None if "chunks" in relations else self.index
+        return Engine({**self.relations, **relations}, self.data_version + 1, self.embed, self.model, self.writer, index)
 
     # a reviewer's decisions
 

@@ -91,3 +91,20 @@ def publish_batch(path: str):
     from ..sources.files import write_version
 
     return lambda batch, _: write_version(batch, path)
+
+
+def publish_stages(store, stages, name: str):
+    """A foreachBatch sink that publishes a batch's versions (version_id) in all tables of a VersionStore at once.
+
+    stages makes each table's rows from the batch. A batch that failed between its
+    stages is unseen; the stream's next start runs it again under the same name.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            store.commit(f"{name}-{number:012d}", stages(batch), batch.select("version_id"))
+        finally:
+            batch.unpersist()
+
+    return sink
