@@ -47,7 +47,7 @@ from .workspace import Workspace, small_batches
 
 ship_by_value(__name__)
 
-EXAMPLES = 3000  # of each class
+EXAMPLES = 3000  # of each class; an index numbers them in 16 bits
 SURE = 1.96  # standard errors
 RARE = 8192
 NEAREST = 31
@@ -173,19 +173,32 @@ class Index:
         # Common words: a dense row for each, whose place in common is its number.
         often = np.zeros(len(weights), bool)
         often[np.argsort(-np.bincount(term, minlength=len(weights)), kind="stable")[:COMMON]] = True
-        self.common = np.where(often, np.cumsum(often) - 1, -1)
-        self.dense = np.zeros((int(often.sum()), len(ids)))
+        self.common = np.where(often, np.cumsum(often) - 1, -1).astype(np.int16)
         held = often[term]
-        self.dense[self.common[term[held]], own[held]] = value[held]
+        self._common = self.common[term[held]].astype(np.int16), own[held].astype(np.int16), value[held]
         # Postings of the others word by word, in blocks of examples; a pair is a word with a block that holds it.
         term, own, value = term[~held], own[~held], value[~held]
         order = np.lexsort((own, term))
-        term, self.example, self.impact = term[order], own[order], value[order]
+        term, self.example, self.impact = term[order], own[order].astype(np.int16), value[order]
         block = self.example // BLOCK
         new = _firsts(term, block)
-        self.pair_at, self.pair_block = np.append(new, len(term)).astype(np.int32), block[new].astype(np.int32)
-        self.bounds = np.maximum.reduceat(self.impact, new) if len(new) else np.zeros(0)
+        self.pair_at, self.pair_block = np.append(new, len(term)).astype(np.int32), block[new]
         self.term_at = np.searchsorted(term[new], np.arange(len(weights) + 1, dtype=np.int32)).astype(np.int32)
+        self._derive()
+
+    def _derive(self) -> None:
+        """What follows from the postings."""
+        term, own, value = self._common
+        self.dense = np.zeros((int(self.common.max(initial=-1)) + 1, len(self.ids)))
+        self.dense[term, own] = value
+        self.bounds = np.maximum.reduceat(self.impact, self.pair_at[:-1]) if len(self.impact) else np.zeros(0)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "bounds")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._derive()
 
     def dense_part(self, at: np.ndarray, terms: np.ndarray, q: np.ndarray) -> np.ndarray:
         """What common words give each text with each example; words of the index by number, those of a text from at on, with their weights q."""
@@ -313,7 +326,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     words, flat = np.unique(rows["terms"].combine_chunks().flatten().to_numpy().view(np.uint64), return_inverse=True)
     flat, counts, label = flat.astype(np.int32), rows["counts"].combine_chunks().flatten().to_numpy(), np.repeat(y, sizes)
     toxic, other = (np.bincount(flat[label == k], minlength=len(words)).astype(float) for k in (1, 0))
-    del rows, label
+    del rows, label, found
 
     counted = space.write(texts.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")), "frequencies")
     total = texts.count()
