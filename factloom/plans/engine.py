@@ -13,6 +13,7 @@ embedding_model), dedup_candidates (a, b, status, reason, office_id), user_group
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -27,6 +28,7 @@ from ..functions.text import normalize_for_search, numbers_in, substring_filter
 from ..operators import identity, retrieval, stats
 from ..operators.index import SearchIndex
 from ..rounds import checkpointed, scratch_folder
+from .batch import CONDITIONS, KeptAnswers, answer_questions
 from .conditions import AWAITING, VERIFIED, Conditions, predicate
 from .question import Reading, read_questions, reading_of
 
@@ -221,6 +223,26 @@ class Engine:
         cited = checkpointed(every.select("version_id").distinct())
         return Answer("numeric", text, c, {**numbers, "awaiting": waiting}, sources=listed, limitations=limits, cited=cited, source_table=every)
 
+    def answer_table(self, ctx: TenantContext, questions: DataFrame, kept: KeptAnswers | None = None, batch: str | None = None) -> DataFrame:
+        """The numeric answers of many questions (question_id and the columns of Conditions), computed together.
+
+        With kept, answers that still hold for this caller are taken from there and the others are put there under the batch's name.
+        """
+        pairs = secure(self.relations["dedup_candidates"].where("status = 'open'"), ctx).select("a", "b")
+        if kept is None:
+            return answer_questions(questions, self.records(ctx), pairs)[0]
+        who = F.lit("|".join([str(ctx.office_id), str(ctx.user_id), ctx.role, *sorted(ctx.groups)]))
+        stated = F.to_json(F.struct(*(F.coalesce(F.col(n).cast("string"), F.lit("\0")).alias(n) for n in CONDITIONS)))
+        keyed = checkpointed(questions.withColumn("key", F.sha2(F.concat_ws("\n", who, F.lit(str(self.data_version)), stated), 256)))
+        held = checkpointed(kept.serve(keyed, self.visible_versions(ctx), self.data_version))
+        new = keyed.join(held, "key", "left_anti")
+        answers, cited = answer_questions(new.select(F.col("key").alias("question_id"), *CONDITIONS).distinct(), self.records(ctx), pairs)
+        shape = answers.drop("question_id").schema
+        rows = checkpointed(answers.select(F.col("question_id").alias("key"), F.lit(self.data_version).cast("long").alias("data_version"), F.to_json(F.struct(*shape.names), {"ignoreNullFields": "false"}).alias("answer")))
+        kept.put(batch or f"answers-{uuid.uuid4().hex}", rows, cited.withColumnRenamed("question_id", "key"))
+        every = held.unionByName(rows.select("key", "answer"))
+        return keyed.select("question_id", "key").join(every, "key").select("question_id", F.from_json("answer", shape).alias("a")).select("question_id", "a.*")
+
     def content(self, ctx: TenantContext, question: str, c: Conditions | None = None) -> Answer:
         """The writer's answer if it stands up to its evidence, else the best supported sentences, each with its citation."""
         hits = self.search(ctx, question, 12)
