@@ -165,6 +165,17 @@ def label_metrics(t):
     return joined.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("toxic") == 0).cast("double")), 6).alias("clean_rate"), F.round(F.avg(F.col("quality").cast("double")), 6).alias("quality_rate"))
 
 
+@query("""WITH r AS (SELECT lang, source, n_chars, toxic = 0 AS clean, CASE WHEN toxic = 0 THEN quality = 1 END AS good FROM documents JOIN labels USING (doc_id))
+  SELECT CAST(grouping(lang) * 2 + grouping(source) AS BIGINT) AS level, lang, source, count(*) AS results, round(count(*) FILTER (WHERE clean) / CAST(nullif(count(clean), 0) AS DOUBLE), 6) AS clean_rate, count(clean) AS clean_of,
+    round(count(*) FILTER (WHERE good) / CAST(nullif(count(good), 0) AS DOUBLE), 6) AS good_rate, count(good) AS good_of, round(quantile_cont(CAST(n_chars AS DOUBLE), 0.5), 6) AS p50, round(quantile_cont(CAST(n_chars AS DOUBLE), 0.95), 6) AS p95
+  FROM r GROUP BY GROUPING SETS ((lang, source), (lang), (source), ())""")
+def evaluation_summary(t):
+    """Rates and percentiles by category and kind, by either and overall."""
+    joined = t.documents.select("doc_id", "lang", "source", "n_chars").join(t.labels, "doc_id")
+    clean = F.col("toxic") == 0
+    return stats.evaluation_summary(joined, [["lang", "source"], ["lang"], ["source"], []], {"clean": clean, "good": F.when(clean, F.col("quality") == 1)}, "n_chars")
+
+
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM events GROUP BY event_type")
 def latency_percentiles(t):
     p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))

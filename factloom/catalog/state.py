@@ -9,6 +9,7 @@ from .. import context
 from ..operators import versions as v
 from ..operators.adapters import versions
 from ..streaming import jobs
+from ..streaming.uploads import judge_uploads
 from .registry import query
 
 VERSIONS = """ver AS (SELECT o_custkey AS document_id, o_orderkey AS version_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version_no,
@@ -186,3 +187,21 @@ def borderless_columns(t):
     c = F.col
     words = t.documents.select((c("doc_id") % 50).alias("page_id"), c("doc_id").alias("word"), ((c("doc_id") * 7919) % 100003 % 3000).alias("left"), F.lit(10).alias("width"), F.lit(1).alias("line_no"))
     return columns(words, 40).select("page_id", "word", c("col_no").cast("decimal(38,0)").alias("col_no"))
+
+
+@query("""WITH u AS (SELECT doc_id AS upload_id, coalesce(lang, 'und') AS office_id, sha256(coalesce(text, '')) AS sha256, length(coalesce(text, '')) AS length FROM documents WHERE doc_id % 3 <> 0),
+  held AS (SELECT coalesce(lang, 'und') AS office_id, sha256(coalesce(text, '')) AS sha256, min(doc_id) AS v FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 > 1 AND doc_id % 7 <> 2 GROUP BY ALL),
+  f AS (SELECT office_id, sha256, min(upload_id) AS first FROM u WHERE length > 0 GROUP BY ALL)
+  SELECT u.upload_id, CASE WHEN length = 0 THEN 'rejected' WHEN v IS NULL AND upload_id = first THEN 'accepted' ELSE 'duplicate' END AS outcome, CASE WHEN length = 0 THEN 'empty' END AS reason, CASE WHEN length > 0 THEN coalesce('v' || v, 'v-' || first) END AS version_id
+  FROM u LEFT JOIN f USING (office_id, sha256) LEFT JOIN held USING (office_id, sha256)""")
+def upload_outcomes(t):
+    """Two thirds of the documents are uploaded where the others are versions, some of them failed, superseded or deleted."""
+    c = F.col
+    docs = t.documents.select("doc_id", F.coalesce("lang", F.lit("und")).alias("office_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("sha256", F.sha2("text", 256))
+    at = F.timestamp_micros(c("doc_id"))
+    uploads = docs.where("doc_id % 3 != 0").select(c("doc_id").alias("upload_id"), "office_id", "sha256", F.length("text").alias("length"), F.lit("pdf").alias("format"), at.alias("uploaded_at"))
+    known = docs.where("doc_id % 3 = 0")
+    status = F.when(c("doc_id") % 5 == 0, "failed").when(c("doc_id") % 5 == 1, "superseded").otherwise("ready")
+    versions = known.select(F.concat(F.lit("v"), "doc_id").alias("version_id"), "office_id", c("doc_id").alias("document_id"), "sha256", status.alias("status"), at.alias("uploaded_at"))
+    return judge_uploads(uploads, versions, known.where("doc_id % 7 = 2").select(c("doc_id").alias("document_id")))
+

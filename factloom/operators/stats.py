@@ -61,3 +61,20 @@ def conflict_count(occurrences: DataFrame, conflict: Column, keys: list[str]) ->
 def largest_partition(records: DataFrame, keys: list[str]) -> DataFrame:
     """The most frequent combination of keys, the least of equals."""
     return records.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *keys).limit(1)
+
+
+def evaluation_summary(results: DataFrame, sets: list[list[str]], measures: dict[str, Column], latency: str) -> DataFrame:
+    """Rates and interpolated latency percentiles of results for each combination of columns in sets, in one pass.
+
+    measures are booleans whose nulls don't count, such as a check that only some
+    results have; each gives a rate and the number of results behind it. level
+    tells a column's own null (bit 0) from a row over all its values (bit 1).
+    """
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    rated = results.select(*columns, latency, *(m.cast("boolean").alias(f"m_{n}") for n, m in measures.items()))
+    aggregates = [F.count(F.lit(1)).alias("results")]
+    for n in measures:
+        aggregates += [F.round(F.count_if(f"m_{n}") / F.nullif(F.count(f"m_{n}"), F.lit(0)), 6).alias(f"{n}_rate"), F.count(f"m_{n}").alias(f"{n}_of")]
+    aggregates += [F.round(F.percentile(F.col(latency).cast("double"), F.lit(p / 100)), 6).alias(f"p{p}") for p in (50, 95)]
+    grouped = rated.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in columns))
+    return grouped.agg(F.grouping_id(*columns).cast("long").alias("level"), *aggregates).select("level", *columns, *(n for n in ("results", *(f"{m}_{k}" for m in measures for k in ("rate", "of")), "p50", "p95")))
