@@ -194,13 +194,12 @@ def chunk_packing(t):
     return chunks.select("version_id", "section_no", "part", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
-@query("""SELECT x, CAST(v AS DOUBLE) AS money, CAST(d AS DATE) AS day FROM (VALUES ('1,250,000', 1250000.0, NULL), ('2,500,000.50 on 15/03/2024', 2500000.5, '2024-03-15'), ('1,25', NULL, NULL), ('-', NULL, NULL),
-  ('15.03.24', 15.03, '2024-03-15'), ('31/02/2024', 31, NULL), ('5-1-2023', 5, '2023-01-05'), ('1/2/70', 1, '1970-02-01'), ('1/2/69', 1, '2069-02-01')) t(x, v, d)""")
+@query("""SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN round(o_totalprice, 2) WHEN 3 THEN NULL ELSE CAST(day(CAST(o_orderdate AS DATE)) AS DOUBLE) END AS money, CASE WHEN o_orderkey % 4 IN (1, 2) THEN CAST(o_orderdate AS DATE) END AS day FROM orders""")
 def parse_values(t):
-    """Money and dates out of raw texts; what can't be parsed is null."""
-    rows = ["1,250,000", "2,500,000.50 on 15/03/2024", "1,25", "-", "15.03.24", "31/02/2024", "5-1-2023", "1/2/70", "1/2/69"]
-    d = t.spark.createDataFrame([(r,) for r in rows], "x string")
-    return d.select("x", N.parse_money(F.col("x")).cast("double").alias("money"), N.parse_date(F.col("x")).alias("day"))
+    """Money and dates out of the texts of every order's total and date; what can't be parsed is null."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    texts = F.when(k % 4 == 0, F.format_number("o_totalprice", 2)).when(k % 4 == 1, F.date_format(day, "dd/MM/yyyy")).when(k % 4 == 2, F.date_format(day, "d-M-yyyy")).otherwise(F.concat((k % 10).cast("string"), F.lit(",25")))
+    return t.orders.select(k.alias("k"), texts.alias("x")).select("k", F.round(N.parse_money(F.col("x")).cast("double"), 2).alias("money"), N.parse_date(F.col("x")).alias("day"))
 
 
 GROUPED = "text"
@@ -241,14 +240,19 @@ def json_fields(t):
     return t.events.select("event_id", p["page"].alias("page"), p["ref"].alias("ref"))
 
 
-@query()
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS version_id, 'הגפן ' || l_linenumber AS address, CAST(l_partkey AS VARCHAR) AS block, CAST(l_suppkey AS VARCHAR) AS parcel, CAST(l_shipdate AS DATE) AS transaction_date, CAST(l_quantity AS DOUBLE) AS area, round(l_extendedprice, 2) AS price,
+  lower(n_name) AS city, 'included' AS vat_basis, CAST(o_orderdate AS DATE) AS report_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 def hebrew_records(t):
-    """Header facts and comparables of a small report in Hebrew, from tables across pages to validated records."""
-    pages = t.spark.createDataFrame([("v1", 1, "עיר העסקאות: רמת גן\nתאריך עריכת השומה: 01/02/2024\nבסיס מע״מ: כולל מע״מ")], "version_id string, page_no int, text string")
-    head = ["כתובת", "גוש/חלקה", "תאריך עסקה", "סוג נכס", "שטח (מ״ר)", "סוג שטח", "מחיר (₪)", "מחיר למ״ר (₪)"]
-    one = ["הגפן 14", "6158/42/7", "15/03/2024", "דירה", "50", "נטו", "1,000,000", "20,000"]
-    two = ["הגפן 16", "6158/43", "מרץ 2024", "דירת גן", "100", "ברוטו", "3,000,000", "21,000"]
-    grids = t.spark.createDataFrame([("v1", 0, 1, [head, one], True, False, None), ("v1", 1, 2, [two], True, False, None)], "version_id string, seq int, page int, rows array<array<string>>, first_on_page boolean, ocr boolean, section string")
+    """Every order as a report in Hebrew: header facts from its page, comparables from its table, put into records."""
+    c, day = F.col, lambda n: F.date_format(F.col(n).cast("date"), "dd/MM/yyyy")
+    orders = t.orders.join(t.customer, c("o_custkey") == c("c_custkey")).join(t.nation, c("c_nationkey") == c("n_nationkey")).select(c("o_orderkey").cast("string").alias("version_id"), day("o_orderdate").alias("day"), "n_name")
+    text = F.concat(F.lit("עיר העסקאות: "), F.lower("n_name"), F.lit("\nתאריך עריכת השומה: "), c("day"), F.lit("\nבסיס מע״מ: כולל מע״מ"))
+    pages = orders.select("version_id", F.lit(1).alias("page_no"), text.alias("text"))
+    head = F.array(*(F.lit(x) for x in ("כתובת", "גוש/חלקה", "תאריך עסקה", "סוג נכס", "שטח (מ״ר)", "סוג שטח", "מחיר (₪)")))
+    cells = F.array(F.concat(F.lit("הגפן "), c("l_linenumber").cast("string")), F.concat_ws("/", c("l_partkey").cast("string"), c("l_suppkey").cast("string")), day("l_shipdate"), F.lit("דירה"), c("l_quantity").cast("decimal(12,2)").cast("string"), F.lit("נטו"), F.format_number(c("l_extendedprice").cast("decimal(16,2)"), 2))
+    lines = t.lineitem.select(c("l_orderkey").cast("string").alias("version_id"), F.struct(c("l_linenumber").alias("line"), cells.alias("cells")).alias("r")).groupBy("version_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    grids = lines.select("version_id", F.lit(0).alias("seq"), F.lit(1).alias("page"), F.concat(F.array(head), F.transform("r", lambda r: r["cells"])).alias("rows"), F.lit(True).alias("first_on_page"), F.lit(False).alias("ocr"), F.lit(None).cast("string").alias("section"))
     facts = D.header_facts(pages, {**D.HEADER_LABELS, **D.SECTION_LABELS}).groupBy("version_id").pivot("field", ["city", "neighborhood", "vat_basis", "valuation_date", "report_date"]).agg(F.first("original"))
-    context = facts.select("version_id", T.normalize_place(F.col("city")).alias("city"), T.normalize_place(F.col("neighborhood")).alias("neighborhood"), T.vat_basis_code(F.col("vat_basis")).alias("vat_basis"), N.parse_date(F.col("valuation_date")).alias("valuation_date"), N.parse_date(F.col("report_date")).alias("report_date"))
-    return D.normalize_records(D.records_of(D.assemble_tables(grids)), context)
+    context = facts.select("version_id", T.normalize_place(c("city")).alias("city"), T.normalize_place(c("neighborhood")).alias("neighborhood"), T.vat_basis_code(c("vat_basis")).alias("vat_basis"), N.parse_date(c("valuation_date")).alias("valuation_date"), N.parse_date(c("report_date")).alias("report_date"))
+    found = D.normalize_records(D.records_of(D.assemble_tables(grids)), context)
+    return found.select("version_id", "address", "block", "parcel", "transaction_date", c("area").cast("double").alias("area"), c("price").cast("double").alias("price"), "city", "vat_basis", "report_date")

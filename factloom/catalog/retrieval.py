@@ -197,11 +197,13 @@ def best_sentence(t):
     return each.groupBy("doc_id").agg(F.max_by("x", F.struct(hits, F.negative("i"))).alias("best"))
 
 
-@query("""SELECT answer, problem FROM (VALUES ('a1', 'unknown_citation'), ('a2', 'unsupported_number'), ('a3', 'links_or_markup'), ('a4', 'no_citations'), ('a5', NULL)) t(answer, problem)""")
+@query("""SELECT o_orderkey AS answer, CASE o_orderkey % 5 WHEN 0 THEN 'unknown_citation' WHEN 1 THEN 'unsupported_number' WHEN 2 THEN 'links_or_markup' WHEN 3 THEN 'no_citations' END AS problem FROM orders""")
 def verify_numbers(t):
-    """Problems of model answers: markup, citations, numbers without support."""
-    rows = [("a1", "Price 100 [E9]", ["E9"]), ("a2", "Price 123 [E1]", []), ("a3", "see http://x [E1] 100", []), ("a4", "Price 100", []), ("a5", "Price 100 [E1]", ["E1"])]
-    d = t.spark.createDataFrame(rows, "answer string, text string, used array<string>").withColumn("allowed_ids", F.array(F.lit("E1"), F.lit("E2"))).withColumn("allowed_numbers", F.array(F.lit("100")))
+    """Problems of a written answer to each order: markup, citations, numbers without support."""
+    k, n = F.col("o_orderkey"), F.col("o_custkey")
+    price = F.when(k % 5 == 1, n + 1).otherwise(n).cast("string")
+    cited = F.when(k % 5 == 0, " [E9]").when(k % 5 == 2, " [E1], see http://x").when(k % 5 == 3, "").otherwise(" [E1]")
+    d = t.orders.select(k.alias("answer"), F.concat(F.lit("Price "), price, cited).alias("text"), F.array().cast("array<string>").alias("used"), F.array(F.lit("E1"), F.lit("E2")).alias("allowed_ids"), F.array(n.cast("string")).alias("allowed_numbers"))
     return R.verify(d).select("answer", F.explode_outer("problems").alias("problem"))
 
 
