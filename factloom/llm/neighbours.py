@@ -38,6 +38,7 @@ ship_by_value(__name__)
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 16384  # vectors of a tile's sides
 SLICE = 256  # queries of a tile whose products are held at a time
+EXACT = 1040  # dimensions over which float32 holds every sum of products of values up to 127
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +47,14 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint(x / scale[:, None]).astype(np.int8).astype(np.float32), scale
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of quantised rows as doubles, exact at any number of dimensions."""
+    out = np.zeros((len(a), len(b)))
+    for d in range(0, a.shape[1], EXACT):
+        out += a[:, d : d + EXACT] @ b[:, d : d + EXACT].T
+    return out
+
+
 def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, ids, scores) of the k best candidates of each query in this tile, best first."""
     cq, cs = quantise(c)
@@ -54,7 +63,7 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     for at in range(0, len(q), SLICE):
         part = q[at : at + SLICE]
         pq, ps = quantise(part)
-        about = (pq @ cq.T).astype(np.float64) * ps[:, None] * cs
+        about = products(pq, cq) * ps[:, None] * cs
         error = 0.5 * ps[:, None] * c_norm + 0.5 * np.abs(part).sum(axis=1)[:, None] * cs + 0.25 * dims * ps[:, None] * cs
         error *= 1 + 1e-9
         for i in range(len(part)):

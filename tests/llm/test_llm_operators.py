@@ -237,6 +237,19 @@ def test_encoders_agree():
         assert own.encode(text, add_special_tokens=False).ids == fast(text)
 
 
+@pytest.mark.parametrize("dims", [1, 1040, 1041, 3072])
+def test_products_of_quantised_rows_are_exact(dims):
+    rng = np.random.default_rng(dims)
+    a, b = rng.normal(size=(20, dims)), np.abs(rng.normal(size=(30, dims))) + 3
+    a[0], b[0] = 1.0, 1.0
+    q, r = neighbours.quantise(a)[0], neighbours.quantise(b)[0]
+    assert (neighbours.products(q, r) == q.astype(np.int64) @ r.astype(np.int64).T).all()
+    best = list(neighbours.tile(np.arange(20), a, 100 + np.arange(30), b, 7))
+    for i, (_, ids, scores) in enumerate(best):
+        want = sorted(((-float(np.sum(a[i] * b[j])), 100 + j) for j in range(30)))[:7]
+        assert set(ids) == {j for _, j in want} and np.allclose(np.sort(scores), np.sort([-s for s, _ in want]))
+
+
 def test_nearest_takes_the_least_vector_of_an_id(spark):
     rows = [(1, [2.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [None, 1.0]), (3, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
