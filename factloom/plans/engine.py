@@ -29,7 +29,7 @@ from ..operators import identity, retrieval, stats
 from ..operators.index import SearchIndex
 from ..rounds import checkpointed, scratch_folder
 from .batch import CONDITIONS, KeptAnswers, answer_questions
-from .conditions import AWAITING, VERIFIED, Conditions, predicate
+from .conditions import AWAITING, VERIFIED, Conditions, open_points, predicate
 from .question import Reading, read_questions, reading_of
 
 # Labels of answers, and the order in which mixed attributes are asked about.
@@ -74,8 +74,8 @@ def describe(c: Conditions) -> list[tuple[str, str]]:
     out += [(name, getattr(c, name)) for name in ("city", "neighborhood", "property_type", "vat_basis") if getattr(c, name)]
     if c.area_type:
         out.append(("area_type", AREA_LABELS[c.area_type]))
-    if c.date_field and (span := c.date_range()):
-        out.append((DATE_LABELS[c.date_field], f"{span[0]:%d/%m/%Y} <= x < {span[1]:%d/%m/%Y}"))
+    if c.date_field and (years := c.years()):
+        out.append((DATE_LABELS[c.date_field], " <= x < ".join(f"01/01/{y}" for y in years)))
     return out
 
 
@@ -164,8 +164,8 @@ class Engine:
         return self.answer(ctx, reading, c, question)
 
     def answer(self, ctx: TenantContext, reading: Reading, c: Conditions, question: str) -> Answer:
-        if c.missing():
-            return Answer("clarification", conditions=c, ask=c.missing()[0], options=list(KIND_LABELS if c.missing()[0] == "data_kind" else DATE_LABELS))
+        if asked := open_points(c):
+            return Answer("clarification", conditions=c, ask=asked[0], options=list(KIND_LABELS if asked[0] == "data_kind" else DATE_LABELS))
         if c.intent in ("explanation", "document_lookup"):
             return self.content(ctx, question, c)
         groups = hashlib.sha256("|".join(sorted(ctx.groups)).encode()).hexdigest()

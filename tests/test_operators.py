@@ -14,7 +14,7 @@ from factloom.operators import identity as I
 from factloom.operators import retrieval as R
 from factloom.operators import stats
 from factloom.operators import versions as V
-from factloom.plans.conditions import Conditions, predicate
+from factloom.plans.conditions import Conditions, open_points, predicate
 from factloom.plans.question import read_questions, reading_of
 from factloom.sources import files, ocr
 from factloom.streaming import jobs
@@ -52,7 +52,7 @@ def test_scope(spark):
 
 def test_conditions_and_predicate(spark):
     c = Conditions(data_kind="transaction_price", date_field="transaction_date", year_from=2022, year_to=2023, city="x")
-    assert c.missing() == [] and Conditions(year_from=2022).missing() == ["data_kind", "date_field"]
+    assert open_points(c) == [] and open_points(Conditions(year_from=2022)) == ["data_kind", "date_field"]
     assert c.cache_key(office="o", version=1) == c.with_changes(aggregation="median").cache_key(office="o", version=1) != c.cache_key(office="o", version=2)
     for wrong in ({"year_from": 1900}, {"year_from": 2023, "year_to": 2022}, {"data_kind": "x"}):
         with pytest.raises(ValueError):
