@@ -31,23 +31,38 @@ def match_key(location: Column) -> Column:
     return F.when(F.col("data_kind").isin(*MATCHED_KINDS), joined)
 
 
-def attach(occurrences: DataFrame, order: list[str]) -> DataFrame:
-    """transaction key of each occurrence (with columns match_key, property_type and an id).
-
-    The first occurrence of a key opens its transaction. A later one joins it
-    if its property type is missing or among the types seen so far; otherwise
-    it stands alone. The types seen are those of joined occurrences: the first
-    stated type rules, so the order is a window over the key, not a loop.
-
-    Occurrences without a key stand alone and take no part in the windows, where
-    they would all meet in one task.
+def attach(occurrences: DataFrame, order: list[str], existing: DataFrame | None = None) -> DataFrame:
+    """transaction_id of each occurrence (with columns match_key, property_type and occurrence_id), and which fact it differs_from.
+
+    The first occurrence of a key in the given order opens its fact, unless
+    existing (match_key, transaction_id, types) has one; types are all those that
+    the fact's occurrences state, several after merges or corrections. An
+    occurrence joins if it states no type or one of the fact's. A fact without any
+    type takes the first one that is stated. All others stand alone and point to
+    the fact. So the types of a fact don't change by what joins it once there is
+    one, and a key needs its first rows only, not a walk through all of them.
+
+    Occurrences without a key stand alone and take part in nothing here.
     """
-    window = Window.partitionBy("match_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    keyed = occurrences.where("match_key IS NOT NULL").withColumn("_ruling", F.first("property_type", ignorenulls=True).over(window)).withColumn("_first", F.first("occurrence_id").over(window))
-    joins = F.col("property_type").isNull() | (F.col("property_type") == F.col("_ruling"))
-    keyed = keyed.withColumn("transaction_id", F.when(joins, F.col("_first")).otherwise(F.col("occurrence_id"))).withColumn("differs_from", F.when(~joins, F.col("_first"))).drop("_ruling", "_first")
-    alone = occurrences.where("match_key IS NULL").withColumn("transaction_id", F.col("occurrence_id"))
-    return keyed.unionByName(alone.withColumn("differs_from", F.lit(None).cast(keyed.schema["differs_from"].dataType)))
+    at = F.struct(*order)
+    keyed, alone = occurrences.where("match_key IS NOT NULL"), occurrences.where("match_key IS NULL")
+    stated = F.min_by("property_type", F.when(F.col("property_type").isNotNull(), at))
+    rule = keyed.groupBy("match_key").agg(F.min_by("occurrence_id", at).alias("_fact"), F.array_compact(F.array(stated)).alias("_types"))
+    if existing is not None:
+        held = existing.select("match_key", F.col("transaction_id").alias("_held"), F.array_compact("types").alias("_seen"))
+        rule = rule.join(held, "match_key", "left").select("match_key", F.coalesce("_held", "_fact").alias("_fact"), F.when(F.size("_seen") > 0, F.col("_seen")).otherwise(F.col("_types")).alias("_types"))
+    joined = keyed.join(rule, "match_key")
+    joins = F.col("property_type").isNull() | F.array_contains("_types", F.col("property_type"))
+    found = joined.select(*occurrences.columns, F.when(joins, F.col("_fact")).otherwise(F.col("occurrence_id")).alias("transaction_id"), F.when(~joins, F.col("_fact")).alias("differs_from"))
+    none = F.lit(None).cast(found.schema["differs_from"].dataType)
+    return found.unionByName(alone.select(*occurrences.columns, F.col("occurrence_id").alias("transaction_id"), none.alias("differs_from")))
+
+
+def fact_types(occurrences: DataFrame) -> DataFrame:
+    """(match_key, transaction_id, types) of facts that a key opened, for attach; occurrences as attach and apply_merges leave them."""
+    types = occurrences.groupBy("transaction_id").agg(F.collect_set("property_type").alias("types"))
+    opened = occurrences.where("match_key IS NOT NULL AND differs_from IS NULL").select("match_key", "transaction_id").distinct()
+    return opened.join(types, "transaction_id").groupBy("match_key").agg(F.min(F.struct("transaction_id", "types")).alias("f")).select("match_key", "f.*")
 
 
 def look_alikes(facts: DataFrame, place: list[str], id_col: str) -> DataFrame:

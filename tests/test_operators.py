@@ -112,6 +112,47 @@ def test_identity(spark):
     assert [r[0] for r in d.select(I.match_key(I.location_key())).collect()] == ["bp:1/2/-|transaction_price|2024-01-01|100|5|net", None, None]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_attaching_equals_a_walk_in_order(spark, seed):
+    """Three batches of shuffled occurrences with a merge between them, against a loop that carries each fact's types."""
+    import random
+
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["k", "k", "l", "m", None]), rng.choice([None, "house", "office", "shop"])) for i in range(1, 91)]
+    key_of, types, fact, differs = {}, {}, {}, {}
+    known = None
+    for turn in range(3):
+        batch = rows[turn * 30 : turn * 30 + 30]
+        for i, key, kind in batch:
+            own = key_of.get(key) if key else None
+            if own is None:
+                fact[i] = i
+                types.setdefault(i, set())
+                if key:
+                    key_of[key] = i
+            elif kind is None or not types[own] or kind in types[own]:
+                fact[i] = own
+            else:
+                fact[i], differs[i] = i, own
+                types.setdefault(i, set())
+            if kind:
+                types[fact[i]].add(kind)
+        frame = spark.createDataFrame(rng.sample(batch, len(batch)), "occurrence_id int, match_key string, property_type string").repartition(3)
+        new = I.attach(frame, ["occurrence_id"], None if known is None else I.fact_types(known))
+        known = new if known is None else known.unionByName(new)
+        known = spark.createDataFrame(known.collect(), known.schema)
+        assert {r.occurrence_id: (r.transaction_id, r.differs_from) for r in known.collect() if r.occurrence_id in {b[0] for b in batch}} == {i: (fact[i], differs.get(i)) for i, _, _ in batch}
+        # A reviewer merges a fact that stood alone into the one that it differs from, which then has both types.
+        if apart := [i for i in differs if fact[i] == i]:
+            loser, survivor = apart[0], differs[apart[0]]
+            for i in fact:
+                fact[i] = survivor if fact[i] == loser else fact[i]
+            types[survivor] |= types.pop(loser)
+            known = known.withColumn("transaction_id", F.when(F.col("transaction_id") == loser, F.lit(survivor)).otherwise(F.col("transaction_id")))
+            known = spark.createDataFrame(known.collect(), known.schema)
+    assert any(len(t) > 1 for t in types.values())
+
+
 def test_corrections_lead_to_new_identity(spark):
     from factloom.operators import review
 
