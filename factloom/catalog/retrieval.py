@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators import embedding
 from ..operators.index import SearchIndex
 from ..rounds import scratch_folder
 from .registry import query
@@ -240,3 +241,18 @@ def trigram_of_normalized_text(t):
     """What is shown differs from what is searched."""
     chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), F.replace("text", F.lit("th"), F.lit("xx")).alias("text"), F.replace("text", F.lit("th"), F.lit("TH")).alias("normalized_text"))
     return R.trigram(chunks.withColumn("padded", R.padded(F.col("normalized_text"))), "thonin thereal")
+
+
+def _letters():
+    """A model that counts: characters, and how many of them are blanks and the letter e."""
+    return lambda texts: [[float(len(x)), float(x.count(" ")), float(x.count("e"))] for x in texts]
+
+
+@query("SELECT doc_id, CAST(length(text) AS DOUBLE) AS chars, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS blanks, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS e, (SELECT count(DISTINCT text) FROM documents) AS made FROM documents")
+def embeddings_in_two_runs(t):
+    """Vectors of half of the documents, then of all: the second run makes those that are missing."""
+    path = scratch_folder(t.spark, "vectors")
+    made = [embedding.embed_pending(docs, path, _letters, "letters") for docs in (t.documents.where("doc_id % 2 = 0"), t.documents, t.documents)]
+    v = F.col("embedding").cast("array<double>")
+    found = embedding.with_vectors(t.documents.select("doc_id", "text"), embedding.vectors_at(t.spark, path), "letters")
+    return found.select("doc_id", v[0].alias("chars"), v[1].alias("blanks"), v[2].alias("e"), F.lit(sum(made)).cast("long").alias("made"))
