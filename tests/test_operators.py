@@ -63,7 +63,18 @@ def test_conditions_and_predicate(spark):
 
 
 def test_report_to_records(spark):
-    rows = sorted(QUERIES["hebrew_records"](spark, SF).collect(), key=lambda r: r.row_index)
+    """Header facts and comparables of a small report in Hebrew, from tables across pages to validated records."""
+    from factloom.functions import numbers as N
+    from factloom.functions import text as T
+
+    pages = spark.createDataFrame([("v1", 1, "עיר העסקאות: רמת גן\nתאריך עריכת השומה: 01/02/2024\nבסיס מע״מ: כולל מע״מ")], "version_id string, page_no int, text string")
+    head = ["כתובת", "גוש/חלקה", "תאריך עסקה", "סוג נכס", "שטח (מ״ר)", "סוג שטח", "מחיר (₪)", "מחיר למ״ר (₪)"]
+    first = ["הגפן 14", "6158/42/7", "15/03/2024", "דירה", "50", "נטו", "1,000,000", "20,000"]
+    second = ["הגפן 16", "6158/43", "מרץ 2024", "דירת גן", "100", "ברוטו", "3,000,000", "21,000"]
+    grids = spark.createDataFrame([("v1", 0, 1, [head, first], True, False, None), ("v1", 1, 2, [second], True, False, None)], "version_id string, seq int, page int, rows array<array<string>>, first_on_page boolean, ocr boolean, section string")
+    facts = D.header_facts(pages, {**D.HEADER_LABELS, **D.SECTION_LABELS}).groupBy("version_id").pivot("field", ["city", "neighborhood", "vat_basis", "valuation_date", "report_date"]).agg(F.first("original"))
+    context = facts.select("version_id", T.normalize_place(F.col("city")).alias("city"), T.normalize_place(F.col("neighborhood")).alias("neighborhood"), T.vat_basis_code(F.col("vat_basis")).alias("vat_basis"), N.parse_date(F.col("valuation_date")).alias("valuation_date"), N.parse_date(F.col("report_date")).alias("report_date"))
+    rows = sorted(D.normalize_records(D.records_of(D.assemble_tables(grids)), context).collect(), key=lambda r: r.row_index)
     one, two = rows
     assert (one.city, one.block, one.parcel, one.sub_parcel, one.area, one.area_type, one.price) == ("רמת גן", "6158", "42", "7", 50, "net", 1_000_000)
     assert (one.computed, one.conflict, one.status, one.missing, one.page_no) == (20000, False, "auto_extracted", [], 1)
