@@ -7,7 +7,6 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.catalog import QUERIES
 from factloom.context import TenantContext, check_write, secure, secure_documents, secure_facts, system_context
 from factloom.operators import documents as D
 from factloom.operators import identity as I
@@ -19,8 +18,6 @@ from factloom.plans.question import read_questions, reading_of
 from factloom.sources import files, ocr
 from factloom.streaming import jobs
 
-SF = "/root/testdata/sf0.001"
-
 
 def facts(spark, rows):
     return spark.createDataFrame([(i, Decimal(p), Decimal(a)) for i, (p, a) in enumerate(rows)], "id int, price decimal(16,2), area decimal(12,2)")
