@@ -335,7 +335,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     single = None
     if any_crowd:
         contexts = space.write(contexts, "contexts")
-        crowded = contexts.where("level = 1").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key")
+        # Broadcast, as there is one for CROWD contexts at most: a shuffled join by key would take the place of the
+        # repartition below, and Spark may then read its shuffle in parts that tear collections apart.
+        crowded = F.broadcast(contexts.where("level = 1").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("key"))
         one_by_one = contexts.where("level = 1").join(crowded, "key", "left_semi").select("h1", "h2", "first", "context")
         windows = space.write(one_by_one.mapInArrow(_windows(length, unit), "window binary, h1 long, h2 long, start long"), "windows")
         often = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")

@@ -152,6 +152,26 @@ def test_passages_equal_brute_force(spark, monkeypatch, crowd):
     assert all((stripped[i] or "") == bytes(kept[i]).decode(errors="ignore") for i in kept)
 
 
+def test_passages_of_crowded_anchors_stay_together(spark, monkeypatch):
+    """Contexts of one key meet in one task, too, where Spark reads the shuffles of its joins in parts."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", 3)
+    # Files that seem large: joins are planned with shuffles, and these are read where they lie when the crowded keys turn out few.
+    settings = {"spark.sql.sources.fileCompressionFactor": "1000000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rng = random.Random(21)
+        noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+        passages = [noise(500) for _ in range(12)]
+        texts = [noise(rng.randrange(90)) + rng.choice(passages) + noise(rng.randrange(90)) for _ in range(40)] + [noise(40) + "x" * 900 + noise(30) for _ in range(8)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in collect(suffix_dedup.dedup_passages(df))}
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert [got[i] for i in range(len(texts))] == brute_passages(texts, 400)
+
+
 def test_passages_odd_rows(odd, empty):
     got = collect(suffix_dedup.dedup_passages(odd))
     assert len(got) == 12 and sum(r["n_removed"] == len(LONG) for r in got) == 2
