@@ -7,23 +7,25 @@ its integral image, give two bits each, and sixteen of them pack into one
 classes against the rest of the time, over low against high classes, in a
 checkered way, or the middle third against the outer ones.
 
-Alignment. Runs of ``RUN`` codes are landmarks; of every ``SPAN`` consecutive
-landmarks the one with the least hash is kept, so equal passages keep equal
-landmarks; a recording of up to ``BRIEF`` landmarks keeps them all beside these. The
-first recording of a landmark is its reference. The offsets of a
-recording's landmarks against a reference form a histogram; its top bin aligns
-the two, and the share of differing bits over their whole overlap confirms it.
-A landmark that many recordings share costs a row for each, never a pair. A recording
-of fewer than ``FEWEST_VOTES * SPAN`` landmarks, or a pair with one, needs one vote, any other
-``FEWEST_VOTES``. Equal recordings,
-however short, meet by an exact group on their bytes: the first one is the
-reference of all others and the only one to vote.
+Alignment. Runs of ``RUN`` codes are landmarks, all of them. Any two different
+recordings that share one are compared, whichever others hold it too. The offsets of
+their equal landmarks form a histogram; its bins with enough votes are tried, most votes
+first, and the share of differing bits over the whole overlap confirms one. Two recordings
+of ``(FEWEST_VOTES * SPAN)`` landmarks and more need ``FEWEST_VOTES`` votes, shorter ones one.
+Equal recordings, however short, meet by an exact group on their bytes: the first one is the
+reference of all others and the only one to be compared. So pairs of different recordings
+are made, never pairs of copies; what comes out is one row per recording with its class and
+its number of links. A landmark of n different recordings costs n (n - 1) / 2 pairs, none of
+which may be left out, since each could be a link.
 
 Defined results: a null or empty recording has no codes and no reference, one too
 short for codes only that of an equal recording, with no votes and no overlap;
 repeated rows (one id) count once; equal recordings align at offset 0 with the
-least id; ties between references go to more votes, then fewer wrong bits, then
-the smaller id; an empty table gives an empty result; other columns are ignored.
+least id; the reference is the link to a smaller id with most votes, then fewest wrong
+bits, then the smallest id; class_id is the least id that links lead to, the own one included;
+n_links counts the different recordings that align with this one, equal ones once; of bins with
+as many votes the one nearest to offset 0 comes first, then the positive one; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 
 from . import ship_by_value
 from .bytes_np import mix, text_bytes
+from .components import components
 from .workspace import Workspace, small_batches
 
 ship_by_value(__name__)
@@ -46,10 +49,10 @@ RATE, FRAME, HOP = 4000, 256, 128
 LOWEST, HIGHEST = 55.0, 1760.0  # Hz, the range folded onto pitch classes
 WIDTH = 16  # frames that the widest filter sees
 RUN, SPAN = 3, 8
-BRIEF = 4 * SPAN  # landmarks of a recording that keeps all of them
 MOST_WRONG = 0.15  # share of differing bits
 FEWEST_VOTES = 2
 PART = 1 << 18  # samples worked on at a time
+VOTES = 1 << 22  # votes counted at a time
 
 #: (kind, first class, classes, frames): kinds 0 whole, 1 low against high, 2 early against late, 3 checkered, 4 middle class third, 5 middle time third.
 FILTERS = tuple((kind, 5 * i % (9 - 3 * i % 5), 4 + 3 * i % 5, (4, 8, 16)[(i + kind) % 3]) for i, kind in enumerate((0, 1, 2, 3, 4, 5, 0, 1, 2, 3, 4, 5, 1, 2, 3, 2)))
@@ -119,78 +122,104 @@ def codes(samples: np.ndarray) -> np.ndarray:
     return out
 
 
-def landmarks(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the kept runs of codes."""
-    n = len(code) - RUN + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def landmarks(code: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of RUN codes, by where they begin."""
+    n = max(0, len(code) - RUN + 1)
     hashed = np.full(n, 7, np.uint64)
     for k in range(RUN):
         hashed = mix(hashed * np.uint64(0x9FB21C651E98DF25) + code[k : k + n])
-    if n <= BRIEF:
-        keep = np.arange(n)
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(hashed, SPAN)
-        keep = np.unique(np.arange(len(view)) + view.argmin(axis=1))
-    return keep, hashed[keep]
+    return hashed
+
+
+def votes_for(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many equal landmarks of x and y lie at each offset from -len(y) to len(x)."""
+    votes = np.zeros(len(x) + len(y) + 1, np.int64)
+    order = np.argsort(y, kind="stable")
+    low, high = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+    shared = np.flatnonzero(high > low)
+    if not len(shared):
+        return votes
+    many = (high - low)[shared]
+    part = np.cumsum(many) // VOTES
+    for own in np.split(np.arange(len(shared)), np.flatnonzero(np.diff(part)) + 1):
+        m = many[own]
+        at = np.repeat(low[shared[own]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        votes += np.bincount(np.repeat(shared[own], m) - order[at] + len(y), minlength=len(votes))
+    return votes
+
+
+def aligned(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[int, int, float, int] | None:
+    """(offset, votes, share of wrong bits, overlap) of codes a and b with landmarks x and y, if they align."""
+    votes = votes_for(x, y)
+    needed = max(1, min(FEWEST_VOTES, min(len(x), len(y)) // SPAN))
+    bins = np.flatnonzero(votes >= needed)
+    offsets = bins - len(y)
+    for i in np.lexsort((-offsets, np.abs(offsets), -votes[bins])):
+        offset = int(offsets[i])
+        p, q = a[max(0, offset) :], b[max(0, -offset) :]
+        n = min(len(p), len(q))
+        wrong = float(np.bitwise_count(p[:n] ^ q[:n]).sum()) / (32 * n)
+        if wrong <= MOST_WRONG:
+            return offset, int(votes[bins[i]]), wrong, n
+    return None
 
 
 def _fingerprinter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, recording) give (id, codes, landmark hashes, landmark places, digest of the recording unless it is empty)."""
+    """Rows (id, recording) give (id, codes, different landmarks, digest of the recording unless it is empty)."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         out = [codes(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        marks = [landmarks(c) for c in out]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array([c.view(np.int32) for c in out], pa.list_(pa.int32())),
-                pa.array([m[1].view(np.int64) for m in marks], pa.list_(pa.int64())),
-                pa.array([m[0].astype(np.int32) for m in marks], pa.list_(pa.int32())),
+                pa.array([np.unique(landmarks(c)).view(np.int64) for c in out], pa.list_(pa.int64())),
                 pa.array([hashlib.blake2b(data[a:b], digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()),
             ],
-            ["id", "codes", "marks", "places", "digest"],
+            ["id", "codes", "marks", "digest"],
         )
 
 
-def _wrong_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, reference, offset, votes, codes, codes of the reference) give the share of wrong bits and the overlap."""
+def _aligner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, reference, codes, codes of the reference) give those that align."""
     for batch in batches:
-        wrong, overlap = [], []
-        for offset, x, y in zip(batch.column(2).to_pylist(), batch.column(4), batch.column(5), strict=True):
-            a, b = x.values.to_numpy().view(np.uint32), y.values.to_numpy().view(np.uint32)
-            a, b = a[max(0, offset) :], b[max(0, -offset) :]
-            n = min(len(a), len(b))
-            overlap.append(n)
-            wrong.append(float(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n) if n else 1.0)
-        columns = [batch.column(k) for k in range(4)] + [pa.array(wrong, pa.float64()), pa.array(overlap, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "reference", "offset", "votes", "wrong", "overlap"])
+        columns = []
+        for k in (2, 3):
+            column = batch.column(k)
+            code, at = column.flatten().to_numpy().view(np.uint32), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy())))
+            marks = landmarks(code)  # those across two recordings are left out below
+            columns.append([(code[i:j], marks[i : max(i, j - RUN + 1)]) for i, j in zip(at[:-1], at[1:], strict=True)])
+        found = [(i, r, *hit) for i, r, (a, x), (b, y) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *columns, strict=True) if (hit := aligned(a, b, x, y))]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["id", "reference", "offset", "votes", "wrong", "overlap"])
 
 
 def align_recordings(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """id, n_codes, codes_crc32, reference, offset, votes, wrong_bits, overlap for every recording; reference is null where none aligns."""
+    """id, n_codes, codes_crc32, reference, offset, votes, wrong_bits, overlap, class_id, n_links for every recording; reference is null where none aligns."""
     small_batches(media.sparkSession)
     space = Workspace(media.sparkSession, "media")
     given = media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("media"))
-    printed = space.write(given.mapInArrow(_fingerprinter, "id long, codes array<int>, marks array<long>, places array<int>, digest binary").dropDuplicates(["id"]), "prints")
+    printed = space.write(given.mapInArrow(_fingerprinter, "id long, codes array<int>, marks array<long>, digest binary").dropDuplicates(["id"]), "prints")
     equal = printed.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = space.write(printed.select("id", "digest", F.size("codes").cast("long").alias("overlap"), F.size("marks").cast("long").alias("votes")).join(equal, "digest").where(F.col("id") > F.col("first")), "copies")
+    votes = F.greatest(F.lit(0), F.size("codes") - (RUN - 1)).cast("long").alias("votes")
+    copies = space.write(printed.select("id", "digest", F.size("codes").cast("long").alias("overlap"), votes).join(equal, "digest").where(F.col("id") > F.col("first")), "copies")
     alone = printed.where("id is not null").join(copies.select("id"), "id", "left_anti")
-    marks = alone.select("id", F.explode(F.arrays_zip("marks", "places")).alias("m")).select("id", F.col("m.marks").alias("mark"), F.col("m.places").alias("place"))
-    first = marks.groupBy("mark").agg(F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last")).where(F.col("first.id") != F.col("last"))
-    pairs = marks.join(first, "mark").where(F.col("id") > F.col("first.id")).select("id", F.col("first.id").alias("reference"), (F.col("place") - F.col("first.place")).alias("offset"))
-    votes = pairs.groupBy("id", "reference", "offset").agg(F.count(F.lit(1)).alias("votes"))
-    top = votes.groupBy("id", "reference").agg(F.max(F.struct("votes", F.negative(F.abs("offset")).alias("near"), "offset")).alias("top"))
-    top = top.select("id", "reference", "top.offset", "top.votes")
+    marks = alone.select("id", F.explode("marks").alias("mark"))
+    often = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+    marks = space.write(marks.join(often, "mark", "left_semi"), "marks")
+    theirs = marks.select(F.col("id").alias("reference"), "mark")
+    pairs = marks.join(theirs, "mark").where(F.col("id") > F.col("reference")).select("id", "reference").distinct()
     sides = printed.select("id", "codes")
-    both = top.join(sides, "id").join(sides.select(F.col("id").alias("reference"), F.col("codes").alias("theirs")), "reference")
-    # Of SPAN landmarks in a row two recordings surely share one, so the shorter one bounds the votes needed.
-    sure = F.floor((F.least(F.size("codes"), F.size("theirs")) - (RUN - 1)) / SPAN)
-    both = both.where(F.col("votes") >= F.greatest(F.lit(1), F.least(F.lit(FEWEST_VOTES), sure)))
-    checked = both.select("id", "reference", "offset", "votes", "codes", "theirs").mapInArrow(_wrong_bits, "id long, reference long, offset int, votes long, wrong double, overlap long")
+    both = pairs.join(sides, "id").join(sides.select(F.col("id").alias("reference"), F.col("codes").alias("theirs")), "reference")
+    checked = both.select("id", "reference", "codes", "theirs").mapInArrow(_aligner, "id long, reference long, offset int, votes long, wrong double, overlap long")
+    links = space.write(checked, "links")
     order = F.struct("votes", F.negative("wrong").alias("right"), F.negative("reference").alias("least"), "offset", "overlap")
-    best = checked.where(F.col("wrong") <= MOST_WRONG).groupBy("id").agg(F.max(order).alias("b"))
+    best = links.groupBy("id").agg(F.max(order).alias("b"))
     found = best.select("id", F.negative("b.least").alias("reference"), "b.offset", "b.votes", F.negative("b.right").alias("wrong_bits"), "b.overlap")
     facts = printed.select("id", F.size("codes").alias("n_codes"), F.crc32(F.array_join(F.col("codes").cast("array<string>"), ",").cast("binary")).alias("codes_crc32"))
     same = copies.select("id", F.col("first").alias("reference"), F.lit(0).alias("offset"), "votes", F.lit(0.0).alias("wrong_bits"), "overlap")
-    return facts.join(found.unionByName(same), "id", "left")
+    ends = links.select(F.col("id").alias("node")).unionByName(links.select(F.col("reference").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = ends.join(components(space, links.select(F.col("id").alias("u"), F.col("reference").alias("v"))), "node")
+    firsts = facts.join(copies.select("id", "first"), "id", "left").withColumn("node", F.coalesce("first", "id")).join(classes, "node", "left")
+    firsts = firsts.select("id", "n_codes", "codes_crc32", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return firsts.join(found.unionByName(same), "id", "left").select("id", "n_codes", "codes_crc32", "reference", "offset", "votes", "wrong_bits", "overlap", "class_id", "n_links")

@@ -567,6 +567,46 @@ def test_media_aligns_short_recordings(spark):
     assert {i: (r["reference"], r["offset"]) for i, r in got.items() if r["reference"] is not None} == want and len(got) == 12
 
 
+def test_media_links_equal_all_pairs(spark):
+    """Recordings meet beside the first holder of what they share, short cuts meet longer recordings, and a top bin that fails hides no other."""
+    rng = np.random.default_rng(11)
+    noise = lambda n: rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+    common, own, far = noise(4096), noise(12_800), noise(25_600)
+    t = np.arange(12_800)
+    tune = sum(np.sin(2 * np.pi * f * t / media.RATE) * ((t // 1500) % 4 == k) for k, f in enumerate((110, 220, 330, 494)))
+    rows = [common + (128 + 50 * tune).astype(np.uint8).tobytes(), common + own, common + own[:-1280] + noise(1280), far, far[50 * media.HOP :][:3200], far[70 * media.HOP :][:3200], far[90 * media.HOP :][:3200], noise(9000), common + own]
+    # The long part that these share lies where their tunes disagree; the short one joins end and beginning.
+    jingle, end = noise(6400), noise(4096)
+    rows += [jingle + rows[0][:4095:-1] + end, end + noise(6400) + jingle + noise(12_800)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, audio binary")
+    got = {r["id"]: r for r in collect(media.align_recordings(df, "id", "audio"))}
+    code = [media.codes(np.frombuffer(x, np.uint8)) for x in rows]
+    links = defaultdict(set)
+    for i in range(len(rows)):
+        for j in range(i):
+            run = lambda c, k: tuple(c[k : k + media.RUN].tolist())
+            votes = Counter(p - q for p in range(len(code[i]) - 2) for q in range(len(code[j]) - 2) if run(code[i], p) == run(code[j], q))
+            needed = max(1, min(media.FEWEST_VOTES, (min(len(code[i]), len(code[j])) - 2) // media.SPAN))
+            for offset, n in votes.items():
+                a, b = code[i][max(0, offset) :], code[j][max(0, -offset) :]
+                n_over = min(len(a), len(b))
+                if n >= needed and rows[i] != rows[j] and np.bitwise_count(a[:n_over] ^ b[:n_over]).sum() <= media.MOST_WRONG * 32 * n_over:
+                    links[i].add(j)
+                    links[j].add(i)
+    copy = {8: 1}
+    assert not links[0] and 1 in links[2] and {4, 5, 6} <= links[3]
+    assert len(got) == len(rows)
+    for i, r in got.items():
+        at = copy.get(i, i)
+        assert r["n_links"] == len(links[at] - set(copy)), i
+        assert r["reference"] == copy[i] if i in copy else r["reference"] in {j for j in links[i] if j < i} | ({None} if not any(j < i for j in links[i]) else set()), i
+        reach = {at}
+        while (more := reach | {k for j in reach for k in links[j]}) != reach:
+            reach = more
+        assert r["class_id"] == min(reach), i
+    assert 9 in links[10] and got[10]["offset"] < -50
+
+
 def test_media_filters_equal_plain_sums():
     rng = np.random.default_rng(5)
     samples = rng.integers(0, 256, 6000, dtype=np.uint8)
