@@ -7,22 +7,32 @@ its integral image, give two bits each, and sixteen of them pack into one
 classes against the rest of the time, over low against high classes, in a
 checkered way, or the middle third against the outer ones.
 
-Alignment. Runs of ``RUN`` codes are landmarks, all of them. Any two different
-recordings that share one are compared, whichever others hold it too. The offsets of
+Alignment. Runs of ``RUN`` codes are landmarks, all of them. Two different recordings that
+share one may align, whichever others hold it too. The offsets of
 their equal landmarks form a histogram; its bins with enough votes are tried, most votes
 first, and the share of differing bits over the whole overlap confirms one. Two recordings
 of ``(FEWEST_VOTES * SPAN)`` landmarks and more need ``FEWEST_VOTES`` votes, shorter ones one.
 Equal recordings, however short, meet by an exact group on their bytes: the first one is the
 reference of all others and the only one to be compared. So pairs of different recordings
-are made, never pairs of copies; what comes out is one row per recording with its class and
-its number of links. A landmark of n different recordings costs n (n - 1) / 2 pairs, none of
-which may be left out, since each could be a link.
+are made, never pairs of copies; what comes out is one row per recording.
+
+``recording_classes`` finds near duplicates: each recording's class and the least id it aligns
+with. A landmark's holders are tried from the least id on, in windows that widen, until a
+recording aligns and no smaller id is left. Holders that by then are in different
+classes are compared too, all that weren't, so no link between two classes is missed; pairs
+inside one class need no comparison. Pairs that share landmarks and don't align in
+different classes have to be compared, however many.
+
+``align_recordings`` compares any two different recordings that share a landmark, for the link
+with most votes and the number of links. A landmark of n different recordings costs
+n (n - 1) / 2 pairs there, none of which may be left out, since each counts.
 
 Defined results: a null or empty recording has no codes and no reference, one too
 short for codes only that of an equal recording, with no votes and no overlap;
 repeated rows (one id) count once; equal recordings align at offset 0 with the
-least id; the reference is the link to a smaller id with most votes, then fewest wrong
-bits, then the smallest id; class_id is the least id that links lead to, the own one included;
+least id; class_id is the least id that links lead to, the own one included; the reference
+of ``align_recordings`` is the link to a smaller id with most votes, then fewest wrong
+bits, then the smallest id, that of ``recording_classes`` the smallest id of a link;
 n_links counts the different recordings that align with this one, equal ones once; of bins with
 as many votes the one nearest to offset 0 comes first, then the positive one; an
 empty table gives an empty result; other columns are ignored.
@@ -32,10 +42,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ship_by_value
@@ -53,11 +64,13 @@ MOST_WRONG = 0.15  # share of differing bits
 FEWEST_VOTES = 2
 PART = 1 << 18  # samples worked on at a time
 VOTES = 1 << 22  # votes counted at a time
+HOLDERS = 4  # of a landmark, tried after its first one; each further window is as many times wider
 
 #: (kind, first class, classes, frames): kinds 0 whole, 1 low against high, 2 early against late, 3 checkered, 4 middle class third, 5 middle time third.
 FILTERS = tuple((kind, 5 * i % (9 - 3 * i % 5), 4 + 3 * i % 5, (4, 8, 16)[(i + kind) % 3]) for i, kind in enumerate((0, 1, 2, 3, 4, 5, 0, 1, 2, 3, 4, 5, 1, 2, 3, 2)))
 
 
+@lru_cache(maxsize=1)
 def _fold() -> np.ndarray:
     """Which pitch class each frequency bin of a frame belongs to, as a matrix."""
     hertz = np.fft.rfftfreq(FRAME, 1 / RATE)
@@ -84,16 +97,16 @@ def chroma(samples: np.ndarray) -> np.ndarray:
 
 def codes(samples: np.ndarray) -> np.ndarray:
     """A 32-bit code for each place where the widest filter fits."""
+    if len(samples) < FRAME + (WIDTH - 1) * HOP:
+        return np.zeros(0, np.uint32)
     image = chroma(samples)
     n = len(image) - WIDTH + 1
-    if n <= 0:
-        return np.zeros(0, np.uint32)
-    total = np.zeros((len(image) + 1, 13))
-    total[1:, 1:] = image.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
-    at = np.arange(n)
+    total = np.zeros((13, len(image) + 1))
+    total[1:, 1:] = image.cumsum(axis=0, dtype=np.float64).cumsum(axis=1).T
 
     def area(t0, t1, c0, c1):
-        return total[at + t1, c1] - total[at + t0, c1] - total[at + t1, c0] + total[at + t0, c0]
+        low, high = total[c0], total[c1]
+        return high[t1 : t1 + n] - high[t0 : t0 + n] - low[t1 : t1 + n] + low[t0 : t0 + n]
 
     out = np.zeros(n, np.uint32)
     for kind, c, classes, t in FILTERS:
@@ -165,7 +178,7 @@ def aligned(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple
 
 
 def _fingerprinter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, recording) give (id, codes, different landmarks, digest of the recording unless it is empty)."""
+    """Rows (id, recording) give (id, codes, digest of the recording unless it is empty)."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         out = [codes(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -173,13 +186,21 @@ def _fingerprinter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             [
                 batch.column(0),
                 pa.array([c.view(np.int32) for c in out], pa.list_(pa.int32())),
-                pa.array([np.unique(landmarks(c)).view(np.int64) for c in out], pa.list_(pa.int64())),
                 pa.array([hashlib.blake2b(data[a:b], digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()),
             ],
-            ["id", "codes", "marks", "digest"],
+            ["id", "codes", "digest"],
         )
 
 
+def _marker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, codes) give (id, landmark), each different one once."""
+    for batch in batches:
+        code, n = batch.column(1).flatten().to_numpy().view(np.uint32), batch.column(1).value_lengths().to_numpy()
+        marks = [np.unique(landmarks(c)).view(np.int64) for c in np.split(code, np.cumsum(n)[:-1])] if len(n) else []
+        if marks:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(m) for m in marks])), pa.array(np.concatenate(marks))], ["id", "mark"])
+
+
 def _aligner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, reference, codes, codes of the reference) give those that align."""
     for batch in batches:
@@ -194,32 +215,102 @@ def _aligner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["id", "reference", "offset", "votes", "wrong", "overlap"])
 
 
-def align_recordings(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """id, n_codes, codes_crc32, reference, offset, votes, wrong_bits, overlap, class_id, n_links for every recording; reference is null where none aligns."""
-    small_batches(media.sparkSession)
-    space = Workspace(media.sparkSession, "media")
+def _prepared(space: Workspace, media: DataFrame, id_col: str, media_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All recordings with their codes; later copies with their first one; landmarks of several different recordings, each with the least id that holds it."""
     given = media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("media"))
-    printed = space.write(given.mapInArrow(_fingerprinter, "id long, codes array<int>, marks array<long>, digest binary").dropDuplicates(["id"]), "prints")
+    printed = space.write(given.mapInArrow(_fingerprinter, "id long, codes array<int>, digest binary").dropDuplicates(["id"]), "prints")
     equal = printed.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     votes = F.greatest(F.lit(0), F.size("codes") - (RUN - 1)).cast("long").alias("votes")
     copies = space.write(printed.select("id", "digest", F.size("codes").cast("long").alias("overlap"), votes).join(equal, "digest").where(F.col("id") > F.col("first")), "copies")
-    alone = printed.where("id is not null").join(copies.select("id"), "id", "left_anti")
-    marks = alone.select("id", F.explode("marks").alias("mark"))
-    often = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
-    marks = space.write(marks.join(often, "mark", "left_semi"), "marks")
-    theirs = marks.select(F.col("id").alias("reference"), "mark")
-    pairs = marks.join(theirs, "mark").where(F.col("id") > F.col("reference")).select("id", "reference").distinct()
-    sides = printed.select("id", "codes")
-    both = pairs.join(sides, "id").join(sides.select(F.col("id").alias("reference"), F.col("codes").alias("theirs")), "reference")
+    alone = printed.where(f"id is not null and size(codes) >= {RUN}").join(copies.select("id"), "id", "left_anti")
+    marks = alone.select("id", "codes").mapInArrow(_marker, "id long, mark long")
+    often = marks.groupBy("mark").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", "low")
+    return printed, copies, space.write(marks.join(often, "mark"), "marks")
+
+
+def _links(space: Workspace, pairs: DataFrame, printed: DataFrame) -> DataFrame:
+    """Those of the pairs (id, reference) that align."""
+    pairs = space.write(pairs, "pairs")  # so that its size is known: codes of recordings without a pair aren't shuffled
+    theirs = printed.select(F.col("id").alias("reference"), F.col("codes").alias("theirs")).join(pairs, "reference", "left_semi")
+    both = pairs.join(printed.select("id", "codes"), "id").join(theirs, "reference")
     checked = both.select("id", "reference", "codes", "theirs").mapInArrow(_aligner, "id long, reference long, offset int, votes long, wrong double, overlap long")
     links = space.write(checked, "links")
+    space.drop(pairs)
+    return links
+
+
+def _facts(printed: DataFrame) -> DataFrame:
+    return printed.select("id", F.size("codes").alias("n_codes"), F.crc32(F.array_join(F.col("codes").cast("array<string>"), ",").cast("binary")).alias("codes_crc32"))
+
+
+def _to_first(copies: DataFrame) -> DataFrame:
+    return copies.select("id", F.col("first").alias("reference"), F.lit(0).alias("offset"), "votes", F.lit(0.0).alias("wrong_bits"), "overlap")
+
+
+def _first_links(space: Workspace, marks: DataFrame, printed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links, with that to the least id for every recording, and that id (id, best): every smaller id before it that shares a landmark was compared."""
+    later = marks.where("id > low")
+    links = _links(space, later.select("id", F.col("low").alias("reference")).distinct(), printed)
+    active, tried, width = later.select("mark", "id"), 1, HOLDERS
+    open_still = F.expr("reference < id and (best is null or reference < best)")
+    while True:
+        best = links.groupBy("id").agg(F.min("reference").alias("best"))
+        there = marks if tried == 1 else marks.join(active.select("mark").distinct(), "mark", "left_semi")
+        ranked = there.select("mark", F.col("id").alias("reference"), F.row_number().over(Window.partitionBy("mark").orderBy("id")).alias("rank"))
+        holders = space.write(ranked.where(F.col("rank") <= tried + width).where(F.col("rank") > tried), "holders")
+        near = active.join(best, "id", "left").join(holders, "mark").where(open_still)
+        links = links.unionByName(_links(space, near.select("id", "reference").distinct(), printed))
+        best = links.groupBy("id").agg(F.min("reference").alias("best"))
+        active = space.write(active.join(holders.where(F.col("rank") == tried + width), "mark").join(best, "id", "left").where(open_still).select("mark", "id"), "active")
+        if active.isEmpty():
+            return links, best
+        tried, width = tried + width, width * HOLDERS
+
+
+def _between_classes(marks: DataFrame, classes: DataFrame, best: DataFrame, space: Workspace) -> DataFrame:
+    """Pairs (id, reference) of different classes that share a landmark and weren't compared: a landmark's holders outside its commonest class with all others."""
+    held = marks.select("mark", "id").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("own", F.coalesce("component", "id"))
+    held = space.write(held.join(best, "id", "left").select("mark", "id", "own", "best"), "held")
+    per = held.groupBy("mark", "own").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per.groupBy("mark").agg(F.max_by("own", F.struct("n", "own")).alias("most"), F.count(F.lit(1)).alias("owns")).where("owns > 1").select("mark", "most")
+    mixed = space.write(held.join(mixed, "mark"), "mixed")
+    others = mixed.select("mark", F.col("id").alias("id2"), F.col("own").alias("own2"), F.col("best").alias("best2"))
+    met = mixed.where("own != most").join(others, "mark").where("own != own2 and if(id > id2, id2 > best, id > best2)")
+    return met.select(F.greatest("id", "id2").alias("id"), F.least("id", "id2").alias("reference")).distinct()
+
+
+def recording_classes(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
+    """id, n_codes, codes_crc32, reference, offset, votes, wrong_bits, overlap, class_id for every recording; reference is null where none of a smaller id aligns."""
+    small_batches(media.sparkSession)
+    space = Workspace(media.sparkSession, "media")
+    printed, copies, marks = _prepared(space, media, id_col, media_col)
+    links, best = _first_links(space, marks, printed)
+    classes = space.write(components(space, links.select(F.col("id").alias("u"), F.col("reference").alias("v"))), "classes")
+    more = _links(space, _between_classes(marks, classes, best, space), printed)
+    for end in ("id", "reference"):
+        more = more.join(classes.select(F.col("node").alias(end), F.col("component").alias(f"{end}_class")), end, "left")
+    merged = components(space, more.select(F.coalesce("id_class", "id").alias("u"), F.coalesce("reference_class", "reference").alias("v")))
+    found = links.groupBy("id").agg(F.min(F.struct("reference", "offset", "votes", "wrong", "overlap")).alias("b"))
+    found = found.select("id", "b.reference", "b.offset", "b.votes", F.col("b.wrong").alias("wrong_bits"), "b.overlap")
+    firsts = _facts(printed).join(copies.select("id", "first"), "id", "left").withColumn("node", F.coalesce("first", "id")).join(classes, "node", "left")
+    firsts = firsts.withColumn("own", F.coalesce("component", "node")).select("id", "n_codes", "codes_crc32", "own")
+    firsts = firsts.join(merged.withColumnRenamed("node", "own"), "own", "left").withColumn("class_id", F.coalesce("component", "own"))
+    return firsts.join(found.unionByName(_to_first(copies)), "id", "left").select("id", "n_codes", "codes_crc32", "reference", "offset", "votes", "wrong_bits", "overlap", "class_id")
+
+
+def align_recordings(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
+    """id, n_codes, codes_crc32, reference, offset, votes, wrong_bits, overlap, class_id, n_links for every recording; reference is null where none aligns."""
+    small_batches(media.sparkSession)
+    space = Workspace(media.sparkSession, "media")
+    printed, copies, marks = _prepared(space, media, id_col, media_col)
+    theirs = marks.select(F.col("id").alias("reference"), "mark")
+    pairs = marks.join(theirs, "mark").where(F.col("id") > F.col("reference")).select("id", "reference").distinct()
+    links = _links(space, pairs, printed)
     order = F.struct("votes", F.negative("wrong").alias("right"), F.negative("reference").alias("least"), "offset", "overlap")
     best = links.groupBy("id").agg(F.max(order).alias("b"))
     found = best.select("id", F.negative("b.least").alias("reference"), "b.offset", "b.votes", F.negative("b.right").alias("wrong_bits"), "b.overlap")
-    facts = printed.select("id", F.size("codes").alias("n_codes"), F.crc32(F.array_join(F.col("codes").cast("array<string>"), ",").cast("binary")).alias("codes_crc32"))
-    same = copies.select("id", F.col("first").alias("reference"), F.lit(0).alias("offset"), "votes", F.lit(0.0).alias("wrong_bits"), "overlap")
     ends = links.select(F.col("id").alias("node")).unionByName(links.select(F.col("reference").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = ends.join(components(space, links.select(F.col("id").alias("u"), F.col("reference").alias("v"))), "node")
-    firsts = facts.join(copies.select("id", "first"), "id", "left").withColumn("node", F.coalesce("first", "id")).join(classes, "node", "left")
+    firsts = _facts(printed).join(copies.select("id", "first"), "id", "left").withColumn("node", F.coalesce("first", "id")).join(classes, "node", "left")
     firsts = firsts.select("id", "n_codes", "codes_crc32", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return firsts.join(found.unionByName(same), "id", "left").select("id", "n_codes", "codes_crc32", "reference", "offset", "votes", "wrong_bits", "overlap", "class_id", "n_links")
+    return firsts.join(found.unionByName(_to_first(copies)), "id", "left").select("id", "n_codes", "codes_crc32", "reference", "offset", "votes", "wrong_bits", "overlap", "class_id", "n_links")

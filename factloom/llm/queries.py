@@ -66,9 +66,9 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no audio, so each text's bytes stand for a mono 8-bit recording."""
-    from .media import align_recordings
+    from .media import recording_classes
 
-    return align_recordings(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return recording_classes(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -607,6 +607,51 @@ def test_media_links_equal_all_pairs(spark):
     assert 9 in links[10] and got[10]["offset"] < -50
 
 
+@pytest.mark.parametrize("holders", [1, 4])
+def test_media_classes_equal_all_pairs(spark, holders, monkeypatch):
+    """Classes as from all links, references to the least id of a link; windows of holders so small that they widen."""
+    monkeypatch.setattr(media, "HOLDERS", holders)
+    rng = np.random.default_rng(21)
+    pool = [rng.integers(0, 256, 128 * int(k), dtype=np.uint8).tobytes() for k in rng.integers(20, 40, 10)]
+    rows = [b"".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 4))) for _ in range(70)] + [None, b"", b"short", b"short"]
+    code = [media.codes(np.frombuffer(x or b"", np.uint8)) for x in rows]
+    first = {x: i for i, x in reversed(list(enumerate(rows))) if x}
+    links = defaultdict(dict)
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i] == rows[j]:
+                continue
+            if hit := media.aligned(code[i], code[j], media.landmarks(code[i]), media.landmarks(code[j])):
+                links[i][j], links[j][i] = hit, None
+    df = spark.createDataFrame([(3 * i, x) for i, x in enumerate(rows)], "id long, audio binary")
+    got = {r["id"]: r for r in collect(media.recording_classes(df.unionByName(df.limit(5)), "id", "audio"))}
+    assert len(got) == len(rows) and any(first[x] != i for i, x in enumerate(rows) if x)
+    for i, x in enumerate(rows):
+        own, r = first.get(x, i), got[3 * i]
+        least = min((j for j in links[i] if j < i), default=None)
+        want = (3 * own, 0) if own != i else (None, None) if least is None else (3 * least, links[i][least][0])
+        assert (r["reference"], r["offset"]) == want, i
+        reach = {own}
+        while (more := reach | {k for j in reach for k in links[j]}) != reach:
+            reach = more
+        assert r["class_id"] == 3 * min(reach), i
+    assert collect(media.recording_classes(df.where("false"), "id", "audio")) == []
+
+
+def test_media_near_copies_are_not_compared_in_all_pairs(spark, tmp_path, monkeypatch):
+    """The links that op7_chroma makes of one group of near copies grow with it, not with its square."""
+    made = []
+    write = media.Workspace.write
+    monkeypatch.setattr(media.Workspace, "write", lambda space, df, name: (made.append((name, table := write(space, df, name))), table)[1])
+    rng = np.random.default_rng(4)
+    base = bytes(rng.integers(97, 123, 4000, dtype=np.uint8)).decode()
+    rows = [(i, base[:3960] + f"{i:040d}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = collect(QUERIES["op7_chroma"](spark, str(tmp_path)))
+    assert [(r["reference"], r["class_id"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [(None, 0)] + [(0, 0)] * 59
+    assert sum(table.count() for name, table in made if name == "links") <= 2 * len(rows)
+
+
 def test_media_filters_equal_plain_sums():
     rng = np.random.default_rng(5)
     samples = rng.integers(0, 256, 6000, dtype=np.uint8)
