@@ -42,7 +42,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +69,6 @@ HOLDERS = 4  # of a landmark, tried after its first one; each further window is
 FILTERS = tuple((kind, 5 * i % (9 - 3 * i % 5), 4 + 3 * i % 5, (4, 8, 16)[(i + kind) % 3]) for i, kind in enumerate((0, 1, 2, 3, 4, 5, 0, 1, 2, 3, 4, 5, 1, 2, 3, 2)))
 
 
-@lru_cache(maxsize=1)
 def _fold() -> np.ndarray:
     """Which pitch class each frequency bin of a frame belongs to, as a matrix."""
     hertz = np.fft.rfftfreq(FRAME, 1 / RATE)
@@ -81,11 +79,14 @@ def _fold() -> np.ndarray:
     return matrix
 
 
+FOLD = _fold()
+
+
 def chroma(samples: np.ndarray) -> np.ndarray:
     """A row of twelve normalised energies for each frame."""
     if len(samples) < FRAME:
         return np.zeros((0, 12), np.float32)
-    fold, window, out = _fold(), np.hanning(FRAME).astype(np.float32), []
+    fold, window, out = FOLD, np.hanning(FRAME).astype(np.float32), []
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     for at in range(0, len(frames), PART // HOP):
         own = (frames[at : at + PART // HOP].astype(np.float32) - 128) * window
