@@ -20,8 +20,10 @@ are made, never pairs of copies; what comes out is one row per recording.
 with. A landmark's holders are tried from the least id on, in windows that widen, until a
 recording aligns and no smaller id is left. Holders that by then are in different
 classes are compared too, all that weren't, so no link between two classes is missed; pairs
-inside one class need no comparison. Pairs that share landmarks and don't align in
-different classes have to be compared, however many.
+inside one class need no comparison. Two recordings that need ``FEWEST_VOTES`` votes are compared
+only if they share as many landmarks, repeated ones counted twice: hashes of their landmarks,
+cut to 15 bits, are intersected first, which drops no pair that could align. All other pairs that
+share landmarks in different classes have to be compared, however many.
 
 ``align_recordings`` compares any two different recordings that share a landmark, for the link
 with most votes and the number of links. A landmark of n different recordings costs
@@ -145,6 +147,13 @@ def landmarks(code: np.ndarray) -> np.ndarray:
     return hashed
 
 
+def distinct_landmarks(code: np.ndarray) -> np.ndarray:
+    """Each different landmark once, and a hash for each that long recordings (those that may need FEWEST_VOTES votes) hold repeatedly: a vote of its own."""
+    marks, n = np.unique(landmarks(code), return_counts=True)
+    again = marks[n > 1] if n.sum() >= FEWEST_VOTES * SPAN else marks[:0]
+    return np.concatenate([marks, mix(again + np.uint64(0x9E3779B97F4A7C15))])
+
+
 def votes_for(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many equal landmarks of x and y lie at each offset from -len(y) to len(x)."""
     votes = np.zeros(len(x) + len(y) + 1, np.int64)
@@ -194,10 +203,10 @@ def _fingerprinter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _marker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, codes) give (id, landmark), each different one once."""
+    """Rows (id, codes) give (id, landmark), as distinct_landmarks."""
     for batch in batches:
         code, n = batch.column(1).flatten().to_numpy().view(np.uint32), batch.column(1).value_lengths().to_numpy()
-        marks = [np.unique(landmarks(c)).view(np.int64) for c in np.split(code, np.cumsum(n)[:-1])] if len(n) else []
+        marks = [distinct_landmarks(c).view(np.int64) for c in np.split(code, np.cumsum(n)[:-1])] if len(n) else []
         if marks:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(m) for m in marks])), pa.array(np.concatenate(marks))], ["id", "mark"])
 
@@ -217,25 +226,55 @@ def _aligner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prepared(space: Workspace, media: DataFrame, id_col: str, media_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All recordings with their codes; later copies with their first one; landmarks of several different recordings, each with the least id that holds it."""
+    """All recordings with their codes; later copies with their first one; landmarks of several different recordings, with the least id that holds one, their number and the place of each."""
     given = media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("media"))
     printed = space.write(given.mapInArrow(_fingerprinter, "id long, codes array<int>, digest binary").dropDuplicates(["id"]), "prints")
-    equal = printed.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     votes = F.greatest(F.lit(0), F.size("codes") - (RUN - 1)).cast("long").alias("votes")
-    copies = space.write(printed.select("id", "digest", F.size("codes").cast("long").alias("overlap"), votes).join(equal, "digest").where(F.col("id") > F.col("first")), "copies")
+    first = F.min("id").over(Window.partitionBy("digest").orderBy("id")).alias("first")
+    copies = space.write(printed.where("id is not null and digest is not null").select("id", first, F.size("codes").cast("long").alias("overlap"), votes).where("id > first"), "copies")
     alone = printed.where(f"id is not null and size(codes) >= {RUN}").join(copies.select("id"), "id", "left_anti")
     marks = alone.select("id", "codes").mapInArrow(_marker, "id long, mark long")
-    often = marks.groupBy("mark").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mark", "low")
-    return printed, copies, space.write(marks.join(often, "mark"), "marks")
+    by_id = Window.partitionBy("mark").orderBy("id")
+    everyone = by_id.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marks = marks.select("id", "mark", F.min("id").over(everyone).alias("low"), F.count("id").over(everyone).alias("n"), F.row_number().over(by_id).alias("rank")).where("n > 1")
+    return printed, copies, space.write(marks, "marks")
+
+
+def _keys(space: Workspace, marks: DataFrame, printed: DataFrame) -> DataFrame:
+    """(id, n, keys) of recordings that share landmarks: their number, and if they may need FEWEST_VOTES votes 15-bit hashes of those that more than two hold and that begin with another one.
+
+    Two recordings that share a landmark either are its first holder and a later one, or both have it here. A hash that
+    repeats has its last bit set from the second time on, so different landmarks of one hash count as two here as well.
+    """
+    inner = F.when(F.expr("n > 2 and rank > 1"), F.shiftright("mark", 49))
+    sorted_keys = marks.groupBy("id").agg(F.array_sort(F.collect_list(inner)).alias("s"))
+    keys = F.expr("transform(s, (x, i) -> cast(2 * x + if(i > 0 and s[greatest(i, 1) - 1] = x, 1, 0) as smallint))")
+    sizes = printed.where(F.size("codes") >= RUN).select("id", (F.size("codes") - (RUN - 1)).alias("n"))
+    return space.write(sorted_keys.select("id", keys.alias("keys")).join(sizes, "id").select("id", "n", F.when(F.col("n") >= FEWEST_VOTES * SPAN, F.col("keys")).alias("keys")), "keys")
+
+
+def _possible(space: Workspace, met: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs (id, reference, whether id is the shorter one) of those (id, reference, shared) that share enough landmarks; shared counts those with reference as the first holder."""
+    met = space.write(met, "met")
+    theirs = keys.select(F.col("id").alias("reference"), F.col("n").alias("n2"), F.col("keys").alias("theirs"))
+    own = keys.select(F.col("id").alias("own"), F.col("n").alias("n1"), F.col("keys").alias("ours"))  # as theirs, so both are one shuffle
+    both = met.join(theirs, "reference").withColumn("theirs", F.when(F.col("shared") < FEWEST_VOTES, F.col("theirs")))
+    both = both.join(own, F.col("id") == F.col("own"))
+    enough = F.expr(f"least(n1, n2) < {FEWEST_VOTES * SPAN} or shared >= {FEWEST_VOTES} or shared + size(array_intersect(ours, theirs)) >= {min(2, FEWEST_VOTES)}")
+    pairs = space.write(both.where(enough).select("id", "reference", F.expr("n1 <= n2").alias("shorter")), "pairs")  # so that its size is known
+    space.drop(met)
+    return pairs
 
 
 def _links(space: Workspace, pairs: DataFrame, printed: DataFrame) -> DataFrame:
-    """Those of the pairs (id, reference) that align."""
-    pairs = space.write(pairs, "pairs")  # so that its size is known: codes of recordings without a pair aren't shuffled
-    theirs = printed.select(F.col("id").alias("reference"), F.col("codes").alias("theirs")).join(pairs, "reference", "left_semi")
-    both = pairs.join(printed.select("id", "codes"), "id").join(theirs, "reference")
-    checked = both.select("id", "reference", "codes", "theirs").mapInArrow(_aligner, "id long, reference long, offset int, votes long, wrong double, overlap long")
-    links = space.write(checked, "links")
+    """Those of the pairs (id, reference, shorter) that align. The codes of the shorter one are sent to the longer one's."""
+    coded = printed.where(F.size("codes") >= RUN).select("id", "codes")
+    ends = pairs.select("shorter", F.expr("if(shorter, id, reference)").alias("one"), F.expr("if(shorter, reference, id)").alias("other"))
+    long = coded.join(ends, F.col("id") == F.col("other"), "left_semi").select(F.col("id").alias("longer"), F.col("codes").alias("long"))  # where few have a pair, the others' codes aren't shuffled
+    both = ends.join(coded, F.col("one") == F.col("id")).withColumnRenamed("codes", "short").drop("id").join(long, F.col("other") == F.col("longer"))
+    own, theirs = F.expr("if(shorter, short, long)").alias("codes"), F.expr("if(shorter, long, short)").alias("theirs")
+    both = both.select(F.greatest("one", "other").alias("id"), F.least("one", "other").alias("reference"), own, theirs)
+    links = space.write(both.mapInArrow(_aligner, "id long, reference long, offset int, votes long, wrong double, overlap long"), "links")
     space.drop(pairs)
     return links
 
@@ -248,21 +287,22 @@ def _to_first(copies: DataFrame) -> DataFrame:
     return copies.select("id", F.col("first").alias("reference"), F.lit(0).alias("offset"), "votes", F.lit(0.0).alias("wrong_bits"), "overlap")
 
 
-def _first_links(space: Workspace, marks: DataFrame, printed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _first_links(space: Workspace, marks: DataFrame, keys: DataFrame, printed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links, with that to the least id for every recording, and that id (id, best): every smaller id before it that shares a landmark was compared."""
     later = marks.where("id > low")
-    links = _links(space, later.select("id", F.col("low").alias("reference")).distinct(), printed)
-    active, tried, width = later.select("mark", "id"), 1, HOLDERS
+    met = later.groupBy("id", F.col("low").alias("reference")).agg(F.count(F.lit(1)).alias("shared"))
+    links = _links(space, _possible(space, met, keys), printed)
+    active, tried, width = marks.where("rank > 2").select("mark", "id", "low", "rank"), 1, HOLDERS
     open_still = F.expr("reference < id and (best is null or reference < best)")
     while True:
         best = links.groupBy("id").agg(F.min("reference").alias("best"))
-        there = marks if tried == 1 else marks.join(active.select("mark").distinct(), "mark", "left_semi")
-        ranked = there.select("mark", F.col("id").alias("reference"), F.row_number().over(Window.partitionBy("mark").orderBy("id")).alias("rank"))
-        holders = space.write(ranked.where(F.col("rank") <= tried + width).where(F.col("rank") > tried), "holders")
-        near = active.join(best, "id", "left").join(holders, "mark").where(open_still)
-        links = links.unionByName(_links(space, near.select("id", "reference").distinct(), printed))
+        holders = marks.where(f"n > 2 and rank > {tried} and rank <= {tried + width}").select("mark", F.col("id").alias("reference"), F.col("rank").alias("place"))
+        near = active.join(best, "id", "left").where("best is null or low < best").join(holders, "mark").where(open_still)
+        met = near.select("id", "reference").distinct().withColumn("shared", F.lit(0))
+        links = links.unionByName(_links(space, _possible(space, met, keys), printed))
         best = links.groupBy("id").agg(F.min("reference").alias("best"))
-        active = space.write(active.join(holders.where(F.col("rank") == tried + width), "mark").join(best, "id", "left").where(open_still).select("mark", "id"), "active")
+        left = active.where(f"rank > {tried + width + 1}").join(best, "id", "left").where("best is null or low < best")
+        active = space.write(left.join(holders.where(F.col("place") == tried + width), "mark").where(open_still).select("mark", "id", "low", "rank"), "active")
         if active.isEmpty():
             return links, best
         tried, width = tried + width, width * HOLDERS
@@ -270,7 +310,7 @@ def _first_links(space: Workspace, marks: DataFrame, printed: DataFrame) -> tupl
 
 def _between_classes(marks: DataFrame, classes: DataFrame, best: DataFrame, space: Workspace) -> DataFrame:
     """Pairs (id, reference) of different classes that share a landmark and weren't compared: a landmark's holders outside its commonest class with all others."""
-    held = marks.select("mark", "id").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("own", F.coalesce("component", "id"))
+    held = marks.where("n > 2").select("mark", "id").join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("own", F.coalesce("component", "id"))
     held = space.write(held.join(best, "id", "left").select("mark", "id", "own", "best"), "held")
     per = held.groupBy("mark", "own").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("mark").agg(F.max_by("own", F.struct("n", "own")).alias("most"), F.count(F.lit(1)).alias("owns")).where("owns > 1").select("mark", "most")
@@ -285,9 +325,11 @@ def recording_classes(media: DataFrame, id_col: str, media_col: str) -> DataFram
     small_batches(media.sparkSession)
     space = Workspace(media.sparkSession, "media")
     printed, copies, marks = _prepared(space, media, id_col, media_col)
-    links, best = _first_links(space, marks, printed)
+    keys = _keys(space, marks, printed)
+    links, best = _first_links(space, marks, keys, printed)
     classes = space.write(components(space, links.select(F.col("id").alias("u"), F.col("reference").alias("v"))), "classes")
-    more = _links(space, _between_classes(marks, classes, best, space), printed)
+    met = _between_classes(marks, classes, best, space).withColumn("shared", F.lit(0))
+    more = _links(space, _possible(space, met, keys), printed)
     for end in ("id", "reference"):
         more = more.join(classes.select(F.col("node").alias(end), F.col("component").alias(f"{end}_class")), end, "left")
     merged = components(space, more.select(F.coalesce("id_class", "id").alias("u"), F.coalesce("reference_class", "reference").alias("v")))
@@ -305,8 +347,8 @@ def align_recordings(media: DataFrame, id_col: str, media_col: str) -> DataFrame
     space = Workspace(media.sparkSession, "media")
     printed, copies, marks = _prepared(space, media, id_col, media_col)
     theirs = marks.select(F.col("id").alias("reference"), "mark")
-    pairs = marks.join(theirs, "mark").where(F.col("id") > F.col("reference")).select("id", "reference").distinct()
-    links = _links(space, pairs, printed)
+    met = marks.join(theirs, "mark").where(F.col("id") > F.col("reference")).groupBy("id", "reference").agg(F.count(F.lit(1)).alias("shared"))
+    links = _links(space, _possible(space, met, _keys(space, marks, printed)), printed)
     order = F.struct("votes", F.negative("wrong").alias("right"), F.negative("reference").alias("least"), "offset", "overlap")
     best = links.groupBy("id").agg(F.max(order).alias("b"))
     found = best.select("id", F.negative("b.least").alias("reference"), "b.offset", "b.votes", F.negative("b.right").alias("wrong_bits"), "b.overlap")

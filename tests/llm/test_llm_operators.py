@@ -652,6 +652,58 @@ def test_media_near_copies_are_not_compared_in_all_pairs(spark, tmp_path, monkey
     assert sum(table.count() for name, table in made if name == "links") <= 2 * len(rows)
 
 
+def test_media_single_landmarks_of_long_recordings_are_not_compared(spark, monkeypatch):
+    """Long recordings that share one landmark lack a vote, so their codes aren't sent or compared; those with two, or with one that repeats, are."""
+    pairs = set()
+    drop = media.Workspace.drop
+    monkeypatch.setattr(media.Workspace, "drop", lambda space, *tables: (pairs.update((r["id"], r["reference"]) for t in tables if "-pairs" in t._factloom_path for r in t.collect()), drop(space, *tables))[1])
+    rng = np.random.default_rng(17)
+
+    def tones(n):
+        parts = [np.zeros(0)]
+        while sum(map(len, parts)) < n:
+            parts.append(128 + 60 * np.sin(2 * np.pi * 110 * 2 ** (int(rng.integers(0, 40)) / 12) * np.arange(int(rng.integers(300, 1500))) / media.RATE))
+        return np.concatenate(parts)[:n].astype(np.uint8).tobytes()
+
+    jingle = tones(media.FRAME + (media.WIDTH + media.RUN - 2) * media.HOP)
+    rows = [tones(media.HOP * int(rng.integers(0, 9))) + jingle + tones(5000) for _ in range(40)]
+    steady = bytes(range(0, 256, 2)) * 48
+    rows += [bytes([128]) * 7000, bytes([128]) * 6872, steady, steady[:-256], steady[:3200]]
+    code = [media.codes(np.frombuffer(x, np.uint8)) for x in rows]
+    marks = [media.landmarks(c) for c in code]
+    links = {(i, j) for i in range(len(rows)) for j in range(i) if media.aligned(code[i], code[j], marks[i], marks[j])}
+    marks = [m.tolist() for m in marks]
+    shared = {(i, j): (Counter(marks[i]) & Counter(marks[j])).total() for i in range(len(rows)) for j in range(i)}
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, audio binary")
+    got = {r["id"]: r["reference"] for r in collect(media.recording_classes(df, "id", "audio"))}
+    assert got == {i: min((b for a, b in links if a == i), default=None) for i in range(len(rows))}
+    assert {(41, 40), (43, 42), (44, 42)} <= links & pairs and sum(n == 1 for n in shared.values()) > 40
+    assert not [p for p in pairs if shared[p] < media.FEWEST_VOTES and min(len(marks[k]) for k in p) >= media.FEWEST_VOTES * media.SPAN]
+
+
+def test_media_possible_pairs_are_a_superset(spark):
+    """Pairs that share enough landmarks are kept, also where these have one 15-bit hash."""
+    rng = np.random.default_rng(23)
+    pool = [(h << 49) + j - (1 << 63) for h in range(0, 1 << 15, 2048) for j in range(12)]
+    held = {i: set(rng.choice(len(pool), int(rng.integers(1, 25)), replace=False).tolist()) for i in range(60)}
+    size = {i: int(rng.choice([5, 15, 16, 40])) for i in held}
+    rows = []
+    for k, mark in enumerate(pool):
+        ids = sorted(i for i in held if k in held[i])
+        rows += [(i, mark, ids[0], len(ids), r + 1) for r, i in enumerate(ids) if len(ids) > 1]
+    marks = spark.createDataFrame(rows, "id long, mark long, low long, n long, rank int")
+    printed = spark.createDataFrame([(i, [0] * (n + media.RUN - 1)) for i, n in size.items()], "id long, codes array<int>")
+    common = {(i, j): held[i] & held[j] for i in held for j in range(i) if held[i] & held[j]}
+    low = {k: min(i for i in held if k in held[i]) for k in set().union(*held.values())}
+    met = [(i, j, sum(low[k] == j for k in ks)) for (i, j), ks in common.items()]
+    space = media.Workspace(spark, "test")
+    got = {(r["id"], r["reference"]): r["shorter"] for r in media._possible(space, spark.createDataFrame(met, "id long, reference long, shared long"), media._keys(space, marks, printed)).collect()}
+    needed = {p for p, ks in common.items() if min(size[p[0]], size[p[1]]) < media.FEWEST_VOTES * media.SPAN or len(ks) >= media.FEWEST_VOTES}
+    assert any(len({k // 12 for k in common[p]}) < len(common[p]) and not any(low[k] == p[1] for k in common[p]) for p in needed)
+    assert needed <= set(got) and set(got) < set(common)
+    assert all(shorter == (size[i] <= size[j]) for (i, j), shorter in got.items())
+
+
 def test_media_filters_equal_plain_sums():
     rng = np.random.default_rng(5)
     samples = rng.integers(0, 256, 6000, dtype=np.uint8)
