@@ -164,7 +164,7 @@ def words_in_cells(t):
 
     c = F.col
     words = t.documents.select((c("doc_id") % 10).alias("page_id"), c("doc_id").alias("w"), ((c("doc_id") * 37) % 600).alias("left"), ((c("doc_id") * 91) % 800).alias("top"))
-    words = words.select("page_id", c("w").cast("string").alias("word"), "left", "top", F.lit(10).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("line_no"))
+    words = words.select("page_id", c("w").alias("word"), "left", "top", F.lit(10).alias("width"), F.lit(8).alias("height"), F.lit(1).alias("line_no"))
     grid = t.spark.range(10).select(c("id").alias("page_id"), F.explode(F.sequence(F.lit(0), F.lit(8))).alias("row_no")).select("page_id", "row_no", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("col_no"))
     boxes = grid.select("page_id", c("row_no").cast("long").alias("row_no"), c("col_no").cast("long").alias("col_no"), (c("col_no") * 120).alias("x0"), (c("col_no") * 120 + 110).alias("x1"), (c("row_no") * 90).alias("y0"), (c("row_no") * 90 + 80).alias("y1"))
     return place(words, boxes)

@@ -41,14 +41,15 @@ def words_in_cells(words: DataFrame, boxes: DataFrame) -> DataFrame:
     """Words by the grid cell that holds their centre.
 
     The range join runs within a page: boxes are spread over bands of 64 units of
-    height, so a word meets the boxes of its band only.
+    height, so a word meets the boxes of its band only. Words at one place are
+    ordered as their column is, numbers as numbers.
     """
     x, y = F.col("left") + F.col("width") / 2, F.col("top") + F.col("height") / 2
     w = words.withColumn("cx", x).withColumn("cy", y).withColumn("band", F.floor(F.col("cy") / 64))
     b = boxes.withColumn("band", F.explode(F.sequence(F.floor(F.col("y0") / 64), F.floor(F.col("y1") / 64))))
     inside = w.join(b, ["page_id", "band"]).where((F.col("cx") >= F.col("x0")) & (F.col("cx") < F.col("x1")) & (F.col("cy") >= F.col("y0")) & (F.col("cy") < F.col("y1")))
     ordered = F.array_sort(F.collect_list(F.struct("line_no", F.negative("left").alias("right_first"), "word")))
-    return inside.groupBy("page_id", "row_no", "col_no").agg(F.array_join(F.transform(ordered, lambda s: s["word"]), " ").alias("text"))
+    return inside.groupBy("page_id", "row_no", "col_no").agg(F.array_join(F.transform(ordered, lambda s: s["word"].cast("string")), " ").alias("text"))
 
 
 def lines(words: DataFrame) -> DataFrame:
