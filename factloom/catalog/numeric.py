@@ -265,9 +265,13 @@ def ilike_escaped(t):
 
 @query("""SELECT s.s_suppkey AS a, c.c_custkey AS b FROM supplier s JOIN customer c ON s.s_nationkey = c.c_nationkey AND (round(s.s_acctbal) = round(c.c_acctbal) OR c.c_custkey = s.s_suppkey)""")
 def disjunctive_match(t):
-    """An equi-join on the place with a disjunction as its residual condition."""
-    on = (F.col("s_nationkey") == F.col("c_nationkey")) & ((F.round("s_acctbal") == F.round("c_acctbal")) | (F.col("c_custkey") == F.col("s_suppkey")))
-    return t.supplier.join(t.customer, on).select(F.col("s_suppkey").alias("a"), F.col("c_custkey").alias("b"))
+    """A disjunction on one place as two equi-joins: pairs of equal amounts, then those of equal ids that the first ones lack."""
+    c = F.col
+    suppliers = t.supplier.select(c("s_suppkey").alias("a"), c("s_nationkey").alias("place"), F.round("s_acctbal").alias("x"))
+    customers = t.customer.select(c("c_custkey").alias("b"), c("c_nationkey").alias("place"), F.round("c_acctbal").alias("y"))
+    equal = suppliers.join(customers.withColumn("x", c("y")), ["place", "x"]).select("a", "b")
+    same = suppliers.join(customers.withColumn("a", c("b")), ["place", "a"]).where(~F.coalesce(c("x") == c("y"), F.lit(False)))
+    return equal.unionByName(same.select("a", "b"))
 
 
 @query("""SELECT a.r_name AS office, b.n_name AS nation FROM region a LEFT JOIN nation b ON CASE WHEN a.r_regionkey = 0 THEN NULL ELSE a.r_regionkey END IS NOT DISTINCT FROM CASE WHEN b.n_regionkey = 0 THEN NULL ELSE b.n_regionkey END""")
