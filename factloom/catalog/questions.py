@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.adapters import occurrences, transactions
+from ..operators.adapters import occurrences
 from ..plans import question
 from ..plans.batch import answer_questions
 from .numeric import CENTS, TXN
@@ -83,10 +84,12 @@ def question_table(t):
     """A question of each customer, made of its first record with some conditions left open, all answered in one job."""
     c = F.col
     fact = F.concat_ws("-", c("order_key").cast("string"), c("line").cast("string"))
-    facts = transactions(t).select("order_key", "line", c("price").alias("fact_price"), c("area").alias("fact_area"))
     rows = occurrences(t).withColumns({"property_type": F.split_part("property_type", F.lit(" "), F.lit(1)), "fact_area_type": F.substring("area_type", 1, 7), "transaction_id": fact})
     none = F.lit(None)
-    records = rows.join(facts, ["order_key", "line"]).withColumns({
+    # Lines of a fact lie together once they have met their order, so the fact's agreed price and area need no further shuffle.
+    agreed = F.min(F.struct("price", "area", "part", "supplier")).over(Window.partitionBy("order_key", "line"))
+    rows = rows.withColumn("agreed", agreed).withColumns({"fact_price": c("agreed.price"), "fact_area": c("agreed.area")}).drop("agreed")
+    records = rows.withColumns({
         "verification_status": F.when(c("verification") == "F", "human_verified").otherwise("auto_extracted"), "is_current": F.lit(True), "deleted_at": none.cast("timestamp"), "report_date": none.cast("date"),
         "version_id": c("order_key").cast("string"), "stated": F.when(c("line") == 3, F.lit(1)).cast("decimal(14,2)"),
     })
@@ -100,9 +103,10 @@ def question_table(t):
         keep(k % 7 != 0, "fact_area_type").alias("area_type"), keep(k % 11 != 0, "vat_basis").alias("vat_basis"), F.when(dated & (k % 4 != 1), "transaction_date").alias("date_field"),
         F.when(dated, F.year("transaction_date")).alias("year_from"), F.when(dated, F.year("transaction_date") + 1).alias("year_to"),
     )
-    ids = records.select("order_key", "line").distinct()
-    pairs = ids.alias("x").join(ids.alias("y"), (c("x.order_key") == c("y.order_key")) & (c("y.line") == c("x.line") + 1))
-    name = lambda s: F.concat_ws("-", c(f"{s}.order_key").cast("string"), c(f"{s}.line").cast("string"))
-    answers, _ = answer_questions(questions, records, pairs.select(name("x").alias("a"), name("y").alias("b")))
+    # A fact and the next one of its order, if their numbers follow one another.
+    ids = t.lineitem.select(c("l_orderkey").alias("order_key"), c("l_linenumber").alias("line")).repartition("order_key").distinct()
+    pairs = ids.withColumn("next", F.lead("line").over(Window.partitionBy("order_key").orderBy("line"))).where(c("next") == c("line") + 1)
+    name = lambda line: F.concat_ws("-", c("order_key").cast("string"), c(line).cast("string"))
+    answers, _ = answer_questions(questions, records, pairs.select(name("line").alias("a"), name("next").alias("b")))
     kinds = F.array_join(F.transform("options", lambda o: F.concat(o["value"], F.lit("="), o["n"].cast("string"))), ",")
     return answers.withColumns({"kinds": F.when(c("options").isNotNull(), kinds), "n": c("n").cast("double")}).drop("options")

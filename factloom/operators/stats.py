@@ -8,28 +8,31 @@ from pyspark.sql import functions as F
 from ..functions.numbers import price_per_area
 
 
-def exact_mean(value: Column) -> Column:
-    """Rounded once: avg() of decimals would round twice."""
-    return F.round(F.sum(value) / F.nullif(F.count(value), F.lit(0)), 2)
+def exact_mean(value: Column, total: Column | None = None, n: Column | None = None) -> Column:
+    """Rounded once: avg() of decimals would round twice. total and n stand for the sum and the count of weighted values."""
+    return F.round((F.sum(value) if total is None else total) / F.nullif(F.count(value) if n is None else n, F.lit(0)), 2)
 
 
-def exact_median(value: Column) -> Column:
+def exact_median(value: Column, weight: Column | int = 1) -> Column:
     """Interpolated in doubles and then rounded as a decimal."""
-    return F.round(F.percentile(value.cast("double"), F.lit(0.5)).cast("decimal(18,4)"), 2)
+    return F.round(F.percentile(value.cast("double"), F.lit(0.5), weight).cast("decimal(18,4)"), 2)
 
 
 def usable() -> Column:
     return F.col("price").isNotNull() & (F.col("area") > 0)
 
 
-def statistics(facts: DataFrame, *by: str, ids: str | None = None) -> DataFrame:
-    """count, mean of per-record values, weighted mean of raw sums, median and range of unique facts (price, area)."""
+def statistics(facts: DataFrame, *by: str, ids: str | None = None, weight: str | None = None) -> DataFrame:
+    """count, mean of per-record values, weighted mean of raw sums, median and range of unique facts (price, area);
+    weight names the number of equal facts that a row stands for."""
     each = facts.where(usable()).withColumn("value", price_per_area(F.col("price"), F.col("area")))
+    total = lambda x, kind: (F.sum(x) if weight is None else F.sum(F.col(x) * F.col(weight).cast("decimal(12,0)"))).cast(kind)
+    n = F.count(F.lit(1)) if weight is None else F.coalesce(F.sum(weight), F.lit(0).cast("long"))
     measures = [
-        F.count(F.lit(1)).alias("n"),
-        exact_mean(F.col("value")).cast("double").alias("mean"),
-        F.round(F.sum("price").cast("decimal(28,2)") / F.nullif(F.sum("area").cast("decimal(22,2)"), F.lit(0).cast("decimal(22,2)")), 2).cast("double").alias("weighted"),
-        exact_median(F.col("value")).cast("double").alias("median"),
+        n.alias("n"),
+        exact_mean(F.col("value"), total("value", "decimal(24,2)"), n).cast("double").alias("mean"),
+        F.round(total("price", "decimal(28,2)") / F.nullif(total("area", "decimal(22,2)"), F.lit(0).cast("decimal(22,2)")), 2).cast("double").alias("weighted"),
+        exact_median(F.col("value"), 1 if weight is None else F.col(weight)).cast("double").alias("median"),
         F.min("value").cast("double").alias("least"),
         F.max("value").cast("double").alias("most"),
     ]
