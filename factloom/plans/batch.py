@@ -66,14 +66,15 @@ def matched(conditions: DataFrame, records: DataFrame, *also: Column) -> DataFra
     return live.crossJoin(asked).where("false").select("condition_id", *live.columns, *also)
 
 
-def alike(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cells, groups, members): facts whose records state the same, up to the year of a date, meet the same questions.
+def alike(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(cells, groups, members, kinds): facts whose records state the same, up to the year of a date, meet the same questions.
 
     cells has a row for each different record of each likeness, as matched takes
     records, with the number of its facts and of the disputed ones, and with the
     likeness' cells before it, verified ones first: the first cell that meets a
     question stands for the likeness, so none is counted twice; groups counts
-    a likeness' facts by price and area; members tells each fact's likeness. So
+    a likeness' facts by price and area; members tells each fact's likeness, kinds
+    each likeness' cells. So
     questions meet kinds of facts, however many facts there are of each.
     """
     c = F.col
@@ -87,11 +88,15 @@ def alike(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ).where(F.size("cells") > 0)
     facts = written(facts.withColumn("likeness", F.unhex(F.sha2(F.to_json("cells"), 256))), "facts")
     counts = facts.groupBy("likeness").agg(F.first("cells").alias("cells"), F.count(F.lit(1)).alias("facts"), F.count_if("disputed").alias("disputed"))
+    # Short numbers instead of digests, for what is shuffled later; they are written, so they stay as they are.
+    counts = written(counts.withColumnRenamed("likeness", "digest").withColumn("likeness", F.monotonically_increasing_id()), "kinds")
+    numbered = counts.select(c("digest").alias("of"), c("likeness").alias("number"))
+    with_number = lambda df: df.join(numbered, c("likeness") == c("of")).withColumn("likeness", c("number")).drop("of", "number")
     each = counts.select("likeness", "facts", "disputed", "cells", F.posexplode("cells").alias("at", "cell"))
     each = each.select("likeness", "facts", "disputed", F.slice("cells", F.lit(1), c("at")).alias("earlier"), "cell.*", F.lit(True).alias("is_current"), F.lit(None).cast("timestamp").alias("deleted_at"))
     cells = written(each, "cells")
-    groups = checkpointed(facts.groupBy("likeness", "price", "area").agg(F.count(F.lit(1)).alias("facts")))
-    return cells, groups, facts.select("transaction_id", "likeness")
+    groups = written(with_number(facts.groupBy("likeness", "price", "area").agg(F.count(F.lit(1)).alias("facts"))), "groups")
+    return cells, groups, with_number(facts.select("transaction_id", "likeness")), counts.select("likeness", "cells")
 
 
 def answer_questions(questions: DataFrame, records: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,8 +112,10 @@ def answer_questions(questions: DataFrame, records: DataFrame, pairs: DataFrame)
     c = F.col
     given = questions.select("question_id", *(c(n) for n in CONDITIONS)).withColumn("condition_id", F.sha2(F.to_json(F.struct(*(F.coalesce(c(n).cast("string"), F.lit("\0")) for n in CONDITIONS))), 256)).withColumn("lacks", _missing())
     distinct = given.where("lacks is null").select("condition_id", *CONDITIONS).distinct()
-    cells, groups, members = alike(records)
-    distinct = checkpointed(distinct)
+    cells, groups, members, kinds_of = alike(records)
+    # Conditions have short numbers too, which are checkpointed.
+    distinct = checkpointed(distinct.withColumnRenamed("condition_id", "digest").withColumn("condition_id", F.monotonically_increasing_id()))
+    given = given.withColumnRenamed("condition_id", "digest").join(distinct.select("digest", "condition_id"), "digest", "left").drop("digest")
     sure = c("verification_status").isin(*VERIFIED)
 
     # Mixed attributes: the first of them with several values is what is asked. A likeness counts once for each value.
@@ -125,15 +132,20 @@ def answer_questions(questions: DataFrame, records: DataFrame, pairs: DataFrame)
     mixed = checkpointed(mixed.select("condition_id", "nth", "attribute", options.alias("options")).groupBy("condition_id").agg(F.min_by(F.struct("attribute", "options"), "nth").alias("mixed")))
 
     # What is mixed is asked back, so only the others are counted.
-    plain = matched(distinct.join(mixed.select("condition_id"), "condition_id", "left_anti"), cells, (~F.exists("earlier", _meets)).alias("first")).where("first")
+    unmixed = checkpointed(distinct.join(mixed.select("condition_id"), "condition_id", "left_anti"))
+    plain = matched(unmixed, cells, (~F.exists("earlier", _meets)).alias("first")).where("first")
     plain = written(plain.select("condition_id", "likeness", sure.alias("sure"), "facts", "disputed"), "met")
     ends = plain.where("sure").select("condition_id", "likeness", "disputed")
     numbers = stats.statistics(ends.join(groups, "likeness"), "condition_id", weight="facts").withColumn("median", F.when(c("n") >= MEDIAN_FROM, c("median")))
     counts = plain.groupBy("condition_id").agg(F.coalesce(F.sum(F.when(~c("sure"), c("facts"))), F.lit(0)).alias("awaiting"))
     side = lambda x: members.select(c("transaction_id").alias(x), c("likeness").alias(f"of_{x}"))
     beside = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").groupBy("of_a", "of_b").agg(F.count(F.lit(1)).alias("pairs"))
-    end = lambda x: ends.select("condition_id", c("likeness").alias(f"of_{x}"))
-    uncertain = beside.join(end("a"), "of_a").join(end("b"), ["condition_id", "of_b"]).groupBy("condition_id").agg(F.sum("pairs").alias("uncertain"))
+    # A pair counts if both facts meet: a cell of the first one is joined, those of the other one stand beside it.
+    known = lambda x: kinds_of.select(c("likeness").alias(f"of_{x}"), F.filter("cells", lambda e: ~e["waits"]).alias(x))
+    beside = beside.join(known("a"), "of_a").join(known("b"), "of_b").select("pairs", "a", "b", F.posexplode("a").alias("at", "cell"))
+    beside = written(beside.select("pairs", F.slice("a", F.lit(1), c("at")).alias("earlier"), c("b").alias("other"), "cell.*", F.lit(True).alias("is_current"), F.lit(None).cast("timestamp").alias("deleted_at")), "beside")
+    both = ~F.exists("earlier", _meets) & F.exists("other", _meets)
+    uncertain = matched(unmixed, beside, both.alias("both")).where("both").groupBy("condition_id").agg(F.sum("pairs").alias("uncertain"))
     conflicts = ends.where("disputed > 0").groupBy("condition_id").agg(F.sum("disputed").alias("conflicts"))
 
     joined = given.select("question_id", "condition_id", "lacks")
