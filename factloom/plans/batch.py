@@ -136,7 +136,8 @@ def answer_questions(questions: DataFrame, records: DataFrame, pairs: DataFrame)
     plain = matched(unmixed, cells, (~F.exists("earlier", _meets)).alias("first")).where("first")
     plain = written(plain.select("condition_id", "likeness", sure.alias("sure"), "facts", "disputed"), "met")
     ends = plain.where("sure").select("condition_id", "likeness", "disputed")
-    numbers = stats.statistics(ends.join(groups, "likeness"), "condition_id", weight="facts").withColumn("median", F.when(c("n") >= MEDIAN_FROM, c("median")))
+    # Rows are dealt before they are summed up: the states of a median are larger than they are.
+    numbers = stats.statistics(ends.join(groups, "likeness").repartition("condition_id"), "condition_id", weight="facts").withColumn("median", F.when(c("n") >= MEDIAN_FROM, c("median")))
     counts = plain.groupBy("condition_id").agg(F.coalesce(F.sum(F.when(~c("sure"), c("facts"))), F.lit(0)).alias("awaiting"))
     side = lambda x: members.select(c("transaction_id").alias(x), c("likeness").alias(f"of_{x}"))
     beside = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").groupBy("of_a", "of_b").agg(F.count(F.lit(1)).alias("pairs"))
